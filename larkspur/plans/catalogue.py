@@ -1,4 +1,403 @@
-"""Queries of the matching engine."""
+"""Queries of the matching engine over the test tables, and the same in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import measures as m
+from ..functions import similarity as s
+from ..functions import text as t
+from ..operators import audit, competitors, exports, rules, scoring, training
+from ..operators import candidates as c
+from ..operators.features import add_features
+from . import binding as b
+from . import pipeline
+from .binding import read
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def listed(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def within(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+LETTERS = lambda x: f"regexp_extract_all(lower({x}), '[a-z]+')"
+CLEAN = lambda x: f"coalesce(array_to_string(list_filter({LETTERS(x)}, lambda w: w not in {within(t.FILLERS + t.UNIT_WORDS)}), ' '), '')"
+LCS = lambda x, y: f"list_reduce(string_split({x}, ''), lambda p, k: list_reduce(range(1, len({y}) + 1), lambda r, j: list_append(r, case when {y}[j] = k then p[j] + 1 else greatest(p[j + 1], r[j]) end), [cast(0 as bigint)]), list_resize([cast(0 as bigint)], len({y}) + 1, cast(0 as bigint)))[len({y}) + 1]"
+
+
+def word_scores(pairs: str) -> str:
+    """CTEs from pairs(a, b): scored(a, b, score)."""
+    return f"""
+  toks as (select a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') as sa, array_to_string(list_sort(string_split(b, ' ')), ' ') as sb,
+      list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from {pairs}),
+  rests as (select *, array_to_string(list_sort(list_filter(x, lambda w: not list_contains(y, w))), ' ') as rx,
+      array_to_string(list_sort(list_filter(y, lambda w: not list_contains(x, w))), ' ') as ry,
+      len(array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ')) as sh from toks),
+  lens as (select *, sh + (sh > 0)::int + len(rx) as lx, sh + (sh > 0)::int + len(ry) as ly,
+      200::double * {LCS('sa', 'sb')} / (len(sa) + len(sb)) as ts, case when rx = '' or ry = '' then 0 else {LCS('rx', 'ry')} end as lc from rests),
+  scored as (select a, b, (ts + case when sh > 0 and (rx = '' or ry = '') then 100::double else greatest(
+      100::double * (1::double - (len(rx) + len(ry) - 2 * lc)::double / (lx + ly)),
+      case when sh > 0 then 100::double * (1::double - (1 + len(rx))::double / (sh + lx)) else 0 end,
+      case when sh > 0 then 100::double * (1::double - (1 + len(ry))::double / (sh + ly)) else 0 end) end) / 2::double as score from lens)"""
+
+
+MASTER = "m as (select cast(p_partkey as varchar) as code, upper(p_name) as itemname, p_type as category, lower(p_name) as b, p_size::double as msize, p_partkey as ord from part)"
+OFFERS = f"""o as (select (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as offer_ord, trim({CLEAN("'New ' || p_name || ' Offer'")} || ' ' || lower(p_type)) as a, {CLEAN("'New ' || p_name || ' Offer'")} as clean,
+    p_size::double as size, p_type as category, lower(p_type) as family, p_brand, n_name, s_name, l_extendedprice as price, 'New ' || p_name || ' Offer' as name,
+    lower(p_brand) in ('brand#1', 'brand#2') as is_own
+  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey)"""
+KEYS = "keys as (select a, size, category, min(offer_ord) as offer_ord from o where is_own group by all)"
+NEAR = lambda x, y: f"abs({x} - {y}) / greatest({x}, {y}) <= 0.1::double"
+
+
+def ranked(k: int) -> str:
+    return f"""{MASTER}, {OFFERS}, {KEYS},
+  pairs as (select distinct a, b from keys join m using (category)), {word_scores('pairs')},
+  cand as (select offer_ord, a, size, category, code, itemname, ord, score, {NEAR('size', 'msize')} as fits from keys join m using (category) join scored using (a, b)),
+  adj as (select *, score + case when fits then 4 else 0 end as adjusted, not bool_or(fits) over (partition by offer_ord) as none_fits from cand),
+  ranks as (select *, row_number() over w as rank, coalesce(adjusted - lead(adjusted) over w, 100) as margin, coalesce(score - lead(score) over w, 100) as raw_margin
+    from adj where fits or none_fits window w as (partition by offer_ord order by adjusted desc, ord)),
+  best as (select *, case when score < 55 then 'no_match' when none_fits then 'low_pack_conflict' when score >= 80 and margin >= 8 and fits then 'high'
+      when score >= 65 and (fits or margin >= 6) then 'medium' else 'low' end as tier from ranks where rank <= {k})"""
+
+
+@query(f"with {ranked(1)} select offer_ord, case when tier = 'no_match' then 'NO_MATCH' else code end as itemcode, round(score, 6) as text_score, round(adjusted, 6) as adjusted_score, round(margin, 6) as margin, round(raw_margin, 6) as raw_margin, fits as pack_status, case when fits then true end as pack_structure_status, tier as confidence_tier from best")
+def match_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pipeline.match(c.unique_keys(b.offers(spark, sf_dir).where("is_own")), b.master(spark, sf_dir))
+    rounded = [F.round(x, 6).alias(x) for x in ("text_score", "adjusted_score", "margin", "raw_margin")]
+    return found.select("offer_ord", "itemcode", *rounded, "pack_status", "pack_structure_status", "confidence_tier")
+
+
+@query(f"with {ranked(3)} select offer_ord, cast(rank as integer) as candidate_rank, code as itemcode, round(score, 6) as text_score, round(margin, 6) as margin, none_fits as all_candidates_incompatible from best")
+def top_candidates(spark, sf_dir):
+    found = c.candidates(c.unique_keys(b.offers(spark, sf_dir).where("is_own")), b.master(spark, sf_dir), 3)
+    return found.select("offer_ord", "candidate_rank", "itemcode", F.round("text_score", 6).alias("text_score"), F.round("margin", 6).alias("margin"), "all_candidates_incompatible")
+
+
+@query(f"""with {MASTER}, o as (select min(p_partkey) as offer_ord, {CLEAN("'New ' || p_name || ' Offer'")} || ' item' as a from part group by 2),
+  pairs as (select distinct a, b from o, m), {word_scores('pairs')},
+  ranks as (select offer_ord, code, score, row_number() over (partition by offer_ord order by score - 3 desc, ord) as rank from o, m join scored using (b) where scored.a = o.a)
+  select offer_ord, code as itemcode, round(score, 6) as text_score, round(score - 3, 6) as adjusted_score from ranks where rank = 1""")
+def other_fallback(spark, sf_dir):
+    part = read(spark, sf_dir, "part").groupBy((t.clean_offer(F.concat(F.lit("New "), "p_name", F.lit(" Offer")))).alias("clean")).agg(F.min("p_partkey").alias("offer_ord"))
+    none = F.array().cast(m.MEASURES)
+    offers = part.select("offer_ord", F.concat("clean", F.lit(" item")).alias("match_text"), none.alias("offer_measures_detailed"), m.simple(none).alias("offer_measures"), F.lit("Other").alias("category"))
+    return c.candidates(offers, b.master(spark, sf_dir), 1).select("offer_ord", "itemcode", F.round("text_score", 6).alias("text_score"), F.round("adjusted_score", 6).alias("adjusted_score"))
+
+
+def by_score(df: DataFrame) -> DataFrame:
+    """The binding's scorer: the match score as a probability. A stand-in, not a trained model."""
+    return df.withColumn("ml_probability", F.col("match_score") / 100)
+
+
+AT = rules.Thresholds(auto_match=0.8, manual_review=0.6)
+
+
+def engine_run(spark, sf_dir) -> pipeline.Run:
+    return pipeline.run_prepared(b.offers(spark, sf_dir), b.master(spark, sf_dir), by_score, at=AT, own=b.OWN)
+
+
+MAPPED = f"""{ranked(1)},
+  mapped as (select o.*, case when tier <> 'no_match' then code else 'NO_MATCH' end as suggested, itemname, round_even(score, 2) / 100 as p,
+    case when not o.is_own then 'n/a' when tier = 'no_match' then 'no_match' when round_even(score, 2) / 100 >= 0.8::double then 'high (ml)' when round_even(score, 2) / 100 >= 0.6::double then 'medium (ml)' else 'low (ml)' end as final_tier,
+    lower(itemname) as master_text
+  from o left join best on o.is_own and o.a = best.a and o.size = best.size and o.category = best.category)"""
+
+
+@query(f"with {MAPPED} select n_name as country, final_tier as confidence_tier, count(*) as n from mapped group by all")
+def merge_back(spark, sf_dir):
+    return engine_run(spark, sf_dir).mapped.groupBy(F.col("Country").alias("country"), "confidence_tier").agg(F.count("*").alias("n"))
+
+
+FOUND = f"""{MAPPED},
+  targets as (select n_name, family, suggested, size, arg_min(master_text, offer_ord) as mt, min(offer_ord) as target_ord from mapped where final_tier = 'high (ml)' group by all),
+  pool as (select n_name, family, p_brand, clean, size as psize, min(offer_ord) as pool_ord, arg_min(a, offer_ord) as ptext, arg_min(name, offer_ord) as pname from mapped where not is_own group by all),
+  cpairs as (select *, {NEAR('size', 'psize')} as fits from targets join pool using (n_name, family)),
+  tpairs as (select distinct mt as a, ptext as b from cpairs where fits), {word_scores('tpairs').replace('toks', 'toks2').replace('rests', 'rests2').replace('lens', 'lens2').replace('scored', 'scored2')},
+  good as (select *, score + 3 as adjusted2 from cpairs join scored2 on a = mt and b = ptext where fits and score >= 60 and score + 3 >= 65),
+  per_brand as (select *, row_number() over (partition by target_ord, p_brand order by adjusted2 desc, pool_ord) as n1 from good),
+  found as (select *, row_number() over (partition by target_ord order by adjusted2 desc, pool_ord) as crank from per_brand where n1 = 1)"""
+
+
+@query(f"with {FOUND} select n_name as country, suggested as own_itemcode, target_ord, p_brand as brand, pname as offer, round(score, 6) as raw, cast(crank as integer) as rank from found where crank <= 5")
+def competitor_offers(spark, sf_dir):
+    found = engine_run(spark, sf_dir).competitors
+    return found.select(F.col("Country").alias("country"), F.col("matched_itemcode").alias("own_itemcode"), "target_ord", "brand", "offer", F.round("raw", 6).alias("raw"), "rank")
+
+
+@query()
+def competitor_long(spark, sf_dir):
+    return competitors.long_table(engine_run(spark, sf_dir).competitors)
+
+
+@query(f"""with {MAPPED}, shown as (select *, name || ' — ' || s_name || ' — SAR ' || format('{{:g}}', price) as x from mapped),
+  cell as (select code, tier, string_agg(i || '. ' || x, ' | ' order by i) as v from (select suggested as code, final_tier as tier, x, row_number() over (partition by suggested, final_tier order by offer_ord, x) as i from shown where final_tier like '%(ml)') group by all)
+  select m.code || ' - ' || m.itemname as "Master SKU", coalesce(c1.v, '') as "Confirmed Matched Offers", coalesce(c2.v, '') as "Medium Confidence Offers", coalesce(c3.v, '') as "Low Confidence Offers"
+  from m left join cell c1 on c1.code = m.code and c1.tier = 'high (ml)' left join cell c2 on c2.code = m.code and c2.tier = 'medium (ml)' left join cell c3 on c3.code = m.code and c3.tier = 'low (ml)'""")
+def offer_export(spark, sf_dir):
+    return engine_run(spark, sf_dir).offer_export
+
+
+@query(f"""with {FOUND}, cell as (select suggested, string_agg(i || '. ' || p_brand, ' | ' order by i) as v, string_agg(i || '. ' || pname || ' (' || psize::int || 'g)', ' | ' order by i) as w
+    from (select *, row_number() over (partition by suggested order by crank, target_ord, p_brand, pname) as i from found where crank <= 5) group by all)
+  select code || ' - ' || itemname as "Own Master SKU", coalesce(v, '') as "Competitor Brand Names", coalesce(w, '') as "Competitor Offers" from m left join cell on suggested = code""")
+def competitor_export(spark, sf_dir):
+    return engine_run(spark, sf_dir).competitor_export
+
+
+@query()
+def detailed_mapping(spark, sf_dir):
+    return engine_run(spark, sf_dir).mapping
+
+
+@query("select p_partkey, trim(regexp_replace(regexp_replace(lower(' ' || p_brand || '- Foods!'), '[\\s\\-]+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) as brand, lower(p_brand) in ('brand#1', 'brand#2') as is_own from part")
+def brand_norm(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", t.normalized_brand(F.concat(F.lit(" "), "p_brand", F.lit("- Foods!"))).alias("brand"), t.normalized_brand(F.col("p_brand")).isin(*b.OWN.aliases).alias("is_own"))
+
+
+@query(f"""select p_partkey, {CLEAN("'NEW ' || p_name || ' 400 Gms Mega-Offer ' || p_type")} as clean from part""")
+def clean_text(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", t.clean_offer(F.concat(F.lit("NEW "), "p_name", F.lit(" 400 Gms Mega-Offer "), "p_type")).alias("clean"))
+
+
+def sample_text(key: str):
+    return F.element_at(t.words_of(b.TEXTS), (F.col(key) % 8 + 1).cast("int"))
+
+
+HAS = lambda x, values: f"list_has_any({LETTERS(x)}, {listed(values)})"
+CATEGORY = "case when contains(lower(x), 'spring roll') then 'Dough' " + " ".join(f"when {HAS('x', w)} then '{k}'" for k, w in t.CATEGORY_WORDS.items()) + " else 'Other' end"
+
+
+@query(f"select p_partkey, {CATEGORY} as category from (select p_partkey, {b.TEXT_SQL('p_partkey')} as x from part)")
+def categories(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", t.category(sample_text("p_partkey")).alias("category"))
+
+
+@query("select p_partkey, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(lower('Chicken ' || p_name || ' Nugget-Frozen/Patty'), '\\bfrozen\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: case w " + " ".join(f"when '{k}' then '{v}'" for k, v in t.PLURALS.items()) + " else w end), ' ') as family from part")
+def product_families(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", t.product_family(F.concat(F.lit("Chicken "), "p_name", F.lit(" Nugget-Frozen/Patty"))).alias("family"))
+
+
+@query("select p_partkey, '00' || p_partkey as code, nullif(trim(case when p_size % 2 = 0 then ' ' end), '') as blank from part")
+def itemcode_norm(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", t.itemcode(F.concat(F.lit(" 00"), F.col("p_partkey").cast("string"), F.lit(".0 "))).alias("code"), t.itemcode(F.when(F.col("p_size") % 2 == 0, F.lit(" "))).alias("blank"))
+
+
+@query(f"""select p_partkey, trim({CLEAN("'New ' || p_name")} || ' ' || lower(p_type) || ' spicy') as offer, lower(p_name) || ' nuggets' as master from part""")
+def match_texts(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", t.offer_match_text(F.concat(F.lit("New "), "p_name"), F.concat("p_type", F.lit("-Frozen")), F.lit("Spicy")).alias("offer"), t.master_match_text(F.upper("p_name"), F.lit(" NUGGETS"), F.lit(None)).alias("master"))
+
+
+@query("select p_partkey, p_size::double as retail_weight, 2::double as unit_count, 2 * p_size::double as total_weight, 20::double as per_carton, p_size::double as bonus, p_size || 'g' as shown from part")
+def measures(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    df = read(spark, sf_dir, "part").withColumn("d", m.offer_measures(F.concat(F.lit("2 x "), size, F.lit(" g"))))
+    d = F.col("d")
+    return df.select("p_partkey", m.retail_weight(d).alias("retail_weight"), m.unit_count(d).alias("unit_count"), m.total_weight(d).alias("total_weight"), m.units_per_carton(F.concat(size, F.lit(" Gms x 20 Pkts"))).alias("per_carton"), m.bonus_weight(F.concat(F.lit("750 g + "), size, F.lit("gm"))).alias("bonus"), t.retail_unit(d).alias("shown"))
+
+
+@query()
+def piece_counts(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    return read(spark, sf_dir, "part").select("p_partkey", m.piece_count(F.concat(F.lit("Nuggets "), size, F.lit(" pcs"))).alias("pieces"), m.piece_count(F.concat(F.lit("Nuggets x "), size)).alias("times"), m.piece_count(F.concat(size, F.lit(" x 500 g"))).alias("none"))
+
+
+@query(f"select l_orderkey, l_linenumber, {NEAR('q', 's')} or {NEAR('2 * q', 's')} as compatible, case when {NEAR('q', 's')} then true when {NEAR('2 * q', 's')} then false end as structure from (select l_orderkey, l_linenumber, l_quantity::double as q, p_size::double as s from lineitem join part on l_partkey = p_partkey)")
+def pack_flags(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    df = df.withColumns({"a": m.offer_measures(F.concat(F.lit("2 x "), F.col("l_quantity").cast("int").cast("string"), F.lit("g"))), "b": m.master_measures(F.concat(F.col("p_size").cast("string"), F.lit("g x 20 Pkts")))})
+    return df.select("l_orderkey", "l_linenumber", m.pack_compatible(m.simple(F.col("a")), m.simple(F.col("b"))).alias("compatible"), m.pack_structure(F.col("a"), F.col("b")).alias("structure"))
+
+
+PADDED = lambda x: f"' ' || regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g') || ' '"
+PHRASES = lambda x, values: f"list_filter({listed(values)}, lambda p: contains({PADDED(x)}, ' ' || p || ' '))"
+AGREE = lambda a, b_: f"case when len({a}) = 0 or len({b_}) = 0 then 1 else list_has_any({a}, {b_})::int end"
+PROTEIN = lambda x: f"list_intersect({LETTERS(x)}, {listed(t.PROTEINS)})"
+
+
+@query(f"""select p_partkey, {AGREE(PROTEIN('x'), PROTEIN('y'))} as protein_match, {AGREE(PHRASES('x', t.FAMILIES), PHRASES('y', t.FAMILIES))} as family_match, {AGREE(PHRASES('x', t.VARIANTS), PHRASES('y', t.VARIANTS))} as variant_match,
+  {HAS('x', t.NON_MEAT)}::int as non_meat, least(4, len(regexp_extract_all(lower(x), '\\s(?:/|\\bor\\b|\\band\\b|\\+)\\s')) + 1)::double as expected from (select p_partkey, {b.TEXT_SQL('p_partkey')} as x, {b.TEXT_SQL('p_size')} as y from part)""")
+def semantics(spark, sf_dir):
+    x, y = sample_text("p_partkey"), sample_text("p_size")
+    return read(spark, sf_dir, "part").select("p_partkey", t.agree(t.proteins(x), t.proteins(y)).alias("protein_match"), t.agree(t.families(x), t.families(y)).alias("family_match"), t.agree(t.variants(x), t.variants(y)).alias("variant_match"), t.has_non_meat(x).alias("non_meat"), t.expected_matches(x).alias("expected"))
+
+
+NAMES = "n as (select distinct p_name || ' ' || lower(p_type) as a, p_type from part), pairs as (select distinct x.a, y.a as b from n x join n y using (p_type))"
+
+
+def name_pairs(spark, sf_dir):
+    n = read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("a"), "p_type").distinct()
+    return n.join(n.withColumnRenamed("a", "b"), "p_type").select("a", "b").distinct()
+
+
+@query(f"with {NAMES} select a, b, round(200::double * {LCS('a', 'b')} / (len(a) + len(b)), 6) as score from pairs")
+def char_similarity(spark, sf_dir):
+    return name_pairs(spark, sf_dir).select("a", "b", F.round(s.char_similarity(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query(f"with {NAMES}, {word_scores('pairs')} select a, b, round(score, 6) as score from scored")
+def word_similarity(spark, sf_dir):
+    return name_pairs(spark, sf_dir).select("a", "b", F.round(s.word_similarity(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query()
+def weighted_similarity(spark, sf_dir):
+    return name_pairs(spark, sf_dir).select("a", "b", F.round(s.weighted_similarity(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query()
+def pair_features(spark, sf_dir):
+    offers, master = c.unique_keys(b.offers(spark, sf_dir).where("is_own")), b.master(spark, sf_dir)
+    found = c.candidates(offers, master, 1).select("offer_ord", F.col("itemcode").alias("Itemcode"))
+    return add_features(offers.join(found, "offer_ord").join(master.drop("category", "match_text"), "Itemcode")).select("offer_ord", "Itemcode", *training.FEATURES)
+
+
+@query("select event_id, case when event_type = 'error' then 'NO_CANDIDATE' when user_id % 10 = 0 then 'MASTER_SKU_NOT_FOUND' when value / 100 >= 0.95::double then 'AUTO_MATCH' when value / 100 >= 0.7::double then 'MANUAL_REVIEW' else 'NO_MATCH' end as decision from events")
+def decision_policy(spark, sf_dir):
+    code = F.when(F.col("event_type") == "error", " ").otherwise("1")
+    return read(spark, sf_dir, "events").select("event_id", rules.decision(code, F.col("user_id") % 10 != 0, F.col("value") / 100).alias("decision"))
+
+
+@query("select n_name, p_brand, min((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) as offer_ord from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by all")
+def dedup_first(spark, sf_dir):
+    return competitors.first_by(b.raw_offers(spark, sf_dir), ["Country", "Brand Name"], "offer_ord").select(F.col("Country").alias("n_name"), F.col("Brand Name").alias("p_brand"), "offer_ord")
+
+
+@query("select n_name, string_agg(i || '. ' || s_name, ' | ' order by i) as cell from (select n_name, s_name, row_number() over (partition by n_name order by s_suppkey) as i from supplier join nation on s_nationkey = n_nationkey) group by n_name")
+def numbered_cells(spark, sf_dir):
+    df = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return df.groupBy("n_name").agg(exports.numbered(F.col("s_name"), [F.col("s_suppkey")]).alias("cell"))
+
+
+@query("select o_orderkey, 'A b — R — SAR ' || format('{:g}', o_totalprice) as shown from orders")
+def offer_display(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", t.offer_display(F.lit(" A \n b"), F.lit("R "), F.col("o_totalprice")).alias("shown"))
+
+
+@query(f"""with {b.GOLD_SQL} select record_id, array_to_string(list_filter([
+    case when flag is null then 'invalid_use_for_binary_pair_training' when flag <> 1 then 'use_for_binary_pair_training_not_1' end,
+    case when label is null or label not in (-1, 0, 1) then 'invalid_pair_label' when label = -1 then 'abstain_pair_label' end,
+    case when offer_text is null then 'null_offer_text' end,
+    case when code is null then 'missing_master_itemcode' when cast(code as int) >= 200 then 'unknown_master_itemcode' end], lambda x: x is not null), ';') as reasons from gold""")
+def rejection_reasons(spark, sf_dir):
+    return training.judged(b.gold(spark, sf_dir), b.small_master(spark, sf_dir)).select("record_id", F.array_join("reasons", ";").alias("reasons"))
+
+
+def normal_gold(spark, sf_dir):
+    return audit.normalized(b.gold(spark, sf_dir))
+
+
+@query(f"with {b.GOLD_SQL} select record_id from gold qualify count(*) over (partition by offer_group_id, code) > 1")
+def audit_duplicate_pairs(spark, sf_dir):
+    return audit.duplicate_pairs(normal_gold(spark, sf_dir)).select("record_id")
+
+
+@query(f"with {b.GOLD_SQL} select record_id from gold qualify max(label) over (partition by offer_group_id, code) > min(label) over (partition by offer_group_id, code)")
+def audit_conflicting_labels(spark, sf_dir):
+    return audit.conflicting_labels(normal_gold(spark, sf_dir)).select("record_id")
+
+
+@query(f"with {b.GOLD_SQL} select record_id from gold qualify max(split) over (partition by offer_group_id) > min(split) over (partition by offer_group_id)")
+def audit_split_conflicts(spark, sf_dir):
+    return audit.groups_across_splits(normal_gold(spark, sf_dir)).select("record_id")
+
+
+@query(f"with {b.GOLD_SQL} select record_id from gold where label is null or label not in (-1, 0, 1)")
+def audit_invalid_labels(spark, sf_dir):
+    return audit.invalid_labels(normal_gold(spark, sf_dir)).select("record_id")
+
+
+@query(f"with {b.GOLD_SQL} select record_id from gold where code is null or cast(code as int) >= 200")
+def audit_unknown_codes(spark, sf_dir):
+    return audit.unknown_codes(normal_gold(spark, sf_dir), b.small_master(spark, sf_dir)).select("record_id")
+
+
+@query(f"with {b.GOLD_SQL} select record_id from gold where offer_text is null")
+def audit_empty_texts(spark, sf_dir):
+    return audit.empty_texts(normal_gold(spark, sf_dir)).select("record_id")
+
+
+@query(f"with {b.GOLD_SQL} select record_id from gold where source_dataset = 'SYNTHETIC v1' and offer_text is not null qualify count(*) over (partition by offer_text) > 1")
+def audit_synthetic_repeats(spark, sf_dir):
+    return audit.repeated_synthetic(normal_gold(spark, sf_dir)).select("record_id")
+
+
+@query("select l_orderkey, l_linenumber from lineitem qualify count(*) over (partition by l_partkey, l_suppkey, l_quantity) > 1")
+def audit_exact_duplicates(spark, sf_dir):
+    return audit.exact_duplicates(read(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey", "l_quantity"]).select("l_orderkey", "l_linenumber")
+
+
+@query(f"with {b.GOLD_SQL} select coalesce(source_dataset, '<missing>') as value, count(*) as n from gold group by 1")
+def audit_distribution(spark, sf_dir):
+    return audit.distribution(normal_gold(spark, sf_dir), F.col("source_dataset"))
+
+
+@query(f"with {b.GOLD_SQL} select round(max(n) / sum(n), 6) as majority_fraction from (select count(*) as n from gold group by label)")
+def audit_majority(spark, sf_dir):
+    return audit.majority(audit.distribution(normal_gold(spark, sf_dir), F.col("label")))
+
+
+@query("select lower(p_name) as text_key, min(p_type) as product from part group by 1 having count(distinct p_type || '|' || p_size) = 1")
+def identity_lookup(spark, sf_dir):
+    part = read(spark, sf_dir, "part").select(F.concat(F.lit(" "), F.upper("p_name")).alias("Offer Name"), F.col("p_type").alias("Product"), F.lit("").alias("Variant"), F.col("p_size").cast("string").alias("Base Packsize"))
+    return training.reliable_offers(part)[0].select("text_key", F.col("meta.f1").alias("product"))
+
+
+@query()
+def training_features(spark, sf_dir):
+    return training.build(b.gold(spark, sf_dir).withColumn("offer_text", F.col("offer_text")), b.small_master(spark, sf_dir)).accepted
+
+
+def event_scores(spark, sf_dir):
+    return read(spark, sf_dir, "events").select((F.col("event_type") == "click").cast("int").alias("pair_label"), F.least(F.lit(1.0), F.col("value") / 100).alias("ml_probability"), "event_type", (F.col("user_id") % 3).alias("slice"))
+
+
+SCORES = "s as (select (event_type = 'click')::int as y, least(1::double, value / 100) as p, user_id % 3 as slice from events)"
+
+
+@query(f"""with {SCORES}, g as (select i / 20::double as threshold from range(1, 20) r(i)), c as (select threshold, count(*) filter (y = 1 and p >= threshold) as tp, count(*) filter (y = 0 and p >= threshold) as fp,
+  count(*) filter (y = 1 and p < threshold) as fn, count(*) filter (y = 0 and p < threshold) as tn from g, s group by 1)
+  select round(threshold, 6) as threshold, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) as precision, round(tp / nullif(tp + fn, 0), 6) as recall from c""")
+def threshold_sweep(spark, sf_dir):
+    out = scoring.threshold_sweep(event_scores(spark, sf_dir))
+    return out.select(F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(f"""with {SCORES}, r as (select *, rank() over (partition by slice order by p) + (count(*) over (partition by slice, p) - 1) / 2::double as rk from s)
+  select slice, sum(y)::bigint as positives, round((sum(rk) filter (y = 1) - sum(y) * (sum(y) + 1) / 2::double) / (sum(y) * sum(1 - y)), 6) as roc_auc, round(count(*) filter (y = 1 and p >= 0.5) / nullif(count(*) filter (p >= 0.5), 0), 6) as precision from r group by slice""")
+def model_metrics(spark, sf_dir):
+    out = scoring.metrics(event_scores(spark, sf_dir), by=["slice"])
+    return out.select("slice", "positives", F.round("roc_auc", 6).alias("roc_auc"), F.round("precision", 6).alias("precision"))
+
+
+@query()
+def group_split(spark, sf_dir):
+    return scoring.with_split(b.gold(spark, sf_dir)).select("record_id", "offer_group_id", "split")
+
+
+@query("select category, count(*) as n, count(distinct name) as names from (select p_type as category, p_name as name from part) group by 1")
+def category_counts(spark, sf_dir):
+    return b.master(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("Itemname").alias("names"))
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice - lead(l_extendedprice) over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as margin from lineitem")
+def margin_lead(spark, sf_dir):
+    best = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") - F.lead("l_extendedprice").over(best)).alias("margin"))
