@@ -24,7 +24,7 @@ from .topk import usable
 
 #: Blocks, codewords of a block, the bound in standard deviations of a random direction, and how
 #: many directions a vector has at least (its best ones).
-BLOCKS, WORDS, THRESHOLD, LEAST = 4, 24, 3.8, 6
+BLOCKS, WORDS, THRESHOLD, LEAST = 4, 24, 3.5, 20
 CELL = 512
 
 
@@ -116,7 +116,7 @@ def near_vectors(vectors: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*part.schema.names, "directions"])
 
     decoded = stored(classes.mapInArrow(directions, "label int, embedding array<float>, copies long, rep long, directions array<int>"))
-    each = decoded.select("*", F.explode("directions").alias("direction"))
+    each = decoded.select("label", "rep", F.explode("directions").alias("direction"))
     sizes = each.groupBy("label", "direction").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / CELL).cast("int")
     cells = (
@@ -126,6 +126,8 @@ def near_vectors(vectors: DataFrame, least: float) -> DataFrame:
         .withColumn("side", F.when(F.col("part") == F.col("other"), 2).otherwise((F.col("part") > F.col("other")).cast("int")))
         .withColumn("i", F.least("part", "other"))
         .withColumn("j", F.greatest("part", "other"))
+        .select("rep", "direction", "side", "i", "j")
+        .join(decoded, "rep")  # vectors only for rows that share a direction
     )
 
     def cell(group: pd.DataFrame) -> pd.DataFrame:
