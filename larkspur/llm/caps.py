@@ -14,18 +14,17 @@ label link with nothing; a shorter vector counts as filled up with zeros.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, partitions, stored
 from .topk import usable
 
 #: Blocks, codewords of a block, the bound in standard deviations of a random direction, and how
 #: many directions a vector has at least (its best ones).
-BLOCKS, WORDS, THRESHOLD, LEAST = 4, 24, 3.5, 20
-CELL = 512
+BLOCKS, WORDS, THRESHOLD, LEAST = 4, 24, 4.0, 14
+CELL, ROWS = 512, 40_000
 
 
 def codebook(width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -65,38 +64,72 @@ def matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
-def linked(direction: int, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, lists: list[np.ndarray], side: np.ndarray, least: float) -> pd.DataFrame:
-    """Links in one cell: for each row with any, the copies that it links to and the smallest row
-    of its group in the cell. side: 0 and 1 for the cell's two parts, 2 where both are the same."""
+def pairs_of(first: np.ndarray, size: np.ndarray, x: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a < b of one group with a cosine of at least `least`; groups are runs of rows. Groups of
+    one size are compared together. side: 0 and 1 for a cell's two parts, 2 where both are the same."""
     norm = np.linalg.norm(x, axis=1)
-    a, b = np.nonzero((x @ x.T) >= least * np.outer(norm, norm) * (1 - 1e-12))
-    keep = (a < b) & ((side[a] != side[b]) | (side[a] == 2))
-    a, b = a[keep], b[keep]
-    exact = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= least
-    a, b = a[exact], b[exact]
-    if not len(a):
-        return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-    width = max(map(len, lists))
-    padded = np.full((len(lists), width), -1, np.int64)
-    for i, own in enumerate(lists):
-        own = own[own < direction]
-        padded[i, : len(own)] = own
-    fresh = np.ones(len(a), bool)
-    for at in range(0, len(a), 20_000):
-        p, q = padded[a[at : at + 20_000]], padded[b[at : at + 20_000]]
-        fresh[at : at + 20_000] = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any((1, 2))
-    a, b = a[fresh], b[fresh]
+    unit = x / norm[:, None]
+    out = []
+    for k in np.unique(size[size > 1]).tolist():
+        starts, step = first[size == k], max(1, 4_000_000 // (k * max(k, x.shape[1])))
+        for at in range(0, len(starts), step):
+            rows = starts[at : at + step, None] + np.arange(k)
+            v = unit[rows]
+            g, i, j = np.nonzero(v @ v.transpose(0, 2, 1) >= least - 1e-9)
+            keep = i < j
+            a, b = rows[g[keep], i[keep]], rows[g[keep], j[keep]]
+            keep = (side[a] != side[b]) | (side[a] == 2)
+            out.append((a[keep], b[keep]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
+    exact = np.empty(len(a), bool)
+    for at in range(0, len(a), 50_000):
+        p, q = a[at : at + 50_000], b[at : at + 50_000]
+        exact[at : at + 50_000] = np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= least
+    return a[exact], b[exact]
+
+
+def first_common(a: np.ndarray, b: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Smallest direction that the rows of each pair share, by sorting both rows' lists together."""
+    flat, size = np.concatenate(lists).astype(np.int64), np.array(list(map(len, lists)))
+    start, out = size.cumsum() - size, np.full(len(a), -1, np.int64)
+    total = np.cumsum(size[a] + size[b])
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 4_000_000, "right")))
+        keys = []
+        for rows in (a[at:to], b[at:to]):
+            n = size[rows]
+            places = np.repeat(start[rows] - (n.cumsum() - n), n) + np.arange(n.sum())
+            keys.append(np.repeat(np.arange(len(rows)), n) << 32 | flat[places])
+        keys = np.sort(np.concatenate(keys))
+        twice = keys[1:][keys[1:] == keys[:-1]]
+        pair, first = np.unique(twice >> 32, return_index=True)
+        out[at + pair] = twice[first] & 0xFFFFFFFF
+        at = to
+    return out
+
+
+def linked(group: np.ndarray, direction: np.ndarray, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, lists: list[np.ndarray], side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of many cells, whose rows are sorted by group: for each row with any, its id, the copies
+    that it links to, and the smallest id of its linked rows in the cell."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(first, len(group)))
+    a, b = pairs_of(first, size, x, side, least)
+    fresh = first_common(a, b, lists) == direction[a] if len(a) else np.zeros(0, bool)
+    a, b = a[fresh], b[fresh]  # a pair counts in the first direction that both rows have
     links, root = np.zeros(len(ids), np.int64), ids.astype(np.int64).copy()
     np.add.at(links, a, copies[b])
     np.add.at(links, b, copies[a])
-    while True:
+    while len(a):
         low = np.minimum(root[a], root[b])
         if (low == root[a]).all() and (low == root[b]).all():
             break
         np.minimum.at(root, a, low)
         np.minimum.at(root, b, low)
     has = links > 0
-    return pd.DataFrame({"rep": ids[has], "links": links[has], "root": root[has]})
+    return ids[has], links[has], root[has]
 
 
 def near_vectors(vectors: DataFrame, least: float) -> DataFrame:
@@ -130,10 +163,42 @@ def near_vectors(vectors: DataFrame, least: float) -> DataFrame:
         .join(decoded, "rep")  # vectors only for rows that share a direction
     )
 
-    def cell(group: pd.DataFrame) -> pd.DataFrame:
-        return linked(int(group["direction"].iloc[0]), group["rep"].to_numpy(), group["copies"].to_numpy(), matrix(group["embedding"].to_list(), width), group["directions"].to_list(), group["side"].to_numpy(), least)
+    names = ["label", "direction", "i", "j"]
+    total = each.count()
+    parts_n = max(partitions(vectors.sparkSession), -(-total // ROWS))
 
-    links = stored(cells.groupBy("label", "direction", "i", "j").applyInPandas(cell, "rep long, links long, root long"))
+    def compare(batches):
+        held, rows, last = [], 0, None
+        for batch in batches:
+            key = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
+            at = 0
+            while at < len(key):  # cut where a group begins and enough rows are there
+                to = len(key)
+                if rows >= ROWS:
+                    to = next((k for k in range(at, len(key)) if key[k] != (key[k - 1] if k > 0 else last)), to)
+                    if to == at:
+                        yield one(held)
+                        held, rows = [], 0
+                        to = len(key)
+                held.append(batch.slice(at, to - at))
+                rows += to - at
+                at = to
+            last = key[-1] if key else last
+        if held:
+            yield one(held)
+
+    def one(held):
+        table = pa.Table.from_batches(held)
+        column = lambda n: table.column(n).to_numpy()
+        group = np.zeros(table.num_rows, np.int64)
+        for n in names:
+            group = np.append(0, np.cumsum((np.diff(group) != 0) | (np.diff(column(n)) != 0)))
+        lists = [np.asarray(v, np.int32) for v in table.column("directions").to_pylist()]
+        ids, links, root = linked(group, column("direction"), column("rep"), column("copies"), matrix(table.column("embedding").to_pylist(), width), lists, column("side"), least)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], names=["rep", "links", "root"])
+
+    dealt = cells.select(*names, "side", "rep", "copies", "embedding", "directions").repartition(parts_n, *names).sortWithinPartitions(*names)
+    links = stored(dealt.mapInArrow(compare, "rep long, links long, root long"))
     found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
