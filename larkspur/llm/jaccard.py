@@ -1,13 +1,17 @@
 """N-gram Jaccard join: a prefix join whose candidate sets are verified in a trie.
 
-A document's set holds the hashes of its distinct word n-grams. All sets share one order: n-grams
-that a sample of documents shows to be frequent come last, the others by hash; any order gives the
-same links. Two sets that link share an n-gram of their prefixes. Prefixes are routed by n-gram; one
-that only one distinct set holds goes no further. What is left is joined in two rounds:
-
-1. every set is paired with the smallest document of each n-gram (a star, linear in the group);
-   pairs are pruned by sizes and by bitmaps, whose difference bounds the sets' difference from
-   below, and verified exactly; verified pairs give components;
+A document's set holds the hashes of its distinct word n-grams, in the order of the hashes. N-grams
+that a sample of documents shows to be frequent form a set of their own, so that passages which many
+documents share don't bring unlike documents together. If the frequent part is not most of a set,
+a link of similarity t needs a similarity of the rare parts that follows from the part's share; the
+first n-grams of the rare part are routed, so many that linked sets fail to meet in them with a
+chance below MISS (the order is one of random hashes; 64-bit hashes are likelier to collide). Sets
+that are mostly frequent n-grams route the first ones of both parts. Small sets are routed whole, and
+always meet. N-grams that only one distinct set holds go no further. What is left is joined in rounds:
+
+1. twice, every set is paired with one other, of those that its n-grams' groups have as their centre
+   the one met most often (linear in the group); pairs are pruned by sizes and by bitmaps, whose
+   difference bounds the sets' difference from below, and verified exactly; links give components;
 2. n-grams that still join more than one component pair the sets of different components, which
    are pruned and verified in the same way.
 
@@ -30,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, buckets, components, dropped, flat, gathered, hot_keys, is_in, mix, pieces, routed, shingle_sets, signed, stored
 
-#: Candidates of one document that are verified together; salts of a frequent document's candidates.
-BLOCK = 64
+#: Candidates of one document that are verified together; rounds of centres; chance of a linked pair
+#: not to meet; the share of frequent n-grams from which they are routed too.
+BLOCK, ROUNDS, MISS, MOSTLY = 64, 2, 1e-14, 0.6
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -82,6 +87,19 @@ def trie_links(own: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> l
     return out
 
 
+def sketch_sizes(share: float, t: float) -> tuple[int, int]:
+    """How many n-grams of the rare and of the frequent part to route, if `share` of a set is frequent.
+
+    In the union of two linked sets the frequent share is at most s = 1 - t (1 - share). If the
+    frequent parts were equal, the rare parts would need a similarity of t - (1 - t) s / (1 - s);
+    n hashes miss a similarity j with a chance of (1 - j) ** n at most. From MOSTLY on, the rare
+    part is routed as for MOSTLY, and the frequent part for a similarity of t."""
+    s = 1 - t * (1 - min(share, MOSTLY))
+    rare = max(0.05, t - (1 - t) * s / (1 - s))
+    need = lambda j: int(np.ceil(np.log(MISS) / np.log(1 - j)))
+    return need(rare), need(t) if share >= MOSTLY else 0
+
+
 class Join:
     """The stages for one table of documents and one similarity num / den."""
 
@@ -90,9 +108,9 @@ class Join:
         self.docs = docs.select("doc_id", "text").where("doc_id is not null")
 
     def digests(self) -> DataFrame:
-        """For each document the size of its set, a 128-bit key of it, a bitmap and its prefix."""
-        n, num, den = self.n, self.num, self.den
-        hot = self.spark.sparkContext.broadcast(hot_keys(self.docs, lambda b: shingle_sets(b.column("text"), n)))
+        """For each document the size of its set, a 128-bit key of it, a bitmap and its routed n-grams."""
+        n, t = self.n, self.num / self.den
+        hot = self.spark.sparkContext.broadcast(hot_keys(self.docs, lambda b: shingle_sets(b.column("text"), n), sample=40_000, least=4))
 
         def rows(batches):
             frequent = hot.value
@@ -100,19 +118,19 @@ class Join:
                 sets = shingle_sets(batch.column("text"), n)
                 cold, warm = [], []
                 for x in sets:
-                    take = len(x) - -(-num * len(x) // den) + 1 if len(x) else 0
                     late = is_in(frequent, x)
-                    cold.append(x[~late][:take])
-                    warm.append(x[late][: take - len(cold[-1])])
+                    first, second = sketch_sizes(late.mean() if len(x) else 0.0, t)
+                    cold.append(x[~late][:first])
+                    warm.append(x[late][:second])
                 keys = [np.array([mix(x).sum(), mix(x ^ U64(0x5851F42D4C957F2D)).sum()]) if len(x) else np.zeros(2, np.uint64) for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(signed(np.array([k[i] for k in keys], np.uint64))) for i in (0, 1)), flat([bitmap(x) for x in sets]), flat(cold), flat(warm)], names=["doc_id", "n", "k1", "k2", "bits", "cold", "warm"])
 
         return stored(self.docs.mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, bits binary, cold binary, warm binary"))
 
     def postings(self, own: DataFrame) -> DataFrame:
-        """(token, doc_id, n) of all tokens of prefixes that more than one distinct set holds, or
+        """(token, doc_id, n) of all routed n-grams that more than one distinct set holds, or
         that are frequent."""
-        many, parts = buckets(self.spark, 100 * own.count())
+        many, parts = buckets(self.spark, 50 * own.count())
 
         def emit(batches):
             for b in batches:
@@ -193,7 +211,9 @@ class Join:
             if ids:
                 yield done()
 
-        return stored(dealt.mapInArrow(rows, "a long, b long"))
+        found = stored(dealt.mapInArrow(rows, "a long, b long"))
+        dropped(texts)
+        return found
 
     def wide(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -207,16 +227,25 @@ class Join:
         own = stored(all_.join(classes.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi"))
         live = self.postings(own)
         near = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
-        first = live.groupBy("token").agg(F.min_by("n", "doc_id").alias("nb"), F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b < last")
-        star = live.join(first, "token").where("doc_id <> b").withColumnRenamed("n", "na").where(near).select(F.col("doc_id").alias("a"), "b")
-        links = self.verified(self.pruned(star, own))
-        marked = stored(live.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
+        marked, links, tried = live.withColumn("c", F.col("doc_id")), None, None
+        for k in range(ROUNDS):
+            by = F.xxhash64("doc_id", F.lit(k)) if k else F.col("doc_id")
+            first = marked.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "c"), by).alias("f"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+            star = marked.join(first, "token").where("c <> f.c").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("f.doc_id").alias("b"), F.col("f.n").alias("nb")).where(near)
+            star = star.groupBy("a", "b").count()
+            if tried is not None:
+                star = star.join(tried, ["a", "b"], "left_anti")
+            pairs = stored(star.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
+            tried = pairs if tried is None else tried.unionAll(pairs)
+            new = self.verified(self.pruned(pairs, own))
+            links = new if links is None else links.unionAll(new)
+            marked = stored(live.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
         mixed = marked.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
         open_ = marked.join(mixed, "token")
         x = open_.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
         y = open_.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
         rest = x.join(y, "token").where(near & F.expr("b < a and ca <> cb")).select("a", "b")
-        links = links.unionAll(self.verified(self.pruned(rest, own)))
+        links = links.unionAll(self.verified(self.pruned(rest.join(tried, ["a", "b"], "left_anti"), own)))
         found = components(links).select(F.col("node").alias("rep"), "component")
         out = classes.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
         out = stored(out)
