@@ -2,18 +2,22 @@
 
 A document's set holds the hashes of its distinct word n-grams, in the order of the hashes. N-grams
 that a sample of documents shows to be frequent form a set of their own, so that passages which many
-documents share don't bring unlike documents together. If the frequent part is not most of a set,
+many documents share don't bring unlike documents together. If the frequent part is not most of a set,
 a link of similarity t needs a similarity of the rare parts that follows from the part's share; the
 first n-grams of the rare part are routed, so many that linked sets fail to meet in them with a
 chance below MISS (the order is one of random hashes; 64-bit hashes are likelier to collide). Sets
-that are mostly frequent n-grams route the first ones of both parts. Small sets are routed whole, and
-always meet. N-grams that only one distinct set holds go no further. What is left is joined in rounds:
+that are mostly frequent n-grams route their whole rare part: two of them share a routed n-gram of
+it, or overlap in frequent ones alone, by which such a pair is bounded before it is made; for it they
+route the first ones of the frequent part. Small sets are routed whole, and always meet. N-grams that
+only one distinct set holds go no further. What is left is joined in rounds:
 
 1. twice, every set is paired with one other, of those that its n-grams' groups have as their centre
-   the one met most often (linear in the group); pairs are pruned by sizes and by bitmaps, whose
+   the one met most often (linear in the group; first the centre with the fewest rare n-grams, then
+   one by a hash); pairs are pruned by sizes and by bitmaps, whose
    difference bounds the sets' difference from below, and verified exactly; links give components;
-2. n-grams that still join more than one component pair the sets of different components, which
-   are pruned and verified in the same way.
+2. n-grams that still join more than one component pair the sets outside of the n-gram's largest
+   component with those of other components, a pair once for its frequent n-grams; pairs are pruned
+   and verified in the same way. Sets of one component don't meet again.
 
 So copies and near copies of one text are never expanded into all pairs, and no link between
 components is lost. In verification the sets of the candidates of one document are stored in one
@@ -36,7 +40,7 @@ from .common import U64, buckets, components, dropped, flat, gathered, hot_keys,
 
 #: Candidates of one document that are verified together; rounds of centres; chance of a linked pair
 #: not to meet; the share of frequent n-grams from which they are routed too.
-BLOCK, ROUNDS, MISS, MOSTLY = 64, 2, 1e-14, 0.6
+BLOCK, ROUNDS, MISS, MOSTLY = 64, 2, 1e-14, 0.72
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -87,17 +91,19 @@ def trie_links(own: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> l
     return out
 
 
-def sketch_sizes(share: float, t: float) -> tuple[int, int]:
-    """How many n-grams of the rare and of the frequent part to route, if `share` of a set is frequent.
+def sketch_sizes(share: float, t: float) -> tuple[int | None, int]:
+    """How many n-grams of the rare part (None: all) and of the frequent part to route, if `share`
+    of a set is frequent.
 
-    In the union of two linked sets the frequent share is at most s = 1 - t (1 - share). If the
-    frequent parts were equal, the rare parts would need a similarity of t - (1 - t) s / (1 - s);
-    n hashes miss a similarity j with a chance of (1 - j) ** n at most. From MOSTLY on, the rare
-    part is routed as for MOSTLY, and the frequent part for a similarity of t."""
-    s = 1 - t * (1 - min(share, MOSTLY))
-    rare = max(0.05, t - (1 - t) * s / (1 - s))
-    need = lambda j: int(np.ceil(np.log(MISS) / np.log(1 - j)))
-    return need(rare), need(t) if share >= MOSTLY else 0
+    Of the union of a set and one linked to it at most 1 - t is not in both, and at least t - share is
+    both rare and in both: the rare parts have a similarity of (t - share) / (1 - share) at least; n
+    hashes miss a similarity j with a chance of (1 - j) ** n at most, and of two sets the one that
+    routes less has the greater j. From MOSTLY on, the rare part is routed whole, and the frequent
+    part for a similarity of t (if no rare n-gram is in both, t holds for the frequent parts)."""
+    need = lambda j: int(np.ceil(np.log(MISS) / np.log(1 - j))) if j < 1 else 1
+    if share >= min(MOSTLY, 0.96 * t):
+        return None, need(t)
+    return need((t - share) / (1 - share)), 0
 
 
 class Join:
@@ -108,29 +114,33 @@ class Join:
         self.docs = docs.select("doc_id", "text").where("doc_id is not null")
 
     def digests(self) -> DataFrame:
-        """For each document the size of its set, a 128-bit key of it, a bitmap and its routed n-grams."""
-        n, t = self.n, self.num / self.den
+        """For each document the size of its set, a 128-bit key of it, a bitmap, its routed n-grams and
+        how many of the set are frequent."""
+        n, num, den, t = self.n, self.num, self.den, self.num / self.den
         hot = self.spark.sparkContext.broadcast(hot_keys(self.docs, lambda b: shingle_sets(b.column("text"), n), sample=40_000, least=4))
 
         def rows(batches):
             frequent = hot.value
             for batch in pieces(batches):
                 sets = shingle_sets(batch.column("text"), n)
-                cold, warm = [], []
+                cold, warm, reach = [], [], []
                 for x in sets:
                     late = is_in(frequent, x)
-                    first, second = sketch_sizes(late.mean() if len(x) else 0.0, t)
+                    reach.append(int(late.sum()))
+                    first, second = sketch_sizes(reach[-1] / len(x) if len(x) else 0.0, t)
                     cold.append(x[~late][:first])
-                    warm.append(x[late][:second])
+                    warm.append(x[late][: second if den * reach[-1] >= num * len(x) else 0])
                 keys = [np.array([mix(x).sum(), mix(x ^ U64(0x5851F42D4C957F2D)).sum()]) if len(x) else np.zeros(2, np.uint64) for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(signed(np.array([k[i] for k in keys], np.uint64))) for i in (0, 1)), flat([bitmap(x) for x in sets]), flat(cold), flat(warm)], names=["doc_id", "n", "k1", "k2", "bits", "cold", "warm"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(signed(np.array([k[i] for k in keys], np.uint64))) for i in (0, 1)), flat([bitmap(x) for x in sets]), flat(cold), flat(warm), pa.array(reach, pa.int64())], names=["doc_id", "n", "k1", "k2", "bits", "cold", "warm", "reach"])
 
-        return stored(self.docs.mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, bits binary, cold binary, warm binary"))
+        return stored(self.docs.mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, bits binary, cold binary, warm binary, reach long"))
 
     def postings(self, own: DataFrame) -> DataFrame:
-        """(token, doc_id, n) of all routed n-grams that more than one distinct set holds, or
-        that are frequent."""
+        """(token, doc_id, n, r) of all routed n-grams that more than one distinct set holds, or
+        that are frequent; r: how much of the set can be in an overlap by which this n-gram pairs it
+        (for a frequent one, of sets that share no rare one, the frequent part)."""
         many, parts = buckets(self.spark, 50 * own.count())
+        fields = "token long, doc_id long, n long, r long"
 
         def emit(batches):
             for b in batches:
@@ -149,17 +159,28 @@ class Join:
             same = np.zeros(len(k) + 1, bool)
             same[1:-1] = k[1:] == k[:-1]
             keep = same[1:] | same[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(k[keep])), pa.array(got["d"][order][keep]), pa.array(got["n"][order][keep].astype(np.int64))], names=["token", "doc_id", "n"])
+            size = pa.array(got["n"][order][keep].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(k[keep])), pa.array(got["d"][order][keep]), size, size], names=["token", "doc_id", "n", "r"])
 
         def warm(batches):
             for b in batches:
                 tokens = [np.frombuffer(x, np.uint64) for x in b.column("warm").to_pylist()]
                 size = [len(t) for t in tokens]
                 if sum(size):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.repeat(b.column("doc_id").to_numpy(), size)), pa.array(np.repeat(b.column("n").to_numpy(), size))], names=["token", "doc_id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), *(pa.array(np.repeat(b.column(c).to_numpy(), size)) for c in ("doc_id", "n", "reach"))], names=["token", "doc_id", "n", "r"])
 
-        cold = own.select("doc_id", "n", "cold").mapInArrow(emit, "bucket int, k binary, d binary, n binary").repartition(parts, "bucket").select("k", "d", "n").mapInArrow(meet, "token long, doc_id long, n long")
-        return stored(cold.unionAll(own.where("length(warm) > 0").select("doc_id", "n", "warm").mapInArrow(warm, "token long, doc_id long, n long")))
+        cold = own.select("doc_id", "n", "cold").mapInArrow(emit, "bucket int, k binary, d binary, n binary").repartition(parts, "bucket").select("k", "d", "n").mapInArrow(meet, fields)
+        return stored(cold.unionAll(own.where("length(warm) > 0").select("doc_id", "n", "reach", "warm").mapInArrow(warm, fields)))
+
+    def sketches(self, own: DataFrame) -> DataFrame:
+        """(doc_id, sketch): the routed frequent n-grams of each document that has some."""
+
+        def rows(batches):
+            for b in batches:
+                tokens = [np.frombuffer(x, np.int64) for x in b.column("warm").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(tokens, pa.list_(pa.int64()))], names=["doc_id", "sketch"])
+
+        return own.where("length(warm) > 0").select("doc_id", "warm").mapInArrow(rows, "doc_id long, sketch array<long>")
 
     def pruned(self, pairs: DataFrame, own: DataFrame) -> DataFrame:
         """Distinct pairs (a, b) that sizes and bitmaps don't rule out."""
@@ -226,12 +247,12 @@ class Join:
         classes = stored(all_.select("doc_id", "n", "k1", "k2").join(firsts, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
         own = stored(all_.join(classes.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi"))
         live = self.postings(own)
-        near = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
+        near = (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (F.lit(num + den) * F.least("ra", "rb") >= F.lit(num) * (F.col("na") + F.col("nb")))
         marked, links, tried = live.withColumn("c", F.col("doc_id")), None, None
         for k in range(ROUNDS):
-            by = F.xxhash64("doc_id", F.lit(k)) if k else F.col("doc_id")
-            first = marked.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "c"), by).alias("f"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-            star = marked.join(first, "token").where("c <> f.c").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("f.doc_id").alias("b"), F.col("f.n").alias("nb")).where(near)
+            by = F.xxhash64("doc_id", F.lit(k)) if k else F.struct(F.col("n") - F.col("r"), "doc_id")
+            first = marked.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "r", "c"), by).alias("f"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+            star = marked.join(first, "token").where("c <> f.c").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), F.col("f.doc_id").alias("b"), F.col("f.n").alias("nb"), F.col("f.r").alias("rb")).where(near)
             star = star.groupBy("a", "b").count()
             if tried is not None:
                 star = star.join(tried, ["a", "b"], "left_anti")
@@ -239,17 +260,22 @@ class Join:
             tried = pairs if tried is None else tried.unionAll(pairs)
             new = self.verified(self.pruned(pairs, own))
             links = new if links is None else links.unionAll(new)
-            marked = stored(live.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("c")))
-        mixed = marked.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
-        open_ = marked.join(mixed, "token")
-        x = open_.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        y = open_.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        rest = x.join(y, "token").where(near & F.expr("b < a and ca <> cb")).select("a", "b")
+            marked = stored(live.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "r", F.coalesce("component", "doc_id").alias("c")))
+        sizes = marked.groupBy("token", "c").count()
+        mixed = sizes.groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count("*").alias("several")).where("several > 1").select("token", "big")
+        open_ = stored(marked.join(mixed, "token").join(self.sketches(own), "doc_id", "left"))
+        side = lambda k: [F.col(c).alias(c[0] + k) for c in ("doc_id", "n", "r", "c", "sketch")]
+        x = open_.where("c <> big").select("token", "big", *side("a"))
+        y = open_.select("token", *side("b"))
+        once = F.coalesce(F.expr("array_min(array_intersect(sa, sb)) = token"), F.lit(True))
+        rest = x.join(y, "token").where(near & F.expr("ca <> cb and (cb = big or da < db)") & once)
+        rest = rest.select(F.greatest("da", "db").alias("a"), F.least("da", "db").alias("b"))
+        tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         links = links.unionAll(self.verified(self.pruned(rest.join(tried, ["a", "b"], "left_anti"), own)))
         found = components(links).select(F.col("node").alias("rep"), "component")
         out = classes.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
         out = stored(out)
-        for old in (all_, own, live, marked):
+        for old in (all_, own, live, marked, open_):
             dropped(old)
         return out
 
