@@ -263,7 +263,8 @@ class Join:
             marked = stored(live.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "r", F.coalesce("component", "doc_id").alias("c")))
         sizes = marked.groupBy("token", "c").count()
         mixed = sizes.groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count("*").alias("several")).where("several > 1").select("token", "big")
-        open_ = stored(marked.join(mixed, "token").join(self.sketches(own), "doc_id", "left"))
+        open_ = marked.join(mixed, "token").join(self.sketches(own), "doc_id", "left")
+        open_ = stored(open_.withColumn("sketch", F.expr("if(array_contains(sketch, token), sketch, null)")))  # none for a rare one
         side = lambda k: [F.col(c).alias(c[0] + k) for c in ("doc_id", "n", "r", "c", "sketch")]
         x = open_.where("c <> big").select("token", "big", *side("a"))
         y = open_.select("token", *side("b"))

@@ -60,6 +60,31 @@ def test_jaccard(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_edited_copies(spark):
+    """A large group of copies with up to nine edits, some edits shared: links near the threshold."""
+    rng = random.Random(7)
+    base = [rng.choice(WORDS) + str(i % 40) for i in range(150)]
+    texts = []
+    for i in range(160):
+        own = list(texts[rng.randrange(len(texts))].split() if texts and i % 3 == 0 else base)
+        for _ in range(rng.randrange(10)):
+            own[rng.randrange(len(own))] = rng.choice(WORDS) + str(rng.randrange(4000))
+        texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(root)
+        for a, x in enumerate(sets):
+            for b in range(a):
+                if root[a] != root[b] and 100 * len(x & sets[b]) >= 75 * len(x | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert 1 < len(set(root)) < len(texts) and got == dict(enumerate(root))
+
+
 def test_trie_links():
     rng = np.random.default_rng(1)
     own = np.unique(rng.integers(0, 300, 80).astype(np.uint64))
