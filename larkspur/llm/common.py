@@ -54,7 +54,7 @@ class _Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            cls.up, cls.down = _powers(_BASE, 2 * n), _powers(_BASE_INV, 2 * n)
+            cls.up, cls.down = _powers(_BASE, n + n // 4), _powers(_BASE_INV, n + n // 4)
         return cls.up, cls.down
 
 
@@ -79,7 +79,7 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about `most` bytes of text each, to bound the memory of numpy."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
