@@ -1,17 +1,23 @@
 """Language-model scoring: a log-bilinear neural model trained with noise-contrastive estimation.
 
 Counts of all training tokens come first: each task counts its words, the counts meet by hash in
-buckets, and the frequent words (at most KNOWN, a fixed bound) become the model's vocabulary. All
-other words share one class of the model. Counts of pairs of neighbouring classes over all training
-documents, at most (KNOWN + 2) squared numbers, train the model: the vector of the previous class,
+buckets, and every word counted LEAST times or more becomes part of the model's vocabulary, which
+so grows with the corpus. The probability of a word is that of its class after the class of the
+word before, times the word's part of its class. The SINGLE most frequent words are a class each.
+The others of the vocabulary are grouped by the words beside them, in as many classes as the root of
+their number: sums of random vectors of all their neighbours meet in the word's bucket, and rounds
+of spherical k-means over all these words, run where they lie, give the classes. Counts of pairs of
+neighbouring classes over all training documents train the model: the vector of the previous class,
 times a matrix, predicts the vector of the next one. Batched matrix products then give normalised
-log-probabilities of every class after every class. A word of the shared class gets its part of
-the class by how often it was counted: words seen r times share the weight that such words have
+log-probabilities of every class after every class. A word of a class of the vocabulary has the part
+of it that its count has. Words counted less share one class more and get their part
+of it by how often they were counted: words seen r times share the weight that such words have
 when one occurrence is held back (Good and Turing), and words never seen share that of words seen
 once. So the probabilities of all words, one unknown word and the end sum to one.
 
-Counts of rare words are never broadcast: the (word, document) pairs of rare words go to the
-word's bucket, which holds its count, and only sums by document come back.
+Vocabulary, counts and classes are broadcast (20 bytes a word); those of rarer words never: the
+(word, document) pairs of rare words go to the word's bucket, which holds its count, and only sums
+by document come back.
 
 Cases: a null text counts as empty: it has the end token alone. Repeated ids are scored each for
 itself. With no training token all words are unknown.
@@ -26,9 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import buckets, gathered, pieces, routed, stored, text_arrays, words
 
-#: Words that the model knows one by one at most, and how often they were counted at least; size of a
+#: Words that are a class each, and how often a word of the vocabulary was counted at least; size of a
 #: vector; noise samples for a pair, steps, pairs of a step and rate of training; classes of counts.
-KNOWN, LEAST, WIDTH, NOISE, STEPS, PAIRS, RATE, COUNTS = 1022, 20, 24, 16, 300, 2048, 0.05, 16
+SINGLE, LEAST, WIDTH, NOISE, STEPS, PAIRS, RATE, COUNTS = 1022, 20, 24, 16, 300, 2048, 0.05, 16
+#: Numbers that describe a word's neighbours, and rounds of grouping.
+SIDES, ROUNDS = 12, 5
 END = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -86,14 +94,13 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def summary(counted: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens, distinct ones, the model's words with their counts (sorted by hash), and for each
-    count class the distinct words and tokens that aren't the model's."""
+    """All tokens, distinct ones, the vocabulary with its counts (sorted by hash), and for each
+    count class the distinct words and tokens that aren't in it."""
 
     def rows(batches):
         got = gathered(batches, {"k": np.uint64, "c": np.int64})
         k, c = got["k"], got["c"]
-        top = np.lexsort((k, -c))[:KNOWN]
-        top = top[c[top] >= LEAST]
+        top = c >= LEAST
         kinds = np.bincount(count_class(c), minlength=COUNTS)
         mass = np.bincount(count_class(c), c, minlength=COUNTS).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((int(c.sum()), pa.int64()), (len(c), pa.int64()), (k[top].tobytes(), pa.binary()), (c[top].tobytes(), pa.binary()), (kinds.tolist(), pa.list_(pa.int64())), (mass.tolist(), pa.list_(pa.int64())))], names=["n", "v", "k", "c", "kinds", "mass"])
@@ -107,7 +114,7 @@ def summary(counted: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray, np.nd
             for k, c in zip(b.column("k").to_pylist(), b.column("c").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["k", "c"])
 
-    best = part.select("k", "c").mapInArrow(spread, "k long, c long").orderBy(F.desc("c"), "k").limit(KNOWN).toArrow()
+    best = part.select("k", "c").mapInArrow(spread, "k long, c long").toArrow()
     k, c = best.column("k").to_numpy().view(np.uint64), best.column("c").to_numpy()
     order = np.argsort(k)
     k, c = k[order], c[order]
@@ -121,35 +128,147 @@ def count_class(c: np.ndarray) -> np.ndarray:
     return np.minimum(COUNTS - 1, np.ceil(np.log2(np.maximum(c, 1))).astype(int) + (c > 0))
 
 
-def pair_counts(docs: DataFrame, learning: Column, known: np.ndarray) -> np.ndarray:
+def places(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each token in the vocabulary; -1: not there."""
+    if not len(known):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, at, -1)
+
+
+def class_of(h: np.ndarray, first: np.ndarray, known: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each token (0: not in the vocabulary) and of the one before it, and its place."""
+    at = places(h, known)
+    classes = np.append(classes, 0)
+    now = classes[at].astype(np.int64)
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[first[:-1]] = classes[places(np.array([END]), known)]
+    return now, before, at
+
+
+def word_classes(docs: DataFrame, learning: Column, n: int, known: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Class of each word of the vocabulary, from 1 on."""
+    spark = docs.sparkSession
+    classes = np.zeros(len(known), np.int32)
+    single = np.sort(np.lexsort((known, -often))[:SINGLE])
+    classes[single] = np.arange(1, len(single) + 1)
+    rest = len(known) - len(single)
+    if not rest:
+        return classes
+    groups = int(np.ceil(np.sqrt(rest)))
+    # vectors of neighbours in whole numbers: their sums don't depend on the order; rarer ones weigh more
+    weight = np.concatenate([[n - often[single].sum()], often[single]])
+    sides = np.random.Generator(np.random.PCG64(11)).normal(0, 1 << 16, (2, len(weight), SIDES)) * np.sqrt(weight[1:].min() / np.maximum(weight, 1))[:, None]
+    sides[:, 0] = 0
+    sides = np.round(sides - (weight @ sides / weight.sum())[:, None, :]).astype(np.int64)
+    shared = spark.sparkContext.broadcast((known, classes, sides))
+    many, parts = buckets(spark, SIDES * rest)
+
+    def emit(batches):
+        words_, alone, (left, right) = shared.value
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for b in pieces(batches):
+            now, before, at = class_of(*tokens(b), words_, alone)
+            after = np.append(now[1:], 0)
+            mine = np.flatnonzero((at >= 0) & (now == 0))
+            if len(mine):
+                seen.append(added(at[mine], left[before[mine]] + right[after[mine]]))
+                held += len(seen[-1][0])
+            if held > 200_000:
+                at, f = added(*(np.concatenate(x) for x in zip(*seen, strict=True)))
+                yield routed(words_[at], [words_[at], f], many, ["k", "f"])
+                seen, held = [], 0
+        if seen:
+            at, f = added(*(np.concatenate(x) for x in zip(*seen, strict=True)))
+            yield routed(words_[at], [words_[at], f], many, ["k", "f"])
+
+    def add(batches):
+        got = gathered(batches, {"k": np.uint64, "f": np.int64})
+        if len(got["k"]):
+            k, f = added(got["k"], got["f"].reshape(-1, SIDES))
+            f = f / np.maximum(np.sqrt((f.astype(float) ** 2).sum(1, keepdims=True)), 1)
+            yield routed(k, [k, np.round(f * (1 << 20)).astype(np.int64)], many, ["k", "f"])
+
+    def held_by(batches):
+        got = gathered(batches, {"k": np.uint64, "f": np.int64})
+        return got["k"], got["f"].reshape(-1, SIDES)
+
+    sent = docs.where(learning).select("text").mapInArrow(emit, "bucket int, k binary, f binary")
+    described = stored(sent.repartition(parts, "bucket").select("k", "f").mapInArrow(add, "bucket int, k binary, f binary")).select("k", "f")
+    columns = [f"f{i}" for i in range(SIDES)]
+    schema = ", ".join(f"{x} long" for x in ("k", *columns))
+
+    def table(k, f, name="k"):
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in f.T)], names=[name, *columns])
+
+    def begin(batches):
+        k, f = held_by(batches)
+        first = np.argsort(k)[: groups]
+        yield table(k[first], f[first])
+
+    rows = described.mapInArrow(begin, schema).orderBy(F.xxhash64("k"), "k").limit(groups).select(*columns).toArrow()
+    centre = np.stack([x.to_numpy() for x in rows.columns], 1).astype(float)
+    for _ in range(ROUNDS):
+
+        def move(batches, centre=centre):
+            k, f = held_by(batches)
+            if len(k):
+                yield table(*added(nearest(f, centre), f))
+
+        rows = described.mapInArrow(move, schema).groupBy("k").agg(*(F.sum(x).alias(x) for x in columns)).toArrow()
+        centre[rows.column("k").to_numpy()] = np.stack([rows.column(x).to_numpy() for x in columns], 1)
+
+    def last(batches):
+        k, f = held_by(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(nearest(f, centre).astype(np.int32))], names=["k", "g"])
+
+    found = described.mapInArrow(last, "k long, g int").toArrow()
+    used, group = np.unique(found.column("g").to_numpy(), return_inverse=True)
+    classes[places(found.column("k").to_numpy().view(np.uint64), known)] = len(single) + 1 + group
+    return classes
+
+
+def added(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    found, first = np.unique(keys[order], return_index=True)
+    return found, np.add.reduceat(rows[order], first)
+
+
+def nearest(f: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Row of centre in whose direction each row of f lies most."""
+    unit = centre / np.maximum(np.sqrt((centre**2).sum(1, keepdims=True)), 1)
+    out = np.empty(len(f), np.int64)
+    for i in range(0, len(f), 4096):
+        out[i : i + 4096] = (f[i : i + 4096] @ unit.T).argmax(1)
+    return out
+
+
+def class_shares(classes: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """log10 of the part that each word of the vocabulary has of its class."""
+    return np.log10(often / np.maximum(np.bincount(classes, often), 1)[classes])
+
+
+def pair_counts(docs: DataFrame, learning: Column, known: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Counts of (previous class, class) over all training tokens; a text begins after its end."""
-    classes = len(known) + 1
+    many = int(classes.max(initial=0)) + 1
+    shared = docs.sparkSession.sparkContext.broadcast((known, classes))
 
     def rows(batches):
-        total = np.zeros(classes * classes, np.int64)
+        total = np.zeros(many * many, np.int64)
         for b in pieces(batches):
-            now, before = class_of(*tokens(b), known)
-            total += np.bincount(before * classes + now, minlength=classes * classes)
+            now, before, _ = class_of(*tokens(b), *shared.value)
+            at, times = np.unique(before * many + now, return_counts=True)
+            total[at] += times
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
     found = docs.where(learning).select("text").mapInArrow(rows, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(classes * classes, np.int64)
+    out = np.zeros(many * many, np.int64)
     out[found.column("at").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(classes, classes)
-
-
-def class_of(h: np.ndarray, first: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token (0: not the model's) and of the one before it."""
-    now = np.zeros(len(h), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        now = np.where(known[at] == h, at + 1, 0)
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    end = np.searchsorted(known, END)
-    before[first[:-1]] = end + 1 if end < len(known) and known[end] == END else 0
-    return now, before
+    return out.reshape(many, many)
 
 
 def train(pairs: np.ndarray) -> dict[str, np.ndarray]:
@@ -212,23 +331,26 @@ def score(docs: DataFrame, learning: Column) -> DataFrame:
     docs = docs.select("doc_id", "text")
     counted = count_words(docs, learning)
     n, v, known, (kinds, mass), frequent = summary(counted)
-    shared = spark.sparkContext.broadcast((known, frequent, train(pair_counts(docs, learning, known)), rare_shares(kinds, mass)))
+    classes = word_classes(docs, learning, n, known, frequent)
+    model = train(pair_counts(docs, learning, known, classes))
+    shared = spark.sparkContext.broadcast((known, frequent, classes, model, rare_shares(kinds, mass)))
     base = float(np.log10(n + v + 1))
     many, parts = buckets(spark, 150 * docs.select("doc_id").count())
 
     def emit(batches):
-        """A row for each document with the sums over the model's words, and its rare words by bucket."""
-        words_, often, model, _ = shared.value
+        """A row for each document with the sums over the vocabulary, and its rare words by bucket."""
+        words_, often, classes, model, _ = shared.value
         table = log_probabilities(model)
+        share, often = np.append(class_shares(classes, often), 0.0), np.log10(np.append(often, 0) + 1.0)
         for b in pieces(batches):
             h, first = tokens(b)
-            now, before = class_of(h, first, words_)
-            sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (table[before, now], np.where(now > 0, np.log10(np.concatenate([[0], often]) + 1.0)[now], 0.0), (now > 0).astype(float))]
+            now, before, at = class_of(h, first, words_, classes)
+            sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (table[before, now] + share[at], often[at], (at >= 0).astype(float))]
             key = b.column("doc_id")
             rows = [s[first[1:]] - s[first[:-1]] for s in sums]
             size = np.diff(first)
             yield pa.RecordBatch.from_arrays([key, pa.array(rows[0]), pa.array(rows[1] - size * base), pa.array(rows[2].astype(np.int64)), pa.array(size), pa.nulls(b.num_rows, pa.int32()), *(pa.nulls(b.num_rows, pa.binary()) for _ in range(3))], names=["doc_id", "s", "b", "known", "n", "bucket", "k", "d", "t"])
-            rare = now == 0
+            rare = at < 0
             ids = np.array([-1 if x is None else x for x in key.to_pylist()], np.int64)
             row = np.repeat(np.arange(len(size)), size)[rare]
             if len(row):
@@ -246,7 +368,7 @@ def score(docs: DataFrame, learning: Column) -> DataFrame:
     both = rare.unionAll(table.select("bucket", "k", F.lit(None).cast("binary").alias("d"), F.lit(None).cast("binary").alias("t"), "c"))
 
     def meet(batches):
-        shares = shared.value[3]
+        shares = shared.value[4]
         held: dict[str, list[np.ndarray]] = {x: [] for x in ("k", "d", "t", "wk", "wc")}
         for b in batches:
             for k, d, t, c in zip(*(b.column(x).to_pylist() for x in ("k", "d", "t", "c")), strict=True):

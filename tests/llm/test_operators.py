@@ -176,6 +176,21 @@ def test_lm_is_normalised():
     assert each[0] + (each[1:] * kinds[1:])[kinds[1:] > 0].sum() == pytest.approx(1)
 
 
+def test_lm_knows_every_counted_word(spark):
+    """Words beyond the most frequent are told apart by the word before them."""
+    rng = random.Random(4)
+    data = []
+    for i in range(1000):
+        own = [f"{'ab'[i % 2]}{j}" for j in range(631)]
+        data.append((i, " ".join(rng.sample(rng.choices(own[:511], k=50) + rng.choices(own[511:], k=8), 58))))
+    tests = {(x, j): 1000 + 200 * k + j for k, x in enumerate("ab") for j in range(120)}
+    asked = [(i, f"b7 {x}{511 + j} b8") for (x, j), i in tests.items()]
+    rows = lm.score(spark.createDataFrame(data + asked, "doc_id long, text string").repartition(3), F.col("doc_id") < 1000).collect()
+    got = {r["doc_id"]: r["score"] for r in rows}
+    middle = {x: np.median([got[tests[x, j]] for j in range(120)]) for x in "ab"}
+    assert middle["b"] > middle["a"] + 0.3
+
+
 def test_language(spark, empty):
     rng = random.Random(2)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
