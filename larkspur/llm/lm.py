@@ -13,7 +13,8 @@ log-probabilities of every class after every class. A word of a class of the voc
 of it that its count has. Words counted less share one class more and get their part
 of it by how often they were counted: words seen r times share the weight that such words have
 when one occurrence is held back (Good and Turing), and words never seen share that of words seen
-once. So the probabilities of all words, one unknown word and the end sum to one.
+once. Words of one class of counts split its weight by their own counts. So the probabilities of all
+words, one unknown word and the end sum to one.
 
 Vocabulary, counts and classes are broadcast (20 bytes a word); those of rarer words never: the
 (word, document) pairs of rare words go to the word's bucket, which holds its count, and only sums
@@ -324,6 +325,12 @@ def rare_shares(kinds: np.ndarray, mass: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(weight, 1e-300) / weight.sum() / np.maximum(kinds, 1))
 
 
+def rare_word(c: np.ndarray, kinds: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """log10 probability, inside the shared class, of words counted c times."""
+    r = count_class(c)
+    return rare_shares(kinds, mass)[r] + np.where(c > 0, np.log10(np.maximum(c, 1) * np.maximum(kinds, 1)[r] / np.maximum(mass, 1)[r]), 0.0)
+
+
 def score(docs: DataFrame, learning: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score for each row of docs (doc_id,
     text); rows for which `learning` holds are counted and train the model."""
@@ -333,7 +340,7 @@ def score(docs: DataFrame, learning: Column) -> DataFrame:
     n, v, known, (kinds, mass), frequent = summary(counted)
     classes = word_classes(docs, learning, n, known, frequent)
     model = train(pair_counts(docs, learning, known, classes))
-    shared = spark.sparkContext.broadcast((known, frequent, classes, model, rare_shares(kinds, mass)))
+    shared = spark.sparkContext.broadcast((known, frequent, classes, model, (kinds, mass)))
     base = float(np.log10(n + v + 1))
     many, parts = buckets(spark, 150 * docs.select("doc_id").count())
 
@@ -368,7 +375,7 @@ def score(docs: DataFrame, learning: Column) -> DataFrame:
     both = rare.unionAll(table.select("bucket", "k", F.lit(None).cast("binary").alias("d"), F.lit(None).cast("binary").alias("t"), "c"))
 
     def meet(batches):
-        shares = shared.value[4]
+        kinds, mass = shared.value[4]
         held: dict[str, list[np.ndarray]] = {x: [] for x in ("k", "d", "t", "wk", "wc")}
         for b in batches:
             for k, d, t, c in zip(*(b.column(x).to_pylist() for x in ("k", "d", "t", "c")), strict=True):
@@ -391,7 +398,7 @@ def score(docs: DataFrame, learning: Column) -> DataFrame:
             at = np.minimum(np.searchsorted(wk, k), len(wk) - 1)
             c = np.where(wk[at] == k, wc[at], 0)
         docs_, which = np.unique(d, return_inverse=True)
-        sums = [np.bincount(which, x * t, len(docs_)) for x in (shares[count_class(c)], np.log10(c + 1.0), (c > 0).astype(float))]
+        sums = [np.bincount(which, x * t, len(docs_)) for x in (rare_word(c, kinds, mass), np.log10(c + 1.0), (c > 0).astype(float))]
         yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["doc_id", "s", "b", "known"])
 
     back = both.repartition(parts, "bucket").select("k", "d", "t", "c").mapInArrow(meet, "doc_id long, s double, b double, known long")

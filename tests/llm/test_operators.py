@@ -191,6 +191,14 @@ def test_lm_knows_every_counted_word(spark):
     assert middle["b"] > middle["a"] + 0.3
 
 
+def test_rare_words_share_by_their_own_counts():
+    counts = np.array([1, 1, 2, 3, 4, 5, 7, 8, 12, 9000, 60000, 400000])
+    kinds, mass = np.bincount(lm.count_class(counts), minlength=lm.COUNTS), np.bincount(lm.count_class(counts), counts, minlength=lm.COUNTS).astype(int)
+    each = 10 ** lm.rare_word(np.append(counts, 0), kinds, mass)
+    assert each.sum() == pytest.approx(1)
+    assert each[11] / each[10] == pytest.approx(400000 / 60000) and each[10] / each[9] == pytest.approx(60000 / 9000)
+
+
 def test_language(spark, empty):
     rng = random.Random(2)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
