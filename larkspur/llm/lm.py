@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import buckets, gathered, pieces, routed, stored, text_arrays, words
 
 #: Words that are a class each, and how often a word of the vocabulary was counted at least; size of a
-#: vector; noise samples for a pair, steps, pairs of a step and rate of training; classes of counts.
+#: vector; noise samples for a pair, least steps, pairs of a step and rate of training; classes of counts.
 SINGLE, LEAST, WIDTH, NOISE, STEPS, PAIRS, RATE, COUNTS = 1022, 20, 24, 16, 300, 2048, 0.05, 16
 #: Numbers that describe a word's neighbours, and rounds of grouping.
 SIDES, ROUNDS = 12, 5
@@ -272,6 +272,11 @@ def pair_counts(docs: DataFrame, learning: Column, known: np.ndarray, classes: n
     return out.reshape(many, many)
 
 
+def steps(pairs: np.ndarray) -> int:
+    """Steps of training: as many draws as there are pairs of classes that occur, STEPS at least."""
+    return max(STEPS, -(-np.count_nonzero(pairs) // PAIRS))
+
+
 def train(pairs: np.ndarray) -> dict[str, np.ndarray]:
     """Vectors of classes before and after, the matrix between them and biases, by noise-contrastive
     estimation: pairs drawn from the counts against classes drawn from their frequencies."""
@@ -284,7 +289,7 @@ def train(pairs: np.ndarray) -> dict[str, np.ndarray]:
         return model
     heat = {k: np.full_like(v, 1e-6) for k, v in model.items()}
     cumulative = noise.cumsum()
-    for _ in range(STEPS):
+    for _ in range(steps(pairs)):
         at = np.searchsorted(weight, rng.random(PAIRS) * weight[-1], "right")
         prior, real = at // n, at % n
         fake = np.minimum(np.searchsorted(cumulative, rng.random((PAIRS, NOISE))), n - 1)

@@ -199,6 +199,11 @@ def test_rare_words_share_by_their_own_counts():
     assert each[11] / each[10] == pytest.approx(400000 / 60000) and each[10] / each[9] == pytest.approx(60000 / 9000)
 
 
+def test_lm_trains_longer_on_more_pairs():
+    assert lm.steps(np.ones((3, 3))) == lm.STEPS
+    assert lm.steps(np.ones((1500, 1500))) * lm.PAIRS >= 1500 * 1500
+
+
 def test_language(spark, empty):
     rng = random.Random(2)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
