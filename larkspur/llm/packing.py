@@ -2,9 +2,10 @@
 
 Pieces are dealt by a hash into groups of about GROUP pieces; each group is packed on its own, so
 a group wastes less than one sequence more than a packing of all pieces at once would. In a group
-best-fit decreasing gives the first incumbent; if it has more sequences than the volume bound, bin
-completion takes the largest piece left, lists the undominated fillings around it, tries them in
-order of waste and drops a branch whose wasted room already rules out fewer sequences.
+best-fit decreasing gives the first incumbent; if it has more sequences than a lower bound, bin
+completion takes the largest piece left, tries the undominated fillings around it in order of waste,
+each made only when the search comes to it, and drops a branch whose wasted room already rules out
+fewer sequences. Sums of the sizes left, as bits, show which wastes can be had.
 
 Cases: a null or empty text is one piece of the end id alone; repeated rows are packed each for
 itself; an empty table gives no rows.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -90,71 +92,139 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], left: int, limit: int) -> list[list[int]]:
-    """Undominated fillings of the room left with sizes (descending), fullest first: a filling to
-    which a larger size could still be added, or in which one could take a smaller one's place
-    without loss, stands behind the ones that do so and is left out."""
-    ascending = sizes[::-1]
-    best: list[tuple[int, list[int]]] = []
-    seen: set[int] = set()
-
-    def add(chosen: list[int], room: int) -> None:
-        if room not in seen:
-            seen.add(room)
-            best.append((room, chosen))
-
-    fits = bisect_right(ascending, left)
-    firsts = sorted(set(ascending[:fits]), reverse=True)[: limit * 4]
-    for first in firsts:
-        room = left - first
-        inner = bisect_right(ascending, room)
-        if inner:
-            second = ascending[inner - 1]
-            if second == first and ascending.count(first) < 2:
-                second = ascending[bisect_left(ascending, first) - 1] if bisect_left(ascending, first) else 0
-            if second:
-                add([first, second], room - second)
-                continue
-        add([first], room)
-        if len(best) >= limit * 2:
-            break
-    best.sort(key=lambda x: (x[0], -x[1][0]))
-    return [c for _, c in best[:limit]] or [[]]
+class Left:
+    """Pieces not packed yet, by size, and the sums that the smallest sizes make."""
+
+    def __init__(self, sizes: list[int], room: int):
+        counted = Counter(sizes)
+        self.sizes = sorted(counted)
+        self.count = [counted[s] for s in self.sizes]
+        self.pieces = len(sizes)
+        self.there = sum(1 << s for s in self.sizes)  # a bit for each size that is left
+        self.mask = (1 << room + 1) - 1
+        self.made, self.good = [1] * (len(self.sizes) + 1), 0  # made[:good + 1] hold
+
+    def change(self, i: int, by: int) -> None:
+        self.count[i] += by
+        self.pieces += by
+        self.good = min(self.good, i)
+        bit = 1 << self.sizes[i]
+        self.there = self.there | bit if self.count[i] else self.there & ~bit
+
+    def sums(self, n: int) -> int:
+        """A bit for each sum that pieces of the n smallest sizes make."""
+        while self.good < n:
+            got, size, times, part = self.made[self.good], self.sizes[self.good], self.count[self.good], 1
+            while times and got != self.mask:
+                part = min(part, times)
+                got |= got << part * size & self.mask
+                times -= part
+                part *= 2
+            self.good += 1
+            self.made[self.good] = got
+        return self.made[n]
+
+    def choices(self, total: int, n: int):
+        """All ways to make total of the n smallest sizes as (size's place, times), those with larger pieces first."""
+        if not total:
+            yield []
+            return
+        for i in range(min(n, bisect_right(self.sizes, total)) - 1, -1, -1):
+            if not self.sums(i + 1) >> total & 1:
+                return
+            for times in range(min(self.count[i], total // self.sizes[i]), 0, -1):
+                rest = total - times * self.sizes[i]
+                if self.sums(i) >> rest & 1:
+                    for more in self.choices(rest, i):
+                        yield [(i, times), *more]
+
+    def fillings(self, room: int):
+        """(waste, filling) of all fillings of the room, least waste first; None for a dominated one.
+        What is left must be the same whenever the next one is asked for."""
+        n = bisect_right(self.sizes, room)
+        sums = self.sums(n) & (1 << room + 1) - 1
+        while sums:
+            total = sums.bit_length() - 1
+            sums ^= 1 << total
+            for chosen in self.choices(total, n):
+                yield room - total, None if self.dominated(chosen, room - total) else chosen
+
+    def dominated(self, chosen: list[tuple[int, int]], waste: int) -> bool:
+        """Whether a piece left could be added, or take the place of a smaller one or of several that
+        are no larger together. Any filling that dominates this one gives such a step: leave out the
+        pieces that both hold, and swap in one of its others for those that it covers."""
+        one = more = 0
+        free = self.there
+        for i, times in chosen:
+            size = self.sizes[i]
+            for _ in range(times):
+                more |= (more | one) << size
+                one |= 1 << size
+            if times == self.count[i]:
+                free &= ~(1 << size)
+        return bool((spread(more, waste + 1) | spread((one | 1) << 1, waste)) & free)
+
+
+def spread(bits: int, n: int) -> int:
+    """Bits moved by 0 to n - 1 places, together."""
+    done = 1
+    while done < n:
+        step = min(done, n - done)
+        bits |= bits << step
+        done += step
+    return bits if n else 0
+
+
+def least(sizes: list[int], room: int) -> int:
+    """Sequences that any packing needs: by volume, and by volume beside pieces of over half the
+    room (Martello and Toth): those that leave less than k hold nothing of k or more."""
+    ordered = np.sort(np.array(sizes, np.int64))
+    volume = np.concatenate([[0], ordered.cumsum()])
+    place = lambda x: np.searchsorted(ordered, x, "right")
+    k = np.unique(np.append(ordered[ordered <= room // 2], 0))
+    half, alone, small = place(room // 2), place(room - k), np.searchsorted(ordered, k)
+    over = volume[half] - volume[small] + volume[alone] - volume[half] - (alone - half) * room
+    return int((len(ordered) - half + np.maximum(0, -(-over // room))).max(initial=0))
 
 
 def pack(sizes: list[int], room: int = 2048, steps: int = STEPS) -> list[list[int]]:
     """Sequences as lists of indices of sizes. Best fit is the incumbent; bin completion looks for
-    fewer sequences until the bound is met or the steps are spent."""
+    fewer sequences until the bound is met, no branch is left, or the steps are spent."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     ranked = [sizes[i] for i in order]
     incumbent = best_fit(ranked, room)
-    total = sum(ranked)
-    bound = -(-total // room)
+    total, bound = sum(ranked), least(ranked, room)
     if len(incumbent) > bound and len(ranked) <= GROUP * 4:
-        spent = 0
-        # each open node: sizes left (descending), bins so far, waste so far
-        stack: list[tuple[list[int], list[list[int]], int]] = [(ranked, [], 0)]
-        while stack and spent < steps and len(incumbent) > bound:
-            left, bins, waste = stack.pop()
-            spent += 1
-            if not left:
-                if len(bins) < len(incumbent):
-                    incumbent = to_indices(bins, ranked)
+        left = Left(ranked, room)
+        # a sequence of the branch: place of its largest size, its fillings, waste before it, its filling
+        path: list[list] = []
+
+        def begin(waste: int) -> None:
+            largest = bisect_left(left.sizes, left.there.bit_length() - 1)
+            left.change(largest, -1)
+            path.append([largest, left.fillings(room - left.sizes[largest]), waste, []])
+
+        begin(0)
+        for _ in range(steps):
+            if not path or len(incumbent) <= bound:
+                break
+            largest, options, waste, before = path[-1]
+            for i, times in before:
+                left.change(i, times)
+            lost, chosen = next(options, (room, None))
+            if total + waste + lost > (len(incumbent) - 1) * room:  # as do all later ones
+                path.pop()
+                left.change(largest, 1)
                 continue
-            if -(-(total + waste) // room) >= len(incumbent):
+            path[-1][3] = chosen or []
+            if chosen is None:
                 continue
-            largest, rest = left[0], left[1:]
-            options = fillings(rest, room - largest, 2)
-            for chosen in reversed(options):
-                remaining = rest.copy()
-                for c in chosen:
-                    remaining.remove(c)
-                free = room - largest - sum(chosen)
-                while remaining and remaining[-1] <= free:  # what still fits is added, largest first
-                    at = len(remaining) - bisect_right(remaining[::-1], free)
-                    free -= remaining[at]
-                    chosen = [*chosen, remaining.pop(at)]
-                stack.append((remaining, [*bins, [largest, *chosen]], waste + free))
+            for i, times in chosen:
+                left.change(i, -times)
+            if left.pieces:
+                begin(waste + lost)
+            else:
+                incumbent = to_indices([[left.sizes[p[0]], *(left.sizes[i] for i, times in p[3] for _ in range(times))] for p in path], ranked)
     return [[order[i] for i in b] for b in incumbent]
 
 

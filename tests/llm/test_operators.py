@@ -2,6 +2,7 @@
 and extra columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -153,6 +154,47 @@ def test_bin_completion():
     assert sorted(i for b in bins for i in b) == list(range(60)) and all(sum(sizes[i] for i in b) <= 100 for b in bins)
 
 
+def covered(small, bins):
+    """Whether the pieces of small can be put into bins."""
+    return not small or any(b >= small[0] and covered(small[1:], (*bins[:i], b - small[0], *bins[i + 1 :])) for i, b in enumerate(bins))
+
+
+def fewest(sizes, room, bins=()):
+    """Sequences of the best packing, by trying all."""
+    if not sizes:
+        return len(bins)
+    tries = [fewest(sizes[1:], room, (*bins[:i], b + sizes[0], *bins[i + 1 :])) for i, b in enumerate(bins) if b + sizes[0] <= room]
+    return min([*tries, fewest(sizes[1:], room, (*bins, sizes[0]))])
+
+
+def test_fillings_are_the_undominated_ones():
+    rng = random.Random(8)
+    for _ in range(60):
+        sizes, room = [rng.randint(1, 14) for _ in range(rng.randint(1, 7))], rng.randint(1, 20)
+        every = {tuple(sorted(c, reverse=True)) for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k) if sum(c) <= room}
+        left = packing.Left(sizes, 20)
+        found = [(w, c) for w, c in left.fillings(room) if c is not None]
+        got = [tuple(sorted((left.sizes[i] for i, times in c for _ in range(times)), reverse=True)) for _, c in found]
+        assert len(got) == len(set(got)) and set(got) == {a for a in every if not any(a != b and covered(a, b) for b in every)}
+        assert all(w == room - sum(g) for (w, _), g in zip(found, got, strict=True)) and [w for w, _ in found] == sorted(w for w, _ in found)
+
+
+def test_packing_is_best_on_small_groups():
+    rng = random.Random(9)
+    for _ in range(150):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(0, 8))]
+        best = fewest(sorted(sizes, reverse=True), 20)
+        assert len(packing.pack(sizes, 20)) == best >= packing.least(sizes, 20)
+
+
+def test_packing_joins_three_pieces():
+    rng = random.Random(1)
+    sizes = [rng.randint(400, 899) for _ in range(4096)]
+    bins = packing.pack(sizes, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(4096)) and all(sum(sizes[i] for i in b) <= 2048 for b in bins)
+    assert len(bins) <= 1350 < len(packing.best_fit(sorted(sizes, reverse=True), 2048))
+
+
 def test_lm(docs, empty):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     rows = lm.score(docs, ~held).collect()
