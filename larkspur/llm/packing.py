@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .bpe import PATTERN, Vocabulary, tokenizer_path
 from .common import pieces, stored
 
-#: Pieces that a group holds on average, and branch-and-bound steps spent on a group.
-GROUP, STEPS = 4096, 2000
+#: Pieces that a group holds on average, and branch-and-bound steps spent on a group: so many, or so many
+#: for each of its sequences, as one step makes one sequence.
+GROUP, STEPS, DIVES = 4096, 2000, 4
 
 
 class Ids(Vocabulary):
@@ -189,13 +190,15 @@ def least(sizes: list[int], room: int) -> int:
 
 def pack(sizes: list[int], room: int = 2048, steps: int = STEPS) -> list[list[int]]:
     """Sequences as lists of indices of sizes. Best fit is the incumbent; bin completion looks for
-    fewer sequences until the bound is met, no branch is left, or the steps are spent."""
+    fewer sequences until the bound is met, no branch is left, or `steps` or DIVES times the
+    sequences are spent, whichever is more."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     ranked = [sizes[i] for i in order]
     incumbent = best_fit(ranked, room)
     total, bound = sum(ranked), least(ranked, room)
-    if len(incumbent) > bound and len(ranked) <= GROUP * 4:
+    if len(incumbent) > bound:
         left = Left(ranked, room)
+        steps = max(steps, DIVES * len(incumbent))
         # a sequence of the branch: place of its largest size, its fillings, waste before it, its filling
         path: list[list] = []
 

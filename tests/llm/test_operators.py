@@ -195,6 +195,14 @@ def test_packing_joins_three_pieces():
     assert len(bins) <= 1350 < len(packing.best_fit(sorted(sizes, reverse=True), 2048))
 
 
+def test_packing_searches_large_groups():
+    rng = random.Random(1)
+    sizes = [rng.randint(400, 899) for _ in range(18000)]
+    assert len(packing.pack(sizes, 2048)) < 0.98 * len(packing.best_fit(sorted(sizes, reverse=True), 2048))
+    sizes = [rng.randint(300, 1700) for _ in range(4096)]
+    assert packing.least(sizes, 2048) <= len(packing.pack(sizes, 2048)) < len(packing.best_fit(sorted(sizes, reverse=True), 2048))
+
+
 def test_lm(docs, empty):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     rows = lm.score(docs, ~held).collect()
