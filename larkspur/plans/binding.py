@@ -43,22 +43,20 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pairs. Codes from 200 on get a letter, so that no part has them at any scale; the SQL
+    below has them as the same numbers without it."""
     key = F.col("o_orderkey")
     pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (key % n + 1).cast("int"))
     return read(spark, sf_dir, "orders").select(
         key.alias("record_id"), F.col("o_custkey").cast("string").alias("offer_group_id"),
         F.when(key % 17 != 0, F.concat(F.lit(" Pack "), (key % 40).cast("string"), F.lit("  of Nuggets 2 x 500g "))).alias("offer_text"),
-        F.when(key % 19 != 0, F.concat(F.lit(" "), (key % 250).cast("string"), pick(2, "", ".0"))).alias("master_itemcode"),
+        F.when(key % 19 != 0, F.concat(F.lit(" "), F.when(key % 250 >= 200, F.lit("N")).otherwise(F.lit("")), (key % 250).cast("string"), pick(2, "", ".0"))).alias("master_itemcode"),
         pick(7, "1", "0", "-1", "2", "bad", "1.0", " 0 ").alias("pair_label"),
         pick(5, "true", "1", "0", "maybe", "Yes").alias("use_for_binary_pair_training"),
         pick(3, "SYNTHETIC v1", "manual", None).alias("source_dataset"), pick(4, "train", "test", "", "train ").alias("recommended_split"),
     )
 
 
-def small_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return master(spark, sf_dir).where("master_ord < 200")
-
-
 GOLD_SQL = """gold as (
   select o_orderkey as record_id, cast(o_custkey as varchar) as offer_group_id,
     case when o_orderkey % 17 <> 0 then ' Pack ' || (o_orderkey % 40) || '  of Nuggets 2 x 500g ' end as offer_text,

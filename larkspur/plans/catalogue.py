@@ -297,7 +297,7 @@ def offer_display(spark, sf_dir):
     case when offer_text is null then 'null_offer_text' end,
     case when code is null then 'missing_master_itemcode' when cast(code as int) >= 200 then 'unknown_master_itemcode' end], lambda x: x is not null), ';') as reasons from gold""")
 def rejection_reasons(spark, sf_dir):
-    return training.judged(b.gold(spark, sf_dir), b.small_master(spark, sf_dir)).select("record_id", F.array_join("reasons", ";").alias("reasons"))
+    return training.judged(b.gold(spark, sf_dir), b.master(spark, sf_dir)).select("record_id", F.array_join("reasons", ";").alias("reasons"))
 
 
 def normal_gold(spark, sf_dir):
@@ -326,7 +326,7 @@ def audit_invalid_labels(spark, sf_dir):
 
 @query(f"with {b.GOLD_SQL} select record_id from gold where code is null or cast(code as int) >= 200")
 def audit_unknown_codes(spark, sf_dir):
-    return audit.unknown_codes(normal_gold(spark, sf_dir), b.small_master(spark, sf_dir)).select("record_id")
+    return audit.unknown_codes(normal_gold(spark, sf_dir), b.master(spark, sf_dir)).select("record_id")
 
 
 @query(f"with {b.GOLD_SQL} select record_id from gold where offer_text is null")
@@ -362,7 +362,7 @@ def identity_lookup(spark, sf_dir):
 
 @query()
 def training_features(spark, sf_dir):
-    return training.build(b.gold(spark, sf_dir).withColumn("offer_text", F.col("offer_text")), b.small_master(spark, sf_dir)).accepted
+    return training.build(b.gold(spark, sf_dir).withColumn("offer_text", F.col("offer_text")), b.master(spark, sf_dir)).accepted
 
 
 def event_scores(spark, sf_dir):

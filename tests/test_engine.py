@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import audit, candidates, exports, features, rules, training, validate
 from larkspur.operators.prepare import OwnBrand, prepare_master, prepare_offers
-from larkspur.plans import config, pipeline
+from larkspur.plans import binding, catalogue, config, pipeline
 from larkspur.sources import readers, sinks, xlsx
 
 OWN = OwnBrand(("north star",), r"north[\s\-]?star")
@@ -184,3 +184,17 @@ def test_bad_settings(tmp_path, old, new):
     (tmp_path / "c.yaml").write_text(SETTINGS.replace(old, new))
     with pytest.raises(config.ConfigError):
         config.load_config(str(tmp_path / "c.yaml"))
+
+
+def test_unknown_codes_are_those_of_no_part(spark, tmp_path):
+    """The whole catalogue is looked up, whatever its size."""
+    part = [(i, f"part {i}", "Brand#1", "STEEL", 5, 1.0) for i in range(300)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, i % 9) for i in range(600)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    held = {str(p[0]) for p in part}
+    codes = {r["record_id"]: r["code"] for r in audit.normalized(binding.gold(spark, str(tmp_path))).collect()}
+    unknown = {k for k, c in codes.items() if c is not None and c not in held}
+    assert unknown and {k for k, c in codes.items() if c in held}
+    reasons = {r["record_id"]: r["reasons"] for r in catalogue.rejection_reasons(spark, str(tmp_path)).collect()}
+    assert {k for k, r in reasons.items() if "unknown_master_itemcode" in r} == unknown
+    assert {r["record_id"] for r in catalogue.audit_unknown_codes(spark, str(tmp_path)).collect()} == unknown | {k for k, c in codes.items() if c is None}
