@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, pieces
 
-#: Buckets of the hash, sizes of the n-grams, documents learnt from for each language, languages.
-BUCKETS, SIZES, PER_LANGUAGE, LANGUAGES = 1 << 15, (1, 2, 3), 1500, 200
+#: Buckets of the hash, sizes of the n-grams, documents learnt from for each language.
+BUCKETS, SIZES, PER_LANGUAGE = 1 << 15, (1, 2, 3), 1500
 
 
 def grams(column: pa.Array):
@@ -46,7 +46,7 @@ def has_letter(texts: list[str | None]) -> np.ndarray:
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-probabilities (buckets x languages) with log-priors in a last row."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return [], np.zeros((BUCKETS + 1, 0), np.float32)
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, PER_LANGUAGE / r["count"]) * 1_000_003))])

@@ -336,3 +336,10 @@ def test_caps(spark):
     assert 0.9 * total <= found <= total
     assert all(got[i]["component_id"] == 0 for i in (200, 201))
     assert caps.near_vectors(df.limit(0), 0.93).count() == 0
+
+
+def test_language_knows_every_language(spark):
+    langs = [(k, chr(0x4E00 + 3 * k) * 9 + " " + chr(0x4E01 + 3 * k) * 9) for k in range(205)]
+    data = [(10 * k + i, text, f"l{k:03}") for k, text in langs for i in range(1 + (k < 204))] + [(9000 + k, text, None) for k, text in langs]
+    rows = language.identify(spark.createDataFrame(data, "doc_id long, text string, lang string"), F.lit(True)).where("doc_id >= 9000").collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in rows} == {9000 + k: f"l{k:03}" for k, _ in langs}
