@@ -20,14 +20,15 @@ Vocabulary, counts and classes are broadcast (20 bytes a word); those of rarer w
 (word, document) pairs of rare words go to the word's bucket, which holds its count, and only sums
 by document come back.
 
-Cases: a null text counts as empty: it has the end token alone. Repeated ids are scored each for
-itself. With no training token all words are unknown.
+Cases: a null text counts as empty: it has the end token alone. Rows with repeated or null ids are
+scored each for itself. With no training token all words are unknown.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -353,6 +354,7 @@ def score(docs: DataFrame, learning: Column) -> DataFrame:
         """A row for each document with the sums over the vocabulary, and its rare words by bucket."""
         words_, often, classes, model, _ = shared.value
         table = log_probabilities(model)
+        done = TaskContext.get().partitionId() << 33  # numbers of rows, as ids may be null or repeated
         share, often = np.append(class_shares(classes, often), 0.0), np.log10(np.append(often, 0) + 1.0)
         for b in pieces(batches):
             h, first = tokens(b)
@@ -361,19 +363,20 @@ def score(docs: DataFrame, learning: Column) -> DataFrame:
             key = b.column("doc_id")
             rows = [s[first[1:]] - s[first[:-1]] for s in sums]
             size = np.diff(first)
-            yield pa.RecordBatch.from_arrays([key, pa.array(rows[0]), pa.array(rows[1] - size * base), pa.array(rows[2].astype(np.int64)), pa.array(size), pa.nulls(b.num_rows, pa.int32()), *(pa.nulls(b.num_rows, pa.binary()) for _ in range(3))], names=["doc_id", "s", "b", "known", "n", "bucket", "k", "d", "t"])
+            ids = done + np.arange(b.num_rows)
+            done += b.num_rows
+            yield pa.RecordBatch.from_arrays([key, pa.array(ids), pa.array(rows[0]), pa.array(rows[1] - size * base), pa.array(rows[2].astype(np.int64)), pa.array(size), pa.nulls(b.num_rows, pa.int32()), *(pa.nulls(b.num_rows, pa.binary()) for _ in range(3))], names=["doc_id", "row", "s", "b", "known", "n", "bucket", "k", "d", "t"])
             rare = at < 0
-            ids = np.array([-1 if x is None else x for x in key.to_pylist()], np.int64)
             row = np.repeat(np.arange(len(size)), size)[rare]
             if len(row):
                 k, at, times = np.unique(np.stack([h[rare].view(np.int64), row], 1).view([("k", "i8"), ("d", "i8")]).ravel(), return_index=True, return_counts=True)
                 k = h[rare][at]
                 sent = routed(k, [k, ids[row[at]], times.astype(np.int32)], many, ["k", "d", "t"])
                 none = sent.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), *(pa.nulls(none, pa.float64()) for _ in range(2)), *(pa.nulls(none, pa.int64()) for _ in range(2)), *sent.columns], names=["doc_id", "s", "b", "known", "n", "bucket", "k", "d", "t"])
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(none, pa.int64()) for _ in range(2)), *(pa.nulls(none, pa.float64()) for _ in range(2)), *(pa.nulls(none, pa.int64()) for _ in range(2)), *sent.columns], names=["doc_id", "row", "s", "b", "known", "n", "bucket", "k", "d", "t"])
 
-    sent = stored(docs.mapInArrow(emit, "doc_id long, s double, b double, known long, n long, bucket int, k binary, d binary, t binary"))
-    own = sent.where("bucket is null").select("doc_id", "s", "b", "known", "n")
+    sent = stored(docs.mapInArrow(emit, "doc_id long, row long, s double, b double, known long, n long, bucket int, k binary, d binary, t binary"))
+    own = sent.where("bucket is null").select("doc_id", "row", "s", "b", "known", "n")
     # counts of all words stand beside the rare words of their bucket
     table = counted.select("k", "c").mapInArrow(lambda batches: again(batches, many), "bucket int, k binary, c binary")
     rare = sent.where("bucket is not null").select("bucket", "k", "d", "t", F.lit(None).cast("binary").alias("c"))
@@ -404,11 +407,11 @@ def score(docs: DataFrame, learning: Column) -> DataFrame:
             c = np.where(wk[at] == k, wc[at], 0)
         docs_, which = np.unique(d, return_inverse=True)
         sums = [np.bincount(which, x * t, len(docs_)) for x in (rare_word(c, kinds, mass), np.log10(c + 1.0), (c > 0).astype(float))]
-        yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["doc_id", "s", "b", "known"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=["row", "s", "b", "known"])
 
-    back = both.repartition(parts, "bucket").select("k", "d", "t", "c").mapInArrow(meet, "doc_id long, s double, b double, known long")
-    back = back.groupBy("doc_id").agg(F.sum("s").alias("rs"), F.sum("b").alias("rb"), F.sum("known").alias("rk"))
-    out = own.join(back, "doc_id", "left")
+    back = both.repartition(parts, "bucket").select("k", "d", "t", "c").mapInArrow(meet, "row long, s double, b double, known long")
+    back = back.groupBy("row").agg(F.sum("s").alias("rs"), F.sum("b").alias("rb"), F.sum("known").alias("rk"))
+    out = own.join(back, "row", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_tokens"),

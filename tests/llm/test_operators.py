@@ -241,6 +241,12 @@ def test_lm_knows_every_counted_word(spark):
     assert middle["b"] > middle["a"] + 0.3
 
 
+def test_lm_scores_rows_with_null_and_repeated_ids(spark):
+    data = [(1, "a b c"), (1, "a d"), (None, "a b"), (None, "x y z"), (2, "a b c d e")]
+    rows = lm.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3), F.col("doc_id") == 2).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"]) for r in rows) == [(0, 3, 3), (0, 4, 1), (1, 3, 3), (1, 4, 4), (2, 6, 6)]
+
+
 def test_rare_words_share_by_their_own_counts():
     counts = np.array([1, 1, 2, 3, 4, 5, 7, 8, 12, 9000, 60000, 400000])
     kinds, mass = np.bincount(lm.count_class(counts), minlength=lm.COUNTS), np.bincount(lm.count_class(counts), counts, minlength=lm.COUNTS).astype(int)
