@@ -7,6 +7,7 @@ value for the same bytes; a lost task can be run again anywhere.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -100,8 +101,24 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarra
         start[1:] &= ~inside[:-1] | first[1:-1]
         end[:-1] &= ~inside[1:] | first[1:-1]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    hashes = range_hash((BYTE_LOWER if lower else BYTE)[data], start, end)
-    return start, end, hashes, np.searchsorted(start, offsets)
+    return start, end, word_hashes(data, start, end, BYTE_LOWER if lower else BYTE), np.searchsorted(start, offsets)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, byte: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """range_hash of data's bytes in blocks of `most`, so that a very long text takes no more tables;
+    words that lie in two blocks or more are summed block by block."""
+    out = np.zeros(len(start), np.uint64)
+    for at in range(0, max(len(data), 1), most):
+        i, j = np.searchsorted(start, [at, at + most])
+        whole = j - int(i < j and end[j - 1] > at + most)
+        out[i:whole] = range_hash(byte[data[at : at + most]], start[i:whole] - at, end[i:whole] - at)
+        if whole < j:
+            a, b, total = int(start[whole]), int(end[whole]), np.zeros(1, np.uint64)
+            for p in range(a, b, most):
+                part = byte[data[p : min(p + most, b)]]
+                total += (part * _Powers.of(len(part) + 1)[0][: len(part)]).sum(keepdims=True) * U64(pow(int(_BASE), p - a, 1 << 64))
+            out[whole] = mix(total + mix(np.full(1, b - a, np.uint64)))[0]
+    return out
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -170,23 +187,40 @@ def buckets(spark: SparkSession, rows: int, per_bucket: int = 250_000) -> tuple[
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; a temporary one only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/larkspur-checkpoints").rstrip("/")
+    """The folder that the cluster names. Where none is set, a temporary one serves a single machine,
+    as in tests; executors elsewhere could not read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or f"{tempfile.gettempdir()}/larkspur-checkpoints").rstrip("/")
+
+
+def _place(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again: later steps don't compute them anew."""
+    """The rows, written to the shared folder and read again: later steps don't compute them anew. The
+    table goes when the application ends, if it isn't dropped before."""
     path = f"{shared_dir(df.sparkSession)}/larkspur-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    system, place = _place(df.sparkSession, path)
+    system.deleteOnExit(place)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
     return out
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own, stored, so that the numbers stay: ids may be null or repeated."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def dropped(df: DataFrame) -> None:
     """Remove a stored table that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._larkspur_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    system, place = _place(df.sparkSession, df._larkspur_path)
+    system.delete(place, True)
 
 
 def hot_keys(docs: DataFrame, keys: Callable[[pa.RecordBatch], list[np.ndarray]], sample: int = 20_000, least: int = 8, most: int = 1 << 18) -> np.ndarray:
