@@ -1,12 +1,14 @@
 """String similarities from 0 to 100, on the length of the longest common subsequence.
 
 The subsequence is computed bit-parallel (Hyyrö), a whole string in one integer; Arrow batches reach
-Python, and each distinct pair of a batch is scored once. Definitions are in the docstrings.
+Python, and each distinct pair of a batch is scored once; workers keep the last 65,536 pairs. Definitions
+are in the docstrings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -89,6 +91,16 @@ def words(a: str, b: str) -> float:
     return (token_sort(a, b) + token_set(a, b)) / 2.0
 
 
+@lru_cache(maxsize=1 << 16)
+def _words(a: str, b: str) -> float:
+    return words(a, b)
+
+
+@lru_cache(maxsize=1 << 16)
+def _all(a: str, b: str) -> tuple[float, float, float]:
+    return words(a, b), ratio(a, b), weighted(a, b)
+
+
 def _udf(score: Callable[[str, str], float]):
     @F.pandas_udf("double")
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -104,8 +116,20 @@ def char_similarity(a: Column, b: Column) -> Column:
 
 
 def word_similarity(a: Column, b: Column) -> Column:
-    return _udf(words)(a, b)
+    return _udf(_words)(a, b)
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
     return _udf(weighted)(a, b)
+
+
+def similarities(a: Column, b: Column) -> Column:
+    """Words, characters and weighted: all three in one pass through Python."""
+
+    @F.pandas_udf("words double, characters double, weighted double")
+    def of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        codes, distinct = pd.MultiIndex.from_arrays([a.fillna(""), b.fillna("")]).factorize()
+        found = pd.DataFrame([_all(*p) for p in distinct], columns=["words", "characters", "weighted"], dtype=float)
+        return found.take(codes).reset_index(drop=True)
+
+    return of(a, b)

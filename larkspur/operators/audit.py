@@ -1,5 +1,5 @@
 """Audit of labelled pairs: reports, never deletes. Every section is a DataFrame; audit() makes small
-driver-side numbers and examples of them."""
+driver-side numbers and examples of them, from one stored copy of the pairs in normal form."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.scratch import stored
 
 PAIR = ["offer_group_id", "code"]
-EXAMPLES = 100
+#: Rows of an example, and values that a report lists at most; their number is given beside them.
+EXAMPLES, LISTED = 100, 100_000
 
 
 def normalized(gold: DataFrame) -> DataFrame:
@@ -44,6 +46,11 @@ def unknown_codes(df: DataFrame, master: DataFrame) -> DataFrame:
     return df.join(master.select(F.col("Itemcode").alias("code")).distinct(), "code", "left_anti")
 
 
+def codes_of(df: DataFrame) -> DataFrame:
+    """Each code once."""
+    return df.where("code is not null").select("code").distinct()
+
+
 def empty_texts(df: DataFrame) -> DataFrame:
     return df.where("text_norm = ''")
 
@@ -68,20 +75,25 @@ def majority(counts: DataFrame) -> DataFrame:
 
 
 def imbalance(df: DataFrame, column: Column) -> dict:
-    counts = {r["value"]: r["n"] for r in distribution(df, column).collect()}
-    total = sum(counts.values())
-    return {"distribution": dict(sorted(counts.items())), "majority_fraction": round(max(counts.values()) / total, 6) if total else None}
+    """Share of the most frequent value, and the counts of the LISTED most frequent ones."""
+    counts = distribution(df, column)
+    listed = {r["value"]: r["n"] for r in counts.orderBy(F.desc("n"), "value").limit(LISTED).collect()}
+    return {"distribution": dict(sorted(listed.items())), "majority_fraction": majority(counts).first()[0]}
 
 
-def examples(df: DataFrame, columns: list[str]) -> list[dict]:
-    has = [c for c in columns if c in df.columns]
+def first_examples(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The first EXAMPLES rows, with those of the columns that are there."""
     order = [c for c in ("gold_ord", "record_id", "offer_group_id") if c in df.columns]
-    return [r.asDict() for r in df.orderBy(*order).select(*has).limit(EXAMPLES).collect()]
+    return df.orderBy(*order).select(*(c for c in columns if c in df.columns)).limit(EXAMPLES)
+
+
+def examples(df: DataFrame, columns: list[str]) -> list[dict]:
+    return [r.asDict() for r in first_examples(df, columns).collect()]
 
 
 def audit(gold: DataFrame, master: DataFrame) -> dict:
     """All sections with counts and up to 100 examples each."""
-    df = normalized(gold)
+    df = stored(normalized(gold))
     pair_cols = ["record_id", "offer_group_id", "offer_text", "master_itemcode", "pair_label"]
     split = groups_across_splits(df) if "recommended_split" in df.columns else df.limit(0)
     unknown, synthetic_rows, twice, conflict, exact = unknown_codes(df, master), repeated_synthetic(df), duplicate_pairs(df), conflicting_labels(df), exact_duplicates(df, gold.columns)
@@ -95,7 +107,7 @@ def audit(gold: DataFrame, master: DataFrame) -> dict:
         "conflicting_labels": {"pair_count": groups(conflict, PAIR), "row_count": conflict.count(), "examples": examples(conflict, pair_cols)},
         "offer_groups_across_recommended_splits": {"group_count": groups(split, ["offer_group_id"]), "row_count": split.count(), "examples": examples(split, ["record_id", "offer_group_id", "recommended_split"])},
         "invalid_labels": {"row_count": invalid_labels(df).count(), "examples": examples(invalid_labels(df), ["record_id", "offer_group_id", "master_itemcode", "pair_label"])},
-        "unknown_master_skus": {"row_count": unknown.count(), "unique_codes": [r[0] for r in unknown.where("code is not null").select("code").distinct().orderBy("code").collect()], "examples": examples(unknown, ["record_id", "offer_group_id", "master_itemcode"])},
+        "unknown_master_skus": {"row_count": unknown.count(), "unique_code_count": codes_of(unknown).count(), "unique_codes": [r["code"] for r in codes_of(unknown).orderBy("code").limit(LISTED).collect()], "examples": examples(unknown, ["record_id", "offer_group_id", "master_itemcode"])},
         "null_offer_text": {"row_count": empty_texts(df).count(), "examples": examples(empty_texts(df), ["record_id", "offer_group_id", "master_itemcode"])},
         "class_imbalance": imbalance(df, F.col("label")),
         "source_imbalance": imbalance(df, column("source_dataset")),

@@ -1,18 +1,22 @@
 """Category-blocked fuzzy candidates.
 
-Offers meet the catalogue by an equi-join on category. Texts are scored once for each distinct pair
-(offers repeat a few texts in many pack sizes), then sizes, bonus, rank and margins are native
-expressions. `row_number() <= k + 1` lets Spark drop rows of a group before the shuffle's sort
-(WindowGroupLimit). The catalogue side is broadcast only below Spark's own threshold.
+Texts of offers meet texts of the catalogue in their category, which is cut into slices by the
+catalogue's texts, as there are few categories. They are scored once for each distinct pair (offers
+repeat a few texts in many pack sizes). Offers then meet catalogue rows by category and text, not by
+category alone; sizes, bonus, rank and margins are native expressions. Rows are ranked apart for packs
+that may fit and packs that don't, so that `row_number() <= k + 1` drops rows before the shuffle
+(WindowGroupLimit), whatever packs an offer turns out to have. The catalogue side is broadcast only
+below Spark's own threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as m
 from ..functions.similarity import word_similarity
+from ..sources.scratch import slices
 from .validate import require_columns
 
 OFFER_COLUMNS = ["match_text", "offer_measures", "offer_measures_detailed", "category"]
@@ -45,15 +49,16 @@ def candidates(offers: DataFrame, master: DataFrame, k: int = 5, bonus: float =
     pools = right.select("pool").distinct()
     whole = right.join(pools.where("pool = 'Other'").limit(1).select(F.lit(1).alias("__has")), F.lit(True), "left_anti").withColumn("pool", F.lit("Other"))
     right = right.unionAll(whole)
-    texts = left.where("not too_short").select("category", "offer_text").distinct().join(right.select(F.col("pool").alias("category"), "master_match_text").distinct(), "category")
-    scored = texts.select("offer_text", "master_match_text").distinct().withColumn("score", word_similarity(F.col("offer_text"), F.col("master_match_text")))
-    pairs = left.where("not too_short").join(right, F.col("category") == F.col("pool")).join(scored, ["offer_text", "master_match_text"])
+    scored = text_scores(left.where("not too_short").select("category", "offer_text"), right.select(F.col("pool").alias("category"), "master_match_text"), ["category"])
+    pairs = left.where("not too_short").join(scored, ["category", "offer_text"]).join(right.withColumnRenamed("pool", "category"), ["category", "master_match_text"])
     pairs = pairs.withColumn("pack_status", m.pack_compatible(F.col("offer_measures"), F.col("master_measures")))
+    pairs = pairs.withColumns({"adjusted_score": adjusted(F.col("score"), F.col("pack_status"), bonus, unknown), "may_fit": F.coalesce("pack_status", F.lit(True))})
+    order = [F.desc("adjusted_score"), "master_ord"]
+    pairs = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("offer_ord", "may_fit").orderBy(*order))).where(F.col("__n") <= k + 1).drop("__n")
     mine = Window.partitionBy("offer_ord")
-    pairs = pairs.withColumns({"adjusted_score": adjusted(F.col("score"), F.col("pack_status"), bonus, unknown), "all_candidates_incompatible": F.min(F.coalesce(~F.col("pack_status"), F.lit(False))).over(mine)})
-    pairs = pairs.where("all_candidates_incompatible or pack_status is null or pack_status")
-    best = mine.orderBy(F.desc("adjusted_score"), "master_ord")
-    ranked = pairs.withColumn("candidate_rank", F.row_number().over(best)).where(F.col("candidate_rank") <= k + 1)
+    pairs = pairs.withColumn("all_candidates_incompatible", ~F.max("may_fit").over(mine)).where("may_fit or all_candidates_incompatible")
+    best = mine.orderBy(*order)
+    ranked = pairs.withColumn("candidate_rank", F.row_number().over(best))
     ranked = ranked.withColumns({"margin": F.coalesce(F.col("adjusted_score") - F.lead("adjusted_score").over(best), F.lit(100.0)), "raw_margin": F.coalesce(F.col("score") - F.lead("score").over(best), F.lit(100.0))})
     found = ranked.where(F.col("candidate_rank") <= k).select(
         "offer_ord", F.col("Itemcode").alias("itemcode"), F.col("Itemname").alias("itemname"), F.col("score").alias("text_score"), "adjusted_score", "margin", "raw_margin", "pack_status",
@@ -68,6 +73,34 @@ def candidates(offers: DataFrame, master: DataFrame, k: int = 5, bonus: float =
     return found.unionAll(none)
 
 
+def text_scores(offers: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct texts of two tables (keys and one text column each) that share the keys, with their
+    word similarity as score, computed once for each distinct pair. The right side's texts are dealt
+    into slices, and the left side's go to all of them: a key of most rows is worked on by all tasks."""
+    (a,), (b,) = ([c for c in df.columns if c not in keys] for df in (offers, others))
+    n = slices(offers.sparkSession)
+    left = offers.distinct().withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = left.join(others.distinct().withColumn("__slice", F.pmod(F.xxhash64(b), F.lit(n)).cast("int")), [*keys, "__slice"]).drop("__slice")
+    scores = pairs.select(a, b).distinct().withColumn("score", word_similarity(F.col(a), F.col(b)))
+    return pairs.join(scores, [a, b])
+
+
+def top_candidates(offer: DataFrame, master: DataFrame, k: int = 5, **settings) -> DataFrame:
+    """The ranked candidates of a single prepared offer."""
+    return candidates(_single(offer), master, k, **settings).orderBy("candidate_rank")
+
+
+def best_candidate(offer: DataFrame, master: DataFrame, **settings) -> Row:
+    """The best candidate of a single prepared offer, or the row that says why there is none."""
+    return candidates(_single(offer), master, 1, **settings).first()
+
+
+def _single(offer: DataFrame) -> DataFrame:
+    if len(offer.limit(2).collect()) != 1:
+        raise ValueError("exactly one offer is asked for")
+    return offer if "offer_ord" in offer.columns else offer.withColumn("offer_ord", F.lit(0).cast("long"))
+
+
 def unique_keys(offers: DataFrame) -> DataFrame:
     """One row for each distinct matching key of offers: the first by offer_ord."""
     first = Window.partitionBy("match_text", "offer_measures", "category").orderBy("offer_ord")

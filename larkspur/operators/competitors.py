@@ -1,4 +1,5 @@
-"""Competing offers of other brands for accepted items, by country and product family."""
+"""Competing offers of other brands for accepted items, by country and product family. Texts are
+scored first, so that offers meet by country, family and a text that reaches the floor."""
 
 from __future__ import annotations
 
@@ -7,8 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as m
 from ..functions import text as t
-from ..functions.similarity import word_similarity
-from .candidates import adjusted
+from .candidates import adjusted, text_scores
 
 LONG = [
     "Country", "Product", "Own Itemcode", "Own Itemname", "Own Pack", "Own Retail Unit", "Competitor Brand", "Competitor Offer",
@@ -30,16 +30,19 @@ def find_competitors(mapped: DataFrame, raw_floor: float = 60.0, adjusted_floor:
     targets = first_by(grouped.where("is_own and confidence_tier = 'high (ml)'"), KEY, "offer_ord").select(*KEY, "Product", "matched_itemname", "master_match_text", "offer_measures_detailed", "Base Packsize", F.col("offer_ord").alias("target_ord"))
     pool = first_by(grouped.where("not is_own"), ["Country", "product_family", "Brand Name", "clean_offer_text", "offer_measures"], "offer_ord")
     pool = pool.select("Country", "product_family", F.col("Brand Name").alias("brand"), F.col("Offer Name").alias("offer"), F.col("Base Packsize").alias("pack"), F.col("match_text").alias("text"), F.col("offer_measures").alias("sizes"), F.col("offer_measures_detailed").alias("details"), F.col("offer_ord").alias("pool_ord"))
-    pairs = targets.join(pool, ["Country", "product_family"]).withColumn("fits", m.pack_compatible(F.col("offer_measures"), F.col("sizes"))).where("fits is null or fits")
-    scores = pairs.select("master_match_text", "text").distinct().withColumn("raw", word_similarity(F.col("master_match_text"), F.col("text")))
-    pairs = pairs.join(scores.where(F.col("raw") >= raw_floor), ["master_match_text", "text"]).withColumn("score", adjusted(F.col("raw"), F.col("fits"), bonus, unknown)).where(F.col("score") >= adjusted_floor)
+    near = text_scores(targets.select("Country", "product_family", "master_match_text"), pool.select("Country", "product_family", "text"), ["Country", "product_family"])
+    near = near.withColumnRenamed("score", "raw").where((F.col("raw") >= raw_floor) & (F.col("raw") + max(bonus, unknown) >= adjusted_floor))
+    pairs = targets.join(near, ["Country", "product_family", "master_match_text"]).join(pool, ["Country", "product_family", "text"])
+    pairs = pairs.withColumn("fits", m.pack_compatible(F.col("offer_measures"), F.col("sizes"))).where("fits is null or fits")
+    pairs = pairs.withColumn("score", adjusted(F.col("raw"), F.col("fits"), bonus, unknown)).where(F.col("score") >= adjusted_floor)
     order = [F.desc("score"), "pool_ord"]
     best = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("target_ord", "brand").orderBy(*order))).where("__n = 1")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("target_ord").orderBy(*order))).where(F.col("rank") <= most).drop("__n")
 
 
 def long_table(found: DataFrame) -> DataFrame:
-    return found.select(
+    """The long table, by item and rank; rows of equal rank stay in the order of their first offer."""
+    return found.orderBy("matched_itemcode", "rank", "target_ord").select(
         "Country", "Product", F.col("matched_itemcode").alias("Own Itemcode"), F.col("matched_itemname").alias("Own Itemname"), F.col("Base Packsize").alias("Own Pack"),
         t.retail_unit(F.col("offer_measures_detailed")).alias("Own Retail Unit"), F.col("brand").alias("Competitor Brand"), F.col("offer").alias("Competitor Offer"),
         F.col("pack").alias("Competitor Pack"), t.retail_unit(F.col("details")).alias("Competitor Retail Unit"), F.bround("raw", 1).alias("Raw Score"),

@@ -33,8 +33,7 @@ def add_features(pairs: DataFrame, own_brand: str | None = None) -> DataFrame:
         "__mm": F.coalesce("master_measures_detailed", parsed_m) if "master_measures_detailed" in has else parsed_m,
     })
     o, w, om, mm = F.col("__o"), F.col("__m"), F.col("__om"), F.col("__mm")
-    df = df.withColumns({"__oc": t.clean_offer(o, own_brand), "__mc": t.clean_offer(w, own_brand)})
-    oc, mc = F.col("__oc"), F.col("__mc")
+    df = df.withColumn("__s", s.similarities(t.clean_offer(o, own_brand), t.clean_offer(w, own_brand)))
     one = lambda c: F.bround(c, 1)
     df = df.withColumns({
         "protein_match": t.agree(t.proteins(o), t.proteins(w)),
@@ -42,9 +41,9 @@ def add_features(pairs: DataFrame, own_brand: str | None = None) -> DataFrame:
         "variant_match": t.agree(t.variants(o), t.variants(w)),
         "size_match": F.coalesce(m.pack_compatible(m.simple(om), m.simple(mm)), F.lit(False)).cast("int"),
         "pack_format_match": F.coalesce(m.pack_structure(om, mm), F.lit(True)).cast("int"),
-        "word_similarity": one(s.word_similarity(oc, mc)),
-        "character_similarity": one(s.char_similarity(oc, mc)),
-        "token_similarity": one(s.weighted_similarity(oc, mc)),
+        "word_similarity": one(F.col("__s.words")),
+        "character_similarity": one(F.col("__s.characters")),
+        "token_similarity": one(F.col("__s.weighted")),
         "unit_pack_weight_g": m.retail_weight(om),
         "number_of_units": m.unit_count(om),
         "bonus_weight_g": m.bonus_weight(o),
@@ -57,4 +56,4 @@ def add_features(pairs: DataFrame, own_brand: str | None = None) -> DataFrame:
         "contains_non_meat_product": t.has_non_meat(o),
         "expected_match_count": t.expected_matches(o),
     })
-    return df.drop("__o", "__m", "__spec", "__om", "__mm", "__oc", "__mc")
+    return df.drop("__o", "__m", "__spec", "__om", "__mm", "__s")

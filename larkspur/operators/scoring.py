@@ -29,7 +29,8 @@ def rule_scorer(df: DataFrame) -> DataFrame:
 
 def with_split(df: DataFrame, group: str = "offer_group_id", seed: int = 42, train: int = 70, valid: int = 15) -> DataFrame:
     """`recommended_split` where it is valid, else a split by a hash of the group: no group is cut."""
-    bucket = F.pmod(F.xxhash64(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(seed)), F.lit(100))
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(str(seed))))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
     made = F.when(bucket < train, "train").when(bucket < train + valid, "validation").otherwise("test")
     if "recommended_split" in df.columns:
         own = F.lower(F.trim(F.col("recommended_split").cast("string")))
@@ -37,28 +38,36 @@ def with_split(df: DataFrame, group: str = "offer_group_id", seed: int = 42, tra
     return df.withColumn("split", made)
 
 
-def class_weights(df: DataFrame, label: str = "pair_label") -> DataFrame:
-    """Weights that give both classes equal weight in sum."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    total = sum(counts.values())
-    weight = F.lit(1.0)
-    for value, n in counts.items():
-        weight = F.when(F.col(label) == value, total / (len(counts) * n)).otherwise(weight)
-    return df.withColumn("weight", weight)
+def class_weights(df: DataFrame, label: str = "pair_label", by_source: dict[str, float] | None = None, source: str = "label_provenance") -> DataFrame:
+    """Weights that give both classes equal weight in sum; by_source: factors for rows whose provenance
+    is the key (in any case), 1 for others."""
+    factor = F.lit(1.0)
+    for name, x in (by_source or {}).items():
+        factor = F.when(F.lower(F.trim(F.col(source).cast("string"))) == name.lower(), float(x)).otherwise(factor)
+    df = df.withColumn("weight", factor)
+    sums = {r[label]: r["w"] for r in df.groupBy(label).agg(F.sum("weight").alias("w")).collect()}
+    total, share = sum(sums.values()), F.lit(1.0)
+    for value, w in sums.items():
+        share = F.when(F.col(label) == value, total / (len(sums) * w) if w else 0.0).otherwise(share)
+    return df.withColumn("weight", F.col("weight") * share)
 
 
-def train(accepted: DataFrame, label: str = "pair_label", seed: int = 42, trees: int = 20) -> PipelineModel:
+def numbers(df: DataFrame) -> DataFrame:
+    """df with each feature as a number in a column `<feature>__n`: what isn't one, or is missing, is -1
+    (a column without any value can't be imputed from its median); a feature that is not there is missing."""
+    cell = lambda c: F.col(c).cast("string").try_cast("double") if c in df.columns else F.lit(None).cast("double")
+    return df.withColumns({f"{c}__n": F.coalesce(F.when(~F.isnan(cell(c)), cell(c)), F.lit(-1.0)) for c in FEATURES})
+
+
+def train(accepted: DataFrame, label: str = "pair_label", seed: int = 42, trees: int = 20, by_source: dict[str, float] | None = None) -> PipelineModel:
     names = [f"{c}__n" for c in FEATURES]
-    # a column without any value can't be imputed from its median; -1 stands for missing
-    rows = class_weights(accepted, label).withColumns({n: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c, n in zip(FEATURES, names, strict=True)})
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=trees, seed=seed)]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="__x"), GBTClassifier(featuresCol="__x", labelCol=label, weightCol="weight", maxIter=trees, seed=seed)]).fit(numbers(class_weights(accepted, label, by_source)))
 
 
 def model_scorer(model: PipelineModel) -> Scorer:
     def score(df: DataFrame) -> DataFrame:
-        names = [f"{c}__n" for c in FEATURES]
-        rows = df.withColumns({n: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c, n in zip(FEATURES, names, strict=True)})
-        return model.transform(rows).withColumn("ml_probability", vector_to_array("probability")[1]).drop(*names, "__x", "rawPrediction", "probability", "prediction")
+        out = model.transform(numbers(df)).withColumn("ml_probability", vector_to_array("probability")[1])
+        return out.drop(*(f"{c}__n" for c in FEATURES), "__x", "rawPrediction", "probability", "prediction")
 
     return score
 
@@ -93,20 +102,57 @@ def threshold_sweep(scored: DataFrame, label: str = "pair_label", cuts: list[flo
     return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+#: Bins of probabilities: ranks and areas are counted bin by bin, then within each.
+BINS = 4096
+
+
+def steps(scored: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """Positives and negatives of each distinct probability, and how many negatives lie under it and how
+    many of both above it. Sums run in bins of the probability, so that no slice is one task's work; those
+    of whole bins come from a table of one row for each bin and slice."""
+    rows = scored.where(F.col("ml_probability").isNotNull() & F.col(label).isin(0, 1))
+    each = rows.groupBy(*by, "ml_probability").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    each = each.withColumn("__bin", F.floor(F.col("ml_probability") * BINS).cast("int"))
+    below = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*by).orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1)
+    over = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    whole = each.groupBy(*by, "__bin").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    whole = whole.select(*(F.col(c).alias(f"__of_{c}") for c in (*by, "__bin")), over("__n", below).alias("__nb"), over("__p", above).alias("__pa"), over("__n", above).alias("__na"))
+    low = Window.partitionBy(*by, "__bin").orderBy("ml_probability").rowsBetween(Window.unboundedPreceding, -1)
+    high = Window.partitionBy(*by, "__bin").orderBy(F.desc("ml_probability")).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({"under": over("n", low), "__ph": over("p", high), "__nh": over("n", high)})
+    same = F.lit(True)
+    for c in (*by, "__bin"):
+        same &= F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return each.join(whole, same).select(*by, "ml_probability", "p", "n", (F.col("under") + F.col("__nb")).alias("under"), (F.col("__ph") + F.col("__pa")).alias("hits"), (F.col("__nh") + F.col("__na")).alias("misses"))
+
+
 def metrics(scored: DataFrame, label: str = "pair_label", cut: float = 0.5, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve by ranks (ties count half), and rates at a cut, for each slice."""
+    """Areas under the ROC curve (by ranks, ties count half) and under the curve of precision and recall
+    (average precision: each step of recall at its precision), and rates at a cut, for each slice."""
     by = by or []
-    rows = scored.where(F.col("ml_probability").isNotNull() & F.col(label).isin(0, 1))
-    steps = rows.groupBy(*by, "ml_probability").agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = Window.partitionBy(*by).orderBy("ml_probability").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    each = steps(scored, label, by)
     hit = lambda c, yes: F.sum(F.when((F.col("ml_probability") >= cut) == F.lit(yes), F.col(c)).otherwise(0))
-    out = steps.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("__u"), hit("p", True).alias("tp"), hit("n", True).alias("fp"), hit("p", False).alias("fn"), hit("n", False).alias("tn"))
+    reached = F.col("hits") + F.col("p")
+    out = each.groupBy(*by).agg(
+        F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)).alias("__u"),
+        F.sum(F.col("p") * reached / (reached + F.col("misses") + F.col("n"))).alias("__a"),
+        hit("p", True).alias("tp"), hit("n", True).alias("fp"), hit("p", False).alias("fn"), hit("n", False).alias("tn"),
+    )
     share = lambda a, b: F.when(b > 0, a / b)
     return out.withColumns({
         "roc_auc": share(F.col("__u"), F.col("positives") * F.col("negatives")),
+        "pr_auc": share(F.col("__a"), F.col("positives")),
         "precision": share(F.col("tp"), F.col("tp") + F.col("fp")),
         "recall": share(F.col("tp"), F.col("positives")),
+        "f1": share(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")),
         "false_positive_rate": share(F.col("fp"), F.col("negatives")),
         "false_negative_rate": share(F.col("fn"), F.col("positives")),
-    }).drop("__u")
+    }).drop("__u", "__a")
+
+
+def calibration(scored: DataFrame, label: str = "pair_label", bins: int = 10) -> DataFrame:
+    """For each bin of probabilities: rows, mean probability and share of label 1."""
+    rows = scored.where(F.col("ml_probability").isNotNull() & F.col(label).isin(0, 1))
+    at = F.least(F.floor(F.col("ml_probability") * bins), F.lit(bins - 1)).cast("int")
+    return rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("ml_probability").alias("mean_probability"), F.avg(F.col(label).cast("double")).alias("share"))

@@ -2,31 +2,74 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources import readers, sinks
 from .audit import audit
 from .features import FEATURES, add_features
 from .prepare import prepare_master
 from .validate import require_columns, validate_gold_for_audit, validate_master
 
+# Columns of the training table before the features, and those of an offer that features use.
 METADATA = ["record_id", "offer_group_id", "offer_text", "master_itemcode", "pair_label", "source_dataset", "label_provenance", "label_confidence", "recommended_split", "split_group", "product_class_offer", "variant_offer"]
 OFFER_COLUMNS = ["Offer Name", "Product", "Variant", "Base Packsize"]
 
 
 @dataclass
 class Built:
+    """Accepted and rejected rows, lazy; numbers about them are counted when they are first asked for."""
+
     accepted: DataFrame
     rejected: DataFrame
-    audit: dict
-    manifest: dict
-    eligible_binary_rows: int
-    offer_reconstruction_counts: dict[str, int]
+    rows: DataFrame
+    joined: DataFrame
+    gold: DataFrame
+    master: DataFrame
+    more: dict
     output_paths: dict[str, str] = field(default_factory=dict)
 
+    @cached_property
+    def audit(self) -> dict:
+        return audit(self.gold, self.master)
+
+    @cached_property
+    def counts(self) -> dict:
+        return totals(self.rows).first().asDict()
+
+    @cached_property
+    def eligible_binary_rows(self) -> int:
+        return self.counts["eligible"]
+
+    @cached_property
+    def offer_reconstruction_counts(self) -> dict[str, int]:
+        n = self.joined.agg(F.count_if("exact_offer").alias("exact"), F.count_if(~F.col("exact_offer")).alias("text")).first()
+        return {"exact_offer": n["exact"], "synthetic_or_text_fallback": n["text"]}
+
+    @cached_property
+    def manifest(self) -> dict:
+        n, reasons = self.counts, {r["reason"]: r["n"] for r in exclusions(self.rows).orderBy("reason").collect()}
+        return self.more | {
+            "total_rows": n["n"], "eligible_binary_rows": n["eligible"], "accepted_rows": n["n"] - n["rejected"], "rejected_rows": n["rejected"], "exclusion_reasons": reasons,
+            "offer_reconstruction": self.offer_reconstruction_counts, "feature_columns": FEATURES, "feature_schema": {c: k for c, k in self.accepted.dtypes if c in FEATURES},
+        }
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """All judged rows, those with a flag and a label of 0 or 1 whatever else is wrong, rejected ones."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.expr("flag = 1 and label in (0, 1)")).alias("eligible"), F.count_if(F.size("reasons") > 0).alias("rejected"))
+
+
+def exclusions(rows: DataFrame) -> DataFrame:
+    """How many judged rows have each reason; a row counts for each of its own."""
+    return rows.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
 
 def judged(gold: DataFrame, master: DataFrame) -> DataFrame:
     """gold with flag, label, code and an array of reasons for rejection, in a fixed order."""
@@ -83,9 +126,17 @@ def build(gold: DataFrame, master: DataFrame, offers: DataFrame | None = None, o
     metadata = [c for c in METADATA if c in gold.columns]
     featured = add_features(joined, own_brand)
     accepted = featured.withColumns({"master_itemcode": F.col("code"), "pair_label": F.col("label")}).select(*metadata, *FEATURES)
-    counts = joined.agg(F.count_if("exact_offer").alias("exact"), F.count_if(~F.col("exact_offer")).alias("text")).first()
-    reasons = {r["r"]: r["count"] for r in rows.select(F.explode("reasons").alias("r")).groupBy("r").count().orderBy("r").collect()}
-    n = rows.agg(F.count("*").alias("n"), F.count_if(F.expr("flag = 1 and label in (0, 1)")).alias("eligible"), F.count_if(F.size("reasons") > 0).alias("rejected")).first()
-    used = {"exact_offer": counts["exact"], "synthetic_or_text_fallback": counts["text"]}
-    report = manifest | {"total_rows": n["n"], "eligible_binary_rows": n["eligible"], "accepted_rows": n["n"] - n["rejected"], "rejected_rows": n["rejected"], "exclusion_reasons": reasons, "offer_reconstruction": used, "feature_columns": FEATURES, "feature_schema": {c: k for c, k in accepted.dtypes if c in FEATURES}}
-    return Built(accepted, rejected, audit(gold, master), report, n["eligible"], used)
+    return Built(accepted, rejected, rows, joined, gold, master, manifest)
+
+
+def build_from_paths(spark: SparkSession, gold_path: str, master_path: str, offers_path: str | None = None, output_dir: str | None = None, own_brand: str | None = None, encoding: str = "utf-8-sig", overwrite: bool = False) -> Built:
+    """Read the tables, build, and write all artifacts if a folder is given; the manifest says where the
+    inputs lie and, for files on this machine, their hashes."""
+    paths = {"gold": gold_path, "master": master_path} | ({"offers": offers_path} if offers_path else {})
+    hashes = {k: sinks.file_sha256(p) for k, p in paths.items() if os.path.isfile(p)}
+    offers = readers.load_offers(spark, offers_path) if offers_path else None
+    gold, master = readers.load_gold_for_audit(spark, gold_path), readers.load_master(spark, master_path)
+    built = build(gold, master, offers, own_brand, input_paths=paths, input_hashes=hashes, created_at=datetime.now(UTC).isoformat())
+    if output_dir:
+        sinks.write_training(built, output_dir, encoding, overwrite)
+    return built

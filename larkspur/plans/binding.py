@@ -3,7 +3,7 @@ labelled pairs of orders. The same expressions in SQL stand beside them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.prepare import OwnBrand, prepare_master, prepare_offers
@@ -14,6 +14,10 @@ TEXTS = ["Spicy Chicken Nuggets / Beef Burger", "Corned Beef and Kibbeh", "Fish
 TEXT_SQL = lambda key: "case cast(" + key + " as bigint) % 8 " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(TEXTS)) + " end"
 
 
+def listed_sql(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,6 +46,36 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_offers(raw_offers(spark, sf_dir), OWN).withColumn("category", F.col("Product"))
 
 
+#: Groups of the catalogue: listed ones, one that names a category and one that doesn't.
+GROUPS = ["Chicken-Mince", "Meat", "Seafood-ZING", "Veg", "Potato-Spl", "Fruits", "Frozen chicken", "Sundry"]
+VARIANTS = ["Spicy", "No Variant", "", "Regular"]
+FOOD_SQL = f"""select *, 'New ' || {TEXT_SQL('p_size')} as name, {TEXT_SQL('p_partkey')} as product, {TEXT_SQL('p_partkey + 3')} as b, {listed_sql(GROUPS)}[cast(p_partkey as bigint) % 8 + 1] as grp, {listed_sql(VARIANTS)}[cast(p_size as bigint) % 4 + 1] as variant from part"""
+
+
+def nth(values: list[str], number) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+
+
+def food_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers with food texts, whose categories come from these."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    raw = read(spark, sf_dir, "part").select(
+        key.alias("offer_ord"), F.concat(F.lit("New "), nth(TEXTS, size)).alias("Offer Name"), nth(TEXTS, key).alias("Product"), F.lit("b").alias("Brand Name"),
+        nth(VARIANTS, size).alias("Variant"), F.concat(size.cast("string"), F.lit("g")).alias("Base Packsize"),
+    )
+    return prepare_offers(raw, OWN)
+
+
+def food_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue under food texts and groups of the house."""
+    key = F.col("p_partkey")
+    raw = read(spark, sf_dir, "part").select(
+        key.cast("string").alias("Itemcode"), F.upper(nth(TEXTS, key + 3)).alias("Itemname"), nth(GROUPS, key).alias("Item-Cat-2"), F.lit("").alias("Item-Cat-4"),
+        F.lit("").alias("Item Description"), F.concat(F.col("p_size").cast("string"), F.lit("g x 20 Pkts")).alias("Item-Spec"), key.alias("master_ord"),
+    )
+    return prepare_master(raw)
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled pairs. Codes from 200 on get a letter, so that no part has them at any scale; the SQL
     below has them as the same numbers without it."""

@@ -42,25 +42,42 @@ CLEAN = lambda x: f"coalesce(array_to_string(list_filter({LETTERS(x)}, lambda w:
 LCS = lambda x, y: f"list_reduce(string_split({x}, ''), lambda p, k: list_reduce(range(1, len({y}) + 1), lambda r, j: list_append(r, case when {y}[j] = k then p[j] + 1 else greatest(p[j + 1], r[j]) end), [cast(0 as bigint)]), list_resize([cast(0 as bigint)], len({y}) + 1, cast(0 as bigint)))[len({y}) + 1]"
 
 
-def word_scores(pairs: str) -> str:
-    """CTEs from pairs(a, b): scored(a, b, score)."""
+def word_scores(pairs: str, tag: str = "") -> str:
+    """CTEs from pairs(a, b): scored(a, b, score); their names end in tag."""
     return f"""
-  toks as (select a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') as sa, array_to_string(list_sort(string_split(b, ' ')), ' ') as sb,
+  toks{tag} as (select a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') as sa, array_to_string(list_sort(string_split(b, ' ')), ' ') as sb,
       list_distinct(string_split(a, ' ')) as x, list_distinct(string_split(b, ' ')) as y from {pairs}),
-  rests as (select *, array_to_string(list_sort(list_filter(x, lambda w: not list_contains(y, w))), ' ') as rx,
+  rests{tag} as (select *, array_to_string(list_sort(list_filter(x, lambda w: not list_contains(y, w))), ' ') as rx,
       array_to_string(list_sort(list_filter(y, lambda w: not list_contains(x, w))), ' ') as ry,
-      len(array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ')) as sh from toks),
-  lens as (select *, sh + (sh > 0)::int + len(rx) as lx, sh + (sh > 0)::int + len(ry) as ly,
-      200::double * {LCS('sa', 'sb')} / (len(sa) + len(sb)) as ts, case when rx = '' or ry = '' then 0 else {LCS('rx', 'ry')} end as lc from rests),
-  scored as (select a, b, (ts + case when sh > 0 and (rx = '' or ry = '') then 100::double else greatest(
+      len(array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ')) as sh from toks{tag}),
+  lens{tag} as (select *, sh + (sh > 0)::int + len(rx) as lx, sh + (sh > 0)::int + len(ry) as ly,
+      200::double * {LCS('sa', 'sb')} / (len(sa) + len(sb)) as ts, case when rx = '' or ry = '' then 0 else {LCS('rx', 'ry')} end as lc from rests{tag}),
+  parts{tag} as (select a, b, ts, case when sh > 0 and (rx = '' or ry = '') then 100::double else greatest(
       100::double * (1::double - (len(rx) + len(ry) - 2 * lc)::double / (lx + ly)),
       case when sh > 0 then 100::double * (1::double - (1 + len(rx))::double / (sh + lx)) else 0 end,
-      case when sh > 0 then 100::double * (1::double - (1 + len(ry))::double / (sh + ly)) else 0 end) end) / 2::double as score from lens)"""
+      case when sh > 0 then 100::double * (1::double - (1 + len(ry))::double / (sh + ly)) else 0 end) end as tset from lens{tag}),
+  scored{tag} as (select a, b, (ts + tset) / 2::double as score from parts{tag})"""
+
+
+def weighted_scores(tag: str = "") -> str:
+    """CTEs after word_scores: whole(a, b, words, chars, weighted); texts must not be empty."""
+    windows = lambda x, y: f"unnest(list_transform(range(1, len({x}) + len({y})), lambda i: {y}[greatest(0, i - len({x})) + 1:least(i, len({y}))]))"
+    ordered = lambda x, y: f"case when len({x}) > len({y}) then {y} else {x} end as s, case when len({x}) > len({y}) then {x} else {y} end as l"
+    part = lambda name, x, y, rows: f"{name} as (select a, b, max(200::double * {LCS('s', 'w')} / (len(s) + len(w))) as best from (select a, b, s, {windows('s', 'l')} as w from (select a, b, {ordered(x, y)} from {rows})) group by a, b)"
+    return f"""
+  long as (select a, b, array_to_string(list_sort(list_distinct(string_split(a, ' '))), ' ') as ja, array_to_string(list_sort(list_distinct(string_split(b, ' '))), ' ') as jb,
+      list_has_any(string_split(a, ' '), string_split(b, ' ')) as shared, 2 * greatest(len(a), len(b)) >= 3 * least(len(a), len(b)) as far from parts{tag}),
+  {part('pieces', 'a', 'b', 'long where far')}, {part('token_pieces', 'ja', 'jb', 'long where far and not shared')},
+  full_scores as (select parts.a, parts.b, (ts + tset) / 2::double as words, 200::double * {LCS('parts.a', 'parts.b')} / (len(parts.a) + len(parts.b)) as chars, ts, tset, far,
+      case when greatest(len(parts.a), len(parts.b))::double / least(len(parts.a), len(parts.b)) < 8 then 0.9::double else 0.6::double end as scale,
+      pieces.best as part, case when shared then 100::double else token_pieces.best end as token_part
+    from parts{tag} as parts join long on long.a = parts.a and long.b = parts.b left join pieces on pieces.a = parts.a and pieces.b = parts.b left join token_pieces on token_pieces.a = parts.a and token_pieces.b = parts.b),
+  whole as (select a, b, words, chars, case when far then greatest(chars, scale * part, 0.95::double * scale * token_part) else greatest(chars, 0.95::double * greatest(ts, tset)) end as weighted from full_scores)"""
 
 
 MASTER = "m as (select cast(p_partkey as varchar) as code, upper(p_name) as itemname, p_type as category, lower(p_name) as b, p_size::double as msize, p_partkey as ord from part)"
 OFFERS = f"""o as (select (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as offer_ord, trim({CLEAN("'New ' || p_name || ' Offer'")} || ' ' || lower(p_type)) as a, {CLEAN("'New ' || p_name || ' Offer'")} as clean,
-    p_size::double as size, p_type as category, lower(p_type) as family, p_brand, n_name, s_name, l_extendedprice as price, 'New ' || p_name || ' Offer' as name,
+    l_orderkey, p_size::double as size, p_type as category, lower(p_type) as family, p_brand, n_name, s_name, l_extendedprice as price, 'New ' || p_name || ' Offer' as name,
     lower(p_brand) in ('brand#1', 'brand#2') as is_own
   from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey)"""
 KEYS = "keys as (select a, size, category, min(offer_ord) as offer_ord from o where is_own group by all)"
@@ -70,7 +87,7 @@ NEAR = lambda x, y: f"abs({x} - {y}) / greatest({x}, {y}) <= 0.1::double"  # noq
 def ranked(k: int) -> str:
     return f"""{MASTER}, {OFFERS}, {KEYS},
   pairs as (select distinct a, b from keys join m using (category)), {word_scores('pairs')},
-  cand as (select offer_ord, a, size, category, code, itemname, ord, score, {NEAR('size', 'msize')} as fits from keys join m using (category) join scored using (a, b)),
+  cand as (select offer_ord, a, size, category, code, itemname, msize, ord, score, {NEAR('size', 'msize')} as fits from keys join m using (category) join scored using (a, b)),
   adj as (select *, score + case when fits then 4 else 0 end as adjusted, not bool_or(fits) over (partition by offer_ord) as none_fits from cand),
   ranks as (select *, row_number() over w as rank, coalesce(adjusted - lead(adjusted) over w, 100) as margin, coalesce(score - lead(score) over w, 100) as raw_margin
     from adj where fits or none_fits window w as (partition by offer_ord order by adjusted desc, ord)),
@@ -117,7 +134,7 @@ def engine_run(spark, sf_dir) -> pipeline.Run:
 MAPPED = f"""{ranked(1)},
   mapped as (select o.*, case when tier <> 'no_match' then code else 'NO_MATCH' end as suggested, itemname, round_even(score, 2) / 100 as p,
     case when not o.is_own then 'n/a' when tier = 'no_match' then 'no_match' when round_even(score, 2) / 100 >= 0.8::double then 'high (ml)' when round_even(score, 2) / 100 >= 0.6::double then 'medium (ml)' else 'low (ml)' end as final_tier,
-    lower(itemname) as master_text
+    lower(itemname) as master_text, score, margin, raw_margin, fits
   from o left join best on o.is_own and o.a = best.a and o.size = best.size and o.category = best.category)"""
 
 
@@ -127,10 +144,10 @@ def merge_back(spark, sf_dir):
 
 
 FOUND = f"""{MAPPED},
-  targets as (select n_name, family, suggested, size, arg_min(master_text, offer_ord) as mt, min(offer_ord) as target_ord from mapped where final_tier = 'high (ml)' group by all),
+  targets as (select n_name, family, suggested, size, arg_min(master_text, offer_ord) as mt, min(offer_ord) as target_ord, arg_min(category, offer_ord) as tproduct, arg_min(itemname, offer_ord) as titem from mapped where final_tier = 'high (ml)' group by all),
   pool as (select n_name, family, p_brand, clean, size as psize, min(offer_ord) as pool_ord, arg_min(a, offer_ord) as ptext, arg_min(name, offer_ord) as pname from mapped where not is_own group by all),
   cpairs as (select *, {NEAR('size', 'psize')} as fits from targets join pool using (n_name, family)),
-  tpairs as (select distinct mt as a, ptext as b from cpairs where fits), {word_scores('tpairs').replace('toks', 'toks2').replace('rests', 'rests2').replace('lens', 'lens2').replace('scored', 'scored2')},
+  tpairs as (select distinct mt as a, ptext as b from cpairs where fits), {word_scores('tpairs', '2')},
   good as (select *, score + 3 as adjusted2 from cpairs join scored2 on a = mt and b = ptext where fits and score >= 60 and score + 3 >= 65),
   per_brand as (select *, row_number() over (partition by target_ord, p_brand order by adjusted2 desc, pool_ord) as n1 from good),
   found as (select *, row_number() over (partition by target_ord order by adjusted2 desc, pool_ord) as crank from per_brand where n1 = 1)"""
@@ -142,7 +159,9 @@ def competitor_offers(spark, sf_dir):
     return found.select(F.col("Country").alias("country"), F.col("matched_itemcode").alias("own_itemcode"), "target_ord", "brand", "offer", F.round("raw", 6).alias("raw"), "rank")
 
 
-@query()
+@query(f"""with {FOUND} select n_name as "Country", tproduct as "Product", suggested as "Own Itemcode", titem as "Own Itemname", size::int || 'g' as "Own Pack", size::int || 'g' as "Own Retail Unit",
+  p_brand as "Competitor Brand", pname as "Competitor Offer", psize::int || 'g' as "Competitor Pack", psize::int || 'g' as "Competitor Retail Unit", round_even(score, 1) as "Raw Score", round_even(adjusted2, 1) as "Adjusted Score",
+  fits as "Pack Status", 'Direct competitor' as "Competitor Type", cast(crank as integer) as "Rank" from found where crank <= 5""")
 def competitor_long(spark, sf_dir):
     return competitors.long_table(engine_run(spark, sf_dir).competitors)
 
@@ -162,7 +181,17 @@ def competitor_export(spark, sf_dir):
     return engine_run(spark, sf_dir).competitor_export
 
 
-@query()
+@query(f"""with {FOUND}, summary as (select n_name, family, suggested, size, string_agg(p_brand || ': ' || pname || ' [' || round_even(score, 0)::bigint || ']', '; ' order by crank) as x from found where crank <= 5 group by all)
+  select mapped.n_name as "Country", s_name as "Retailer Name", '' as "Flyer Name", null::varchar as "Analysis week", '0' || l_orderkey as offerid, name as "Offer Name", p_brand as "Brand Name", null::varchar as segment,
+    category as "Product", 'No Variant' as "Variant", mapped.size::int || 'g' as "Base Packsize", price as "Offer Price", price as "Regular Price", null::varchar as "Discount_percent",
+    case when not is_own then 'N/A - competitor brand row' when final_tier = 'high (ml)' then mapped.suggested else 'REVIEW_REQUIRED' end as matched_itemcode,
+    case when not is_own then 'N/A' when final_tier = 'high (ml)' then itemname else 'REVIEW_REQUIRED' end as matched_itemname,
+    case when is_own then mapped.suggested else 'N/A' end as suggested_itemcode, case when not is_own then 'N/A' when final_tier = 'no_match' then 'None' else itemname end as suggested_itemname,
+    round_even(score, 2) as match_score, round_even(margin, 2) as margin, round_even(raw_margin, 2) as raw_margin, fits as pack_status, final_tier as confidence_tier,
+    case when final_tier <> 'no_match' then p end as ml_probability,
+    case final_tier when 'n/a' then 'N/A' when 'no_match' then 'NO_CANDIDATE' when 'high (ml)' then 'AUTO_MATCH' when 'medium (ml)' then 'MANUAL_REVIEW' else 'NO_MATCH' end as ml_decision,
+    case when final_tier = 'high (ml)' then coalesce(x, 'None Found') else 'Not computed (row not auto-accepted, or is a competitor-brand row)' end as competitor_matches
+  from mapped left join summary on final_tier = 'high (ml)' and mapped.n_name = summary.n_name and mapped.family = summary.family and mapped.suggested = summary.suggested and mapped.size = summary.size""")
 def detailed_mapping(spark, sf_dir):
     return engine_run(spark, sf_dir).mapping
 
@@ -213,10 +242,10 @@ def measures(spark, sf_dir):
     return df.select("p_partkey", m.retail_weight(d).alias("retail_weight"), m.unit_count(d).alias("unit_count"), m.total_weight(d).alias("total_weight"), m.units_per_carton(F.concat(size, F.lit(" Gms x 20 Pkts"))).alias("per_carton"), m.bonus_weight(F.concat(F.lit("750 g + "), size, F.lit("gm"))).alias("bonus"), t.retail_unit(d).alias("shown"))
 
 
-@query()
+@query("select p_partkey, p_size::double as pieces, p_size::double as times, null::double as none, 30::double as plural from part")
 def piece_counts(spark, sf_dir):
     size = F.col("p_size").cast("string")
-    return read(spark, sf_dir, "part").select("p_partkey", m.piece_count(F.concat(F.lit("Nuggets "), size, F.lit(" pcs"))).alias("pieces"), m.piece_count(F.concat(F.lit("Nuggets x "), size)).alias("times"), m.piece_count(F.concat(size, F.lit(" x 500 g"))).alias("none"))
+    return read(spark, sf_dir, "part").select("p_partkey", m.piece_count(F.concat(F.lit("Nuggets "), size, F.lit(" pcs"))).alias("pieces"), m.piece_count(F.concat(F.lit("Nuggets x "), size)).alias("times"), m.piece_count(F.concat(size, F.lit(" x 500 g"))).alias("none"), m.piece_count(F.concat(F.lit("Box of 30's, x "), size)).alias("plural"))
 
 
 @query(f"select l_orderkey, l_linenumber, {NEAR('q', 's')} or {NEAR('2 * q', 's')} as compatible, case when {NEAR('q', 's')} then true when {NEAR('2 * q', 's')} then false end as structure from (select l_orderkey, l_linenumber, l_quantity::double as q, p_size::double as s from lineitem join part on l_partkey = p_partkey)")
@@ -257,12 +286,33 @@ def word_similarity(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("a", "b", F.round(s.word_similarity(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query()
+VARIED = "n as (select distinct p_name as a, p_type from part), pairs as (select distinct x.a, unnest([y.a, trim(left(y.a, 4)), y.a || ' ' || reverse(y.a) || ' tail']) as b from n x join n y using (p_type))"
+
+
+@query(f"with {VARIED}, {word_scores('pairs')}, {weighted_scores()} select a, b, round(weighted, 6) as score from whole")
 def weighted_similarity(spark, sf_dir):
-    return name_pairs(spark, sf_dir).select("a", "b", F.round(s.weighted_similarity(F.col("a"), F.col("b")), 6).alias("score"))
+    n = read(spark, sf_dir, "part").select(F.col("p_name").alias("a"), "p_type").distinct()
+    varied = n.select("p_type", F.explode(F.array("a", F.trim(F.left("a", F.lit(4))), F.concat_ws(" ", "a", F.reverse("a"), F.lit("tail")))).alias("b"))
+    return n.join(varied, "p_type").select("a", "b").distinct().select("a", "b", F.round(s.weighted_similarity(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query()
+def features_sql(offer: str, master_: str, sizes: str) -> str:
+    """The semantic features, from expressions of the offer's and the catalogue's text, and sizes."""
+    return f"""{AGREE(PROTEIN(offer), PROTEIN(master_))} as protein_match, {AGREE(PHRASES(offer, t.FAMILIES), PHRASES(master_, t.FAMILIES))} as family_match, {AGREE(PHRASES(offer, t.VARIANTS), PHRASES(master_, t.VARIANTS))} as variant_match,
+    {sizes}, round_even(words, 1) as word_similarity, round_even(chars, 1) as character_similarity, round_even(weighted, 1) as token_similarity,
+    (len({PROTEIN(offer)}) > 1)::int as is_mixed_protein_offer, (len({PHRASES(offer, t.FAMILIES)}) > 1)::int as is_multi_family_offer, {HAS(offer, t.NON_MEAT)}::int as contains_non_meat_product,
+    least(4, len(regexp_extract_all(lower({offer}), '\\s(?:/|\\bor\\b|\\band\\b|\\+)\\s')) + 1)::double as expected_match_count"""
+
+
+OWN_PAIRS = f"""texts as (select best.offer_ord, code, itemname, msize, best.size, name || ' ' || o.category || ' No Variant' as x, {CLEAN("name || ' ' || o.category || ' No Variant'")} as cx, {CLEAN('itemname')} as cy
+  from best join o on o.offer_ord = best.offer_ord)"""
+OWN_SIZES = f"""({NEAR('size', 'msize')})::int as size_match, 1 as pack_format_match, size as unit_pack_weight_g, 1::double as number_of_units, null::double as bonus_weight_g, size as total_offer_weight_g, null::double as piece_count,
+    msize as master_unit_weight_g, 20::double as master_units_per_carton"""
+
+
+@query(f"""with {ranked(1)}, {OWN_PAIRS},
+  tpairs as (select distinct cx as a, cy as b from texts), {word_scores('tpairs', '2')}, {weighted_scores('2')}
+  select offer_ord, code as "Itemcode", {features_sql('x', 'itemname', OWN_SIZES)} from texts join whole on cx = whole.a and cy = whole.b""")
 def pair_features(spark, sf_dir):
     offers, master = c.unique_keys(b.offers(spark, sf_dir).where("is_own")), b.master(spark, sf_dir)
     found = c.candidates(offers, master, 1).select("offer_ord", F.col("itemcode").alias("Itemcode"))
@@ -354,15 +404,72 @@ def audit_majority(spark, sf_dir):
     return audit.majority(audit.distribution(normal_gold(spark, sf_dir), F.col("label")))
 
 
-@query("select lower(p_name) as text_key, min(p_type) as product from part group by 1 having count(distinct p_type || '|' || p_size) = 1")
+@query("select lower(p_name || ' ' || p_type || ' ' || p_size) as text_key, min(p_type) as product, min(case when p_partkey % 3 = 0 then p_brand else '' end) as variant from part group by 1 having count(distinct case when p_partkey % 3 = 0 then p_brand else '' end) = 1")
 def identity_lookup(spark, sf_dir):
-    part = read(spark, sf_dir, "part").select(F.concat(F.lit(" "), F.upper("p_name")).alias("Offer Name"), F.col("p_type").alias("Product"), F.lit("").alias("Variant"), F.col("p_size").cast("string").alias("Base Packsize"))
-    return training.reliable_offers(part)[0].select("text_key", F.col("meta.f1").alias("product"))
+    """Offers are reliable where all with one text have one variant, too; others are ambiguous."""
+    name = F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "), "p_type", F.lit(" "), F.col("p_size").cast("string"))
+    part = read(spark, sf_dir, "part").select(name.alias("Offer Name"), F.col("p_type").alias("Product"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).alias("Variant"), F.col("p_size").cast("string").alias("Base Packsize"))
+    return training.reliable_offers(part)[0].select("text_key", F.col("meta.f1").alias("product"), F.col("meta.f2").alias("variant"))
 
 
-@query()
+ACCEPTED = "good as (select * from gold where flag = 1 and label in (0, 1) and offer_text is not null and cast(code as int) < 200)"
+GOLD_SIZES = f"""({NEAR('500', 'msize')} or {NEAR('1000', 'msize')})::int as size_match, 1 as pack_format_match, 500::double as unit_pack_weight_g, 2::double as number_of_units, null::double as bonus_weight_g, 1000::double as total_offer_weight_g,
+    null::double as piece_count, msize as master_unit_weight_g, 20::double as master_units_per_carton"""
+
+
+@query(f"""with {b.GOLD_SQL}, {ACCEPTED}, texts as (select good.*, trim(offer_text) as x, itemname, msize, {CLEAN('offer_text')} as cx, {CLEAN('itemname')} as cy from good join (select cast(p_partkey as varchar) as code, upper(p_name) as itemname, p_size::double as msize from part) using (code)),
+  pairs as (select distinct cx as a, cy as b from texts), {word_scores('pairs')}, {weighted_scores()}
+  select record_id, offer_group_id, offer_text, code as master_itemcode, label as pair_label, source_dataset, case record_id % 4 when 0 then 'train' when 1 then 'test' when 2 then '' else 'train ' end as recommended_split,
+    {features_sql('x', 'itemname', GOLD_SIZES)} from texts join whole on cx = whole.a and cy = whole.b""")
 def training_features(spark, sf_dir):
-    return training.build(b.gold(spark, sf_dir).withColumn("offer_text", F.col("offer_text")), b.master(spark, sf_dir)).accepted
+    return training.build(b.gold(spark, sf_dir), b.master(spark, sf_dir)).accepted
+
+
+@query(f"""with {b.GOLD_SQL}, rs as (select unnest(list_filter([case when flag is null then 'invalid_use_for_binary_pair_training' when flag <> 1 then 'use_for_binary_pair_training_not_1' end,
+    case when label is null or label not in (-1, 0, 1) then 'invalid_pair_label' when label = -1 then 'abstain_pair_label' end, case when offer_text is null then 'null_offer_text' end,
+    case when code is null then 'missing_master_itemcode' when cast(code as int) >= 200 then 'unknown_master_itemcode' end], lambda x: x is not null)) as reason from gold) select reason, count(*) as n from rs group by 1""")
+def exclusion_counts(spark, sf_dir):
+    return training.exclusions(training.judged(b.gold(spark, sf_dir), b.master(spark, sf_dir)))
+
+
+@query(f"""with {b.GOLD_SQL} select count(*) as n, count(*) filter (flag = 1 and label in (0, 1)) as eligible,
+  count(*) filter (coalesce(flag, 0) <> 1 or coalesce(label, 9) not in (0, 1) or offer_text is null or code is null or cast(code as int) >= 200) as rejected from gold""")
+def training_totals(spark, sf_dir):
+    return training.totals(training.judged(b.gold(spark, sf_dir), b.master(spark, sf_dir)))
+
+
+@query(f"with {b.GOLD_SQL} select distinct 'N' || code as code from gold where cast(code as int) >= 200")
+def audit_unknown_code_list(spark, sf_dir):
+    return audit.codes_of(audit.unknown_codes(normal_gold(spark, sf_dir), b.master(spark, sf_dir)))
+
+
+@query("select record_id, offer_group_id from (select o_orderkey as record_id, cast(o_custkey as varchar) as offer_group_id from orders where o_orderkey % 17 = 0) order by record_id limit 100")
+def audit_examples(spark, sf_dir):
+    return audit.first_examples(audit.empty_texts(normal_gold(spark, sf_dir)), ["record_id", "offer_group_id", "no_such_column"])
+
+
+@query(f"""with food as ({b.FOOD_SQL}), m as (select p_partkey, lower(b) as b, p_size::double as msize, case grp {' '.join(f"when '{k}' then '{v}'" for k, v in t.CATEGORY_OF_GROUP.items())} else {CATEGORY.replace('(x)', '(grp)')} end as category from food),
+  k as (select trim({CLEAN('name')} || ' ' || lower(product) || case when low in ('', 'no variant') then '' else ' ' || low end) as a, p_size::double as size, {CATEGORY.replace('(x)', '(product)')} as category, min(p_partkey) as offer_ord from (select *, lower(variant) as low from food) group by all),
+  open as (select * from m union all select p_partkey, b, msize, 'Other' from m where not exists (select 1 from m where category = 'Other')),
+  pairs as (select distinct a, b from k join open using (category)), {word_scores('pairs')},
+  c as (select offer_ord, k.category, p_partkey as ord, score, {NEAR('size', 'msize')} as fits from k join open using (category) join scored using (a, b)),
+  adj as (select *, score + case when fits then 4 else 0 end as adjusted, not bool_or(fits) over (partition by offer_ord) as none_fits from c),
+  ranks as (select *, row_number() over (partition by offer_ord order by adjusted desc, ord) as rank from adj where fits or none_fits)
+  select offer_ord, category, cast(rank as integer) as candidate_rank, cast(ord as varchar) as itemcode, round(score, 6) as text_score, round(adjusted, 6) as adjusted_score, fits as pack_status from ranks where rank <= 2
+  union all select offer_ord, category, 0, 'NO_MATCH', 0, 0, null from k where category not in (select category from open)""")
+def category_candidates(spark, sf_dir):
+    """Candidates in the categories that the texts themselves give."""
+    found = c.candidates(c.unique_keys(b.food_offers(spark, sf_dir)), b.food_master(spark, sf_dir), 2)
+    return found.select("offer_ord", "category", "candidate_rank", "itemcode", F.round("text_score", 6).alias("text_score"), F.round("adjusted_score", 6).alias("adjusted_score"), "pack_status")
+
+
+@query()
+def trained_decisions(spark, sf_dir):
+    """Decisions of a classifier that is trained on the accepted training rows, for all own offers. A
+    trained forest has no SQL; a test holds its probabilities and decisions against the features."""
+    model = scoring.train(training.build(b.gold(spark, sf_dir), b.master(spark, sf_dir)).accepted, trees=5)
+    mapped = pipeline.run_prepared(b.offers(spark, sf_dir), b.master(spark, sf_dir), scoring.model_scorer(model), at=rules.Thresholds(auto_match=0.55, manual_review=0.45), own=b.OWN).mapped
+    return mapped.where("is_own").select("offer_ord", "suggested_itemcode", "ml_probability", "ml_decision", "confidence_tier", "ml_features")
 
 
 def event_scores(spark, sf_dir):
@@ -381,13 +488,21 @@ def threshold_sweep(spark, sf_dir):
 
 
 @query(f"""with {SCORES}, r as (select *, rank() over (partition by slice order by p) + (count(*) over (partition by slice, p) - 1) / 2::double as rk from s)
-  select slice, sum(y)::bigint as positives, round((sum(rk) filter (y = 1) - sum(y) * (sum(y) + 1) / 2::double) / (sum(y) * sum(1 - y)), 6) as roc_auc, round(count(*) filter (y = 1 and p >= 0.5) / nullif(count(*) filter (p >= 0.5), 0), 6) as precision from r group by slice""")
+  select slice, sum(y)::bigint as positives, round((sum(rk) filter (y = 1) - sum(y) * (sum(y) + 1) / 2::double) / (sum(y) * sum(1 - y)), 6) as roc_auc, round(count(*) filter (y = 1 and p >= 0.5) / nullif(count(*) filter (p >= 0.5), 0), 6) as precision, any_value(pr_auc) as pr_auc
+  from r join (select slice, round(sum(yes * hits / (hits + misses)) / sum(yes), 6) as pr_auc from (select slice, yes, sum(yes) over w as hits, sum(nos) over w as misses from (select slice, p, sum(y) as yes, sum(1 - y) as nos from s group by all) window w as (partition by slice order by p desc)) group by 1) using (slice) group by slice""")
 def model_metrics(spark, sf_dir):
     out = scoring.metrics(event_scores(spark, sf_dir), by=["slice"])
-    return out.select("slice", "positives", F.round("roc_auc", 6).alias("roc_auc"), F.round("precision", 6).alias("precision"))
+    return out.select("slice", "positives", F.round("roc_auc", 6).alias("roc_auc"), F.round("precision", 6).alias("precision"), F.round("pr_auc", 6).alias("pr_auc"))
 
 
-@query()
+@query(f"with {SCORES} select least(floor(p * 10), 9)::int as bin, count(*) as n, round(avg(p), 6) as mean_probability, round(avg(y), 6) as share from s group by 1")
+def calibration(spark, sf_dir):
+    out = scoring.calibration(event_scores(spark, sf_dir))
+    return out.select("bin", "n", F.round("mean_probability", 6).alias("mean_probability"), F.round("share", 6).alias("share"))
+
+
+@query("""with g as (select o_orderkey as record_id, cast(o_custkey as varchar) as offer_group_id, case o_orderkey % 4 when 1 then 'test' when 2 then null else 'train' end as own from orders)
+  select record_id, offer_group_id, coalesce(own, case when h < 70 then 'train' when h < 85 then 'validation' else 'test' end) as split from (select *, cast('0x' || left(md5(offer_group_id || '|42'), 8) as bigint) % 100 as h from g)""")
 def group_split(spark, sf_dir):
     return scoring.with_split(b.gold(spark, sf_dir)).select("record_id", "offer_group_id", "split")
 

@@ -1,9 +1,14 @@
-"""The whole run: offers and catalogue to mapping, competitors and exports, as one lazy plan."""
+"""The whole run: offers and catalogue to mapping, competitors and exports. The mapping of all offers is
+written once to the folder that the cluster shares, as all results read it, some of them twice; the
+rest is lazy."""
 
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+import os
+import uuid
+from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +18,7 @@ from ..operators import competitors, exports, rules, scoring
 from ..operators.features import FEATURES, add_features
 from ..operators.prepare import OwnBrand, prepare_master, prepare_offers
 from ..sources import readers, sinks
+from ..sources.scratch import stored
 from .config import Config
 
 log = logging.getLogger(__name__)
@@ -64,7 +70,7 @@ def map_offers(offers: DataFrame, keyed: DataFrame) -> DataFrame:
 
 
 def run(offers: DataFrame, master: DataFrame, scorer: scoring.Scorer = scoring.rule_scorer, config: Config | None = None, own: OwnBrand = OwnBrand()) -> Run:
-    """Raw tables (with offer_ord and master_ord) to all results; nothing runs before a sink asks."""
+    """Raw tables (with offer_ord and master_ord) to all results."""
     at, own = (config.thresholds, config.own_brand) if config else (rules.Thresholds(), own)
     offers, master = prepare_offers(offers, own), prepare_master(master)
     return run_prepared(offers, master, scorer, config, at, own)
@@ -73,23 +79,44 @@ def run(offers: DataFrame, master: DataFrame, scorer: scoring.Scorer = scoring.r
 def run_prepared(offers: DataFrame, master: DataFrame, scorer: scoring.Scorer, config: Config | None = None, at: rules.Thresholds = rules.Thresholds(), own: OwnBrand = OwnBrand()) -> Run:
     keys = c.unique_keys(offers.where("is_own"))
     matched = match(keys, master, at, *((config.pack_bonus, config.pack_unknown) if config else ()))
-    mapped = map_offers(offers, scored_keys(keys, matched, master, scorer, at, own.pattern))
+    mapped = stored(map_offers(offers, scored_keys(keys, matched, master, scorer, at, own.pattern)))
     found = competitors.find_competitors(mapped, config.raw_score_floor, config.adjusted_score_floor, most=config.max_per_target) if config else competitors.find_competitors(mapped)
     whole = competitors.with_summary(mapped, found)
     return Run(mapped, found, exports.mapping(whole), competitors.long_table(found), exports.offer_export(master, mapped), exports.competitor_export(master, found))
 
 
-def run_config(spark: SparkSession, config: Config) -> dict[str, str]:
-    """Read, run, write and read again."""
-    scorer = scoring.load(spark, config.model_path)[0] if config.model_path else scoring.rule_scorer
+def review_queue(mapped: DataFrame) -> DataFrame:
+    """Own offers that a person must decide, the most probable first."""
+    return mapped.where("is_own and ml_decision = 'MANUAL_REVIEW'").orderBy(F.desc("ml_probability"), "offer_ord")
+
+
+def summary(mapped: DataFrame, found: DataFrame) -> dict:
+    """Numbers of a run: offers, tiers, decisions, mean probability of accepted ones, competitor rows."""
+    counts = lambda c: {r[0]: r["n"] for r in mapped.groupBy(c).agg(F.count("*").alias("n")).orderBy(c).collect()}  # noqa: E731  of a few fixed values
+    total = mapped.agg(F.count("*").alias("offers"), F.count_if("is_own").alias("own_offers"), F.avg(F.when(F.col("ml_decision") == "AUTO_MATCH", F.col("ml_probability"))).alias("mean_accepted_probability")).first()
+    return total.asDict() | {"confidence_tiers": counts("confidence_tier"), "decisions": counts("ml_decision"), "competitor_rows": found.count()}
+
+
+def run_config(spark: SparkSession, config: Config, run_id: str | None = None) -> dict[str, str]:
+    """Read, run, write to a folder of the run's own, and read again. The folder is new: results of other
+    runs are never overwritten. The summary has the run's id, its settings and the files' hashes."""
+    run_id = run_id or datetime.now(UTC).strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:8]
+    folder = f"{config.output_dir}/{run_id}"
+    scorer, model = scoring.load(spark, config.model_path) if config.model_path else (scoring.rule_scorer, {"scorer": "rules"})
     offers, master = readers.load_offers(spark, config.offers_path), readers.load_master(spark, config.master_path)
     done = run(offers, master, scorer, config)
     prepared = prepare_master(master)
-    done.mapping.write.mode("overwrite").parquet(f"{config.output_dir}/mapping.parquet")
-    done.long_table.write.mode("overwrite").parquet(f"{config.output_dir}/competitors.parquet")
+    stamped = lambda df: df.withColumn("run_id", F.lit(run_id))
+    paths = {name: f"{folder}/{name}.parquet" for name in ("mapping", "competitors", "review_queue")}
+    stamped(done.mapping).write.parquet(paths["mapping"])
+    done.long_table.write.parquet(paths["competitors"])
+    stamped(exports.mapping(review_queue(done.mapped))).write.parquet(paths["review_queue"])
     exports.validate_offer_export(done.offer_export, prepared)
-    paths = {"offers": sinks.write_csv(done.offer_export, f"{config.output_dir}/offers.csv", config.output_encoding), "competitors": sinks.write_csv(done.competitor_export, f"{config.output_dir}/competitors.csv", config.output_encoding)}
+    paths |= {"offers": sinks.write_csv(done.offer_export, f"{folder}/offers.csv", config.output_encoding), "competitors_csv": sinks.write_csv(done.competitor_export, f"{folder}/competitors.csv", config.output_encoding)}
     again = spark.read.options(header=True, multiLine=True, escape='"', emptyValue="", nullValue="\x00").csv(paths["offers"])
     exports.validate_offer_export(again.na.fill(""), prepared)
+    hashes = {k: sinks.file_sha256(p) for k, p in paths.items() if os.path.isfile(p)}
+    report = summary(done.mapped, done.competitors) | {"run_id": run_id, "model": model, "thresholds": asdict(config.thresholds), "output_paths": paths, "output_hashes": hashes}
+    paths["summary"] = sinks.write_json(report, f"{folder}/summary.json")
     log.info("wrote %s", paths)
     return paths

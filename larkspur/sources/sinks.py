@@ -11,10 +11,12 @@ import json
 import os
 from collections.abc import Callable
 from pathlib import Path
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 
-from ..operators.training import Built
+if TYPE_CHECKING:
+    from ..operators.training import Built
 
 BLOCK = 1 << 20
 
@@ -29,7 +31,7 @@ def _whole(path: str, write: Callable, overwrite: bool) -> str:
     return path
 
 
-def write_csv(df: DataFrame, path: str, encoding: str = "utf-8-sig", overwrite: bool = True) -> str:
+def write_csv(df: DataFrame, path: str, encoding: str = "utf-8-sig", overwrite: bool = False) -> str:
     def write(to: str) -> None:
         with open(to, "w", encoding=encoding, newline="") as file:
             out = csv.writer(file, lineterminator="\n")
@@ -40,7 +42,7 @@ def write_csv(df: DataFrame, path: str, encoding: str = "utf-8-sig", overwrite:
     return _whole(path, write, overwrite)
 
 
-def write_json(value, path: str, overwrite: bool = True) -> str:
+def write_json(value, path: str, overwrite: bool = False) -> str:
     """Sorted keys, two blanks of indent, characters as they are, a line break at the end."""
     text = json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, default=str) + "\n"
     return _whole(path, lambda to: Path(to).write_text(text, encoding="utf-8"), overwrite)
@@ -54,13 +56,17 @@ def file_sha256(path: str) -> str:
     return digest.hexdigest()
 
 
-def write_training(built: Built, folder: str, encoding: str = "utf-8-sig") -> dict[str, str]:
-    """Accepted rows as Parquet and CSV, rejected rows as CSV, audit and manifest as JSON."""
+def write_training(built: Built, folder: str, encoding: str = "utf-8-sig", overwrite: bool = False) -> dict[str, str]:
+    """Accepted rows as Parquet and as CSV parts (both grow with the data: executors write them), rejected
+    rows as one CSV, audit and manifest as JSON. What is there already is kept, unless it may be
+    overwritten."""
     at = lambda name: f"{folder}/{name}"
-    built.accepted.write.mode("overwrite").parquet(at("training_features.parquet"))
+    mode = "overwrite" if overwrite else "errorifexists"
+    built.accepted.write.mode(mode).parquet(at("training_features.parquet"))
     accepted = built.accepted.sparkSession.read.parquet(at("training_features.parquet"))
-    paths = {"parquet": at("training_features.parquet"), "csv": write_csv(accepted, at("training_features.csv"), encoding), "rejected": write_csv(built.rejected, at("rejected_training_rows.csv"), encoding), "audit": write_json(built.audit, at("data_audit.json"))}
+    accepted.write.mode(mode).options(header=True, escape='"', encoding="UTF-8").csv(at("training_features.csv"))
+    paths = {"parquet": at("training_features.parquet"), "csv": at("training_features.csv"), "rejected": write_csv(built.rejected, at("rejected_training_rows.csv"), encoding, overwrite), "audit": write_json(built.audit, at("data_audit.json"), overwrite)}
     hashes = {k: file_sha256(p) for k, p in paths.items() if os.path.isfile(p)}
-    paths["manifest"] = write_json(built.manifest | {"output_hashes": hashes, "output_paths": paths}, at("feature_manifest.json"))
+    paths["manifest"] = write_json(built.manifest | {"output_hashes": hashes, "output_paths": paths}, at("feature_manifest.json"), overwrite)
     built.output_paths = paths
     return paths

@@ -5,9 +5,11 @@ import json
 import zipfile
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from larkspur.operators import audit, candidates, exports, features, rules, training, validate
+from larkspur.functions import similarity
+from larkspur.operators import audit, candidates, exports, features, rules, scoring, training, validate
 from larkspur.operators.prepare import OwnBrand, prepare_master, prepare_offers
 from larkspur.plans import binding, catalogue, config, pipeline
 from larkspur.sources import readers, sinks, xlsx
@@ -114,7 +116,12 @@ def test_training_and_audit(spark, tmp_path):
     assert found["unknown_master_skus"]["unique_codes"] == ["UNKNOWN"] and found["null_offer_text"]["row_count"] == 1
     assert found["repeated_synthetic_templates"]["template_count"] == 1
     paths = sinks.write_training(built, str(tmp_path))
-    assert open(paths["csv"], "rb").read(3) == b"\xef\xbb\xbf" and json.load(open(paths["manifest"]))["accepted_rows"] == 2
+    assert open(paths["rejected"], "rb").read(3) == b"\xef\xbb\xbf" and json.load(open(paths["manifest"]))["accepted_rows"] == 2
+    again = spark.read.options(header=True).csv(paths["csv"])
+    assert again.columns == built.accepted.columns and {r["record_id"] for r in again.collect()} == {"1", "2"}
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+        sinks.write_training(built, str(tmp_path))
+    sinks.write_training(built, str(tmp_path), overwrite=True)
 
 
 def test_exact_offers_enrich_gold(spark):
@@ -198,3 +205,151 @@ def test_unknown_codes_are_those_of_no_part(spark, tmp_path):
     reasons = {r["record_id"]: r["reasons"] for r in catalogue.rejection_reasons(spark, str(tmp_path)).collect()}
     assert {k for k, r in reasons.items() if "unknown_master_itemcode" in r} == unknown
     assert {r["record_id"] for r in catalogue.audit_unknown_codes(spark, str(tmp_path)).collect()} == unknown | {k for k, c in codes.items() if c is None}
+
+
+def test_one_offer(spark):
+    m = master(spark, ("A", "CHICKEN NUGGETS", "Chicken", "400g"), ("B", "CHICKEN STRIPS", "Chicken", "400g"), ("C", "CHICKEN WINGS", "Chicken", "2kg"))
+    one = offers(spark, ("Chicken Strips", "Chicken", "b", "400g")).drop("offer_ord")
+    assert [r["itemcode"] for r in candidates.top_candidates(one, m, 5).collect()] == ["B", "A"]
+    assert candidates.best_candidate(one, m)["itemcode"] == "B"
+    with pytest.raises(ValueError, match="one offer"):
+        candidates.best_candidate(offers(spark, ("a b", "c", "d", ""), ("e f", "g", "h", "")), m)
+
+
+def fits(a, b):
+    near = any(x["d"] == y["d"] and abs(x["v"] - y["v"]) / max(x["v"], y["v"]) <= 0.1 for x in a for y in b)
+    return near if a and b else None
+
+
+def test_candidates_of_mixed_packs(spark):
+    """Rows that may fit and rows that don't are ranked apart, and only one of the two lists is used:
+    against all pairs, one by one."""
+    m = master(spark, *((f"S{i}", f"CHICKEN NUGGETS {'EXTRA ' * i}", "Chicken", "400g" if i % 2 else "2kg") for i in range(9)), ("U", "CHICKEN NUGGETS BOX", "Chicken", ""))
+    o = offers(spark, ("Chicken Nuggets", "Chicken", "b", "400g"), ("Chicken Nuggets", "Chicken", "b", "2kg"), ("Chicken Nuggets Extra", "Chicken", "b", "9kg"), ("Chicken Nuggets", "Chicken", "b", ""))
+    for items in (m, m.where("Itemcode <> 'U'")):
+        for k in (1, 2, 4):
+            want = {}
+            for x in o.collect():
+                rows = [(similarity.words(x["match_text"], y["match_text"]), fits(x["offer_measures"], y["master_measures"]), y) for y in items.collect()]
+                rows = [r for r in rows if r[1] is not False] or rows
+                ranked = sorted((-(score + {True: 4, False: 0, None: -3}[ok]), y["master_ord"], y["Itemcode"], score) for score, ok, y in rows)
+                for i, (adjusted, _, code, score) in enumerate(ranked[:k]):
+                    after = ranked[i + 1 : i + 2]
+                    want[x["offer_ord"], i + 1] = (code, pytest.approx(-adjusted), pytest.approx(after[0][0] - adjusted if after else 100), pytest.approx(score - after[0][3] if after else 100))
+            got = {(r["offer_ord"], r["candidate_rank"]): (r["itemcode"], r["adjusted_score"], r["margin"], r["raw_margin"]) for r in candidates.candidates(o, items, k).collect()}
+            assert got == want
+
+
+def test_exports_keep_catalogue_order(spark):
+    df = spark.range(50).select(F.col("id"), (F.col("id") * 7 % 50).alias("k")).repartition(6)
+    assert [r["k"] for r in exports.in_order(df.orderBy("k")).orderBy("at").collect()] == list(range(50))
+    assert sorted(r["at"] for r in exports.in_order(df).collect()) == list(range(50))
+    m = master(spark, ("1", "B", "Meat", ""), ("2", "A", "Meat", ""))
+    table = m.select(F.concat_ws(" - ", "Itemcode", "Itemname").alias(exports.OFFER_EXPORT[0]), *(F.lit("").alias(c) for c in exports.OFFER_EXPORT[1:]), "master_ord")
+    exports.validate_offer_export(table.orderBy("master_ord").drop("master_ord"), m)
+    for bad in (table.orderBy(F.desc("master_ord")), table.where("master_ord = 0"), table.unionAll(table)):
+        with pytest.raises(ValueError, match="order or content"):
+            exports.validate_offer_export(bad.drop("master_ord"), m)
+    with pytest.raises(ValueError, match="line breaks"):
+        exports.validate_offer_export(table.orderBy("master_ord").drop("master_ord").withColumn(exports.OFFER_EXPORT[2], F.lit("a\nb")), m)
+
+
+def test_metrics_by_hand(spark):
+    rows = [(0.9, 1), (0.8, 0), (0.8, 1), (0.4, 0), (0.3, 1), (None, 1), (1.0, 0)]
+    df = spark.createDataFrame(rows, "ml_probability double, pair_label int")
+    r = scoring.metrics(df).first()
+    assert (r["positives"], r["negatives"], r["tp"], r["fp"], r["fn"], r["tn"]) == (3, 3, 2, 2, 1, 1)
+    assert r["roc_auc"] == pytest.approx((2 + 1.5 + 0) / 9)
+    assert r["pr_auc"] == pytest.approx((1 / 2 + 2 / 4 + 3 / 6) / 3)
+    assert r["f1"] == pytest.approx(4 / 7)
+    bins = {x["bin"]: (x["n"], x["share"]) for x in scoring.calibration(df).collect()}
+    assert bins == {9: (2, 0.5), 8: (2, 0.5), 4: (1, 0.0), 3: (1, 1.0)}
+
+
+def test_weights_and_bad_numbers(spark):
+    df = spark.createDataFrame([(1, "manual"), (1, "weak"), (0, "Weak "), (0, None)], "pair_label int, label_provenance string")
+    weights = [r["weight"] for r in scoring.class_weights(df, by_source={"weak": 0.5}).collect()]
+    assert weights == pytest.approx([1, 0.5, 0.5, 1])
+    assert sum(weights[:2]) == pytest.approx(sum(weights[2:]))
+    odd = spark.createDataFrame([("1", "bad", float("nan"))], "protein_match string, family_match string, variant_match double")
+    r = scoring.numbers(odd).first()
+    assert (r["protein_match__n"], r["family_match__n"], r["variant_match__n"], r["size_match__n"]) == (1.0, -1.0, -1.0, -1.0)
+
+
+def test_trained_scorer_decides(spark, tmp_path):
+    """A classifier trained on the features tells fitting packs, and is the same after it is saved."""
+    rows = []
+    for i in range(120):
+        good = i % 2 == 0
+        rows.append((f"Chicken Nuggets {400 if good else 900}g", "Chicken", "", "", "CHICKEN NUGGETS", "", "", "400g", int(good)))
+    df = features.add_features(spark.createDataFrame(rows, ["Offer Name", "Product", "Variant", "Base Packsize", "Itemname", "Item-Cat-4", "Item Description", "Item-Spec", "pair_label"]))
+    scorer = scoring.model_scorer(model := scoring.train(df, trees=2))
+    got = {(r["pair_label"], r["ml_probability"] > 0.5) for r in scorer(df).collect()}
+    assert got == {(0, False), (1, True)}
+    scoring.save(model, str(tmp_path / "m"), version=3)
+    again, about = scoring.load(spark, str(tmp_path / "m"))
+    assert about["version"] == 3 and {(r["pair_label"], r["ml_probability"] > 0.5) for r in again(df).collect()} == got
+    with pytest.raises(Exception, match="already exists"):
+        scoring.save(model, str(tmp_path / "m"))
+
+
+OFFERS_CSV = """Offer Name,Product,Brand Name,Variant,Base Packsize,Country,Retailer Name,Flyer Name,offerid,Offer Price,Regular Price
+Acme Chicken Nuggets,Chicken Nuggets,Acme,No Variant,400g,SA,Shop,F,1,10,12
+Chicken Nuggets,Chicken Nuggets,Rival,No Variant,400g,SA,Shop,F,2,11,12
+Acme Beef Burger,Beef Burger,Acme,Spicy,1kg,SA,Mart,F,3,20,
+"""
+MASTER_CSV = """Itemcode,Itemname,Item-Cat-2,Item-Cat-4,Item Description,Item-Spec
+7,CHICKEN NUGGETS,Chicken,,,400g x 20
+8,BEEF BURGER,Meat,,,500g x 10
+"""
+GOLD_CSV = """record_id,offer_group_id,offer_text,master_itemcode,pair_label,use_for_binary_pair_training,source_dataset,label_provenance,label_confidence,recommended_split,split_group,product_class_offer,variant_offer
+a,g1,Acme Chicken Nuggets,7,1,1,manual,manual,1,train,g1,,
+b,g2,Acme Beef Burger,7,0,1,manual,manual,1,test,g2,,
+c,g3,,9,1,1,manual,manual,1,train,g3,,
+"""
+
+
+def test_run_from_files(spark, tmp_path):
+    for name, text in (("o", OFFERS_CSV), ("m", MASTER_CSV), ("g", GOLD_CSV), ("c", SETTINGS)):
+        (tmp_path / f"{name}.{'yaml' if name == 'c' else 'csv'}").write_text(text + ("own_brand: {aliases: [acme], pattern: acme}\n" if name == "c" else ""))
+    settings = config.load_config(str(tmp_path / "c.yaml"))
+    paths = pipeline.run_config(spark, settings, "r1")
+    report = json.load(open(paths["summary"]))
+    assert report["run_id"] == "r1" and report["offers"] == 3 and report["own_offers"] == 2 and sum(report["confidence_tiers"].values()) == 3
+    assert set(report["output_hashes"]) == {"offers", "competitors_csv"} and report["thresholds"]["auto_match"] == 0.95
+    assert {r["run_id"] for r in spark.read.parquet(paths["mapping"]).collect()} == {"r1"}
+    waiting = spark.read.parquet(paths["review_queue"])
+    assert waiting.count() == report["decisions"].get("MANUAL_REVIEW", 0)
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+        pipeline.run_config(spark, settings, "r1")
+    assert "r1" not in pipeline.run_config(spark, settings)["summary"].split("/")
+    built = training.build_from_paths(spark, settings.gold_pairs_path, settings.master_path, settings.offers_path, str(tmp_path / "t"), "acme")
+    manifest = json.load(open(built.output_paths["manifest"]))
+    assert (manifest["accepted_rows"], manifest["rejected_rows"], manifest["offer_reconstruction"]["exact_offer"]) == (2, 1, 2)
+    assert manifest["exclusion_reasons"] == {"null_offer_text": 1, "unknown_master_itemcode": 1}
+    assert set(manifest["input_hashes"]) == {"gold", "master", "offers"} and set(manifest["output_hashes"]) == {"rejected", "audit"}
+
+
+def test_queue_and_long_table_order(spark):
+    rows = [(1, True, "MANUAL_REVIEW", 0.7), (2, True, "MANUAL_REVIEW", 0.9), (3, False, "MANUAL_REVIEW", 0.8), (4, True, "AUTO_MATCH", 0.99)]
+    df = spark.createDataFrame(rows, "offer_ord long, is_own boolean, ml_decision string, ml_probability double")
+    assert [r["offer_ord"] for r in pipeline.review_queue(df).collect()] == [2, 1]
+    m = master(spark, ("2", "CHICKEN NUGGETS", "Chicken", "400g"), ("1", "BEEF BURGER", "Meat", "500g"))
+    own = [("North Star Chicken Nuggets", "Chicken Nuggets", "North Star", "400g"), ("North Star Beef Burger", "Beef Burger", "North Star", "500g")]
+    other = [(f"{name} Nr {x}", name, f"R{x}", pack) for name, pack in (("Chicken Nuggets", "400g"), ("Beef Burger", "500g")) for x in "abc"]
+    done = pipeline.run_prepared(offers(spark, *own, *other), m, lambda df: df.withColumn("ml_probability", F.lit(0.99)), own=OWN)
+    table = [(r["Own Itemcode"], r["Rank"]) for r in done.long_table.collect()]
+    assert table == sorted(table) and len(table) == 6
+
+
+@pytest.mark.parametrize(("offer", "item", "flags"), [
+    (("Chicken Burger", "500g"), ("BEEF BURGER", "500g"), {"protein_match": 0, "size_match": 1}),
+    (("Chicken Fillet", "500g"), ("FISH FILLET", "500g"), {"protein_match": 0}),
+    (("Nuggets", "2x500g"), ("NUGGETS", "1kg"), {"size_match": 1, "pack_format_match": 0}),
+    (("Nuggets", "270g"), ("NUGGETS", "270g x 20 Pkts"), {"size_match": 1, "master_units_per_carton": 20, "master_unit_weight_g": 270}),
+    (("Juice", "1L"), ("JUICE", "1kg"), {"size_match": 0}),
+])
+def test_confusions(spark, offer, item, flags):
+    row = spark.createDataFrame([(offer[0], "", "", offer[1], item[0], "", "", item[1])], ["Offer Name", "Product", "Variant", "Base Packsize", "Itemname", "Item-Cat-4", "Item Description", "Item-Spec"])
+    r = features.add_features(row).first()
+    assert {k: r[k] for k in flags} == flags

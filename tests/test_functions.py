@@ -46,6 +46,12 @@ def test_numbers_in_texts(spark):
     assert one(spark, m.piece_count(F.lit("Nuggets 20 pcs"))) == 20
     assert one(spark, m.piece_count(F.lit("Nuggets x 20"))) == 20
     assert one(spark, m.piece_count(F.lit("2 x 500 g"))) is None
+    for text, want in [("2 x 500 g", None), ("2 x 500g", None), ("2 x 12.5kg", 12), ("30's box", 30), ("6 Pieces", 6), ("x 20 pc", 20), ("x20", 20), ("x 20abc", None), ("box 20", None), ("x 5 x 500 g", 5), ("a1’s", None), ("12PCS x 3", 12), (None, None)]:
+        assert one(spark, m.piece_count(F.lit(text).cast("string"))) == want, text
+    for text, want in [("1.5 kg + 1,000 g", None), ("2lb+1 oz", 28.3495), ("250g+", None), ("+250g", None), ("1kg+2kg+3g", 2000)]:
+        assert one(spark, m.bonus_weight(F.lit(text))) == want, text
+    for text, want in [("20 x 270 g", 20), ("1,200g × 6", 6), ("6 * 1.5l", 6), ("20 x 5 g x 3", 3), ("20 pkts", None)]:
+        assert one(spark, m.units_per_carton(F.lit(text))) == want, text
     assert one(spark, m.bonus_weight(F.lit("Nuggets 750g + 250g"))) == 250
     assert one(spark, m.bonus_weight(F.lit("1l + 250ml"))) is None
     assert one(spark, m.units_per_carton(F.lit("270 Gms x 20 Pkts"))) == 20
