@@ -3,9 +3,10 @@ group of near copies stays, passages that repeat are cut out, personal data are
 left is packed into sequences. Each stage reads all rows that the one before it kept; the stages
 between are written as Parquet to the folder that the cluster shares, and read again.
 
-Cases: a null text counts as empty; an empty table gives empty stages; repeated rows of one doc_id
-are one document; columns beyond those of documents are dropped, and a column of documents that is
-missing comes back as null.
+Cases: a null text counts as empty; an empty table gives empty stages; rows with null or repeated ids
+are documents of their own (equal ones are near copies, of which one stays); very long texts are taken
+whole; columns beyond those of documents are dropped, and a column of documents that is missing comes
+back as null.
 """
 
 from __future__ import annotations
@@ -34,9 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies, unchanged."""
-    docs = shaped(docs)
-    first = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return shaped(jaccard.first_documents(shaped(docs)))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
