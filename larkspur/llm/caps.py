@@ -1,59 +1,92 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
 A filter direction joins one codeword of each of BLOCKS blocks of dimensions. A vector is
-list-decoded to all directions that it exceeds by THRESHOLD: the sums of the first two blocks and
-of the last two are sorted, and only pairs of sums that reach the bound are listed. Vectors that
-share a label and a direction are compared by their exact cosine; a pair is counted where its first
-common direction is. Equal vectors are one class with a count, and large groups are cut into cells
-of CELL by CELL vectors, so that a third of all rows in one group is spread over many tasks.
+list-decoded to all directions that it exceeds by a bound, and to its best ones at least: of the sums
+of the first two blocks and of the last two only those that can reach the bound with the other side's
+best are sorted, and only pairs that reach it are listed. Codewords and bound follow the number of
+vectors of the largest label, so that a direction has as many vectors of a label in a large table as
+in a small one, and a vector a few more directions. Vectors that share a label and a direction are
+compared by their exact cosine; a pair is counted where its first common direction is. Equal vectors
+are one class with a count, and large groups are cut into cells of CELL by CELL vectors, so that a
+third of all rows in one group is spread over many tasks.
 
 Cases: vectors that are null or zero, or hold null or non-finite components, and rows without a
-label link with nothing; a shorter vector counts as filled up with zeros.
+label link with nothing; so do rows without a vec_id, whose component_id is null. Rows that repeat a
+vec_id are rows of their own: equal ones link, others as their vectors do. A shorter vector counts as
+filled up with zeros; labels and components may have any type that can be compared; other columns
+play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cache
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, partitions, stored
+from .common import components, numbered, partitions, stored
 from .topk import usable
 
-#: Blocks, codewords of a block, the bound in standard deviations of a random direction, and how
-#: many directions a vector has at least (its best ones).
-BLOCKS, WORDS, THRESHOLD, LEAST = 4, 24, 4.0, 14
+#: Blocks; for PER vectors of a label or fewer: codewords of a block, and how many directions a vector
+#: has on average by the bound, and at least (its best ones).
+BLOCKS, WORDS, PER, ABOVE, LEAST = 4, 24, 20_000, 10.5, 14
+#: Codewords of a block at most: numbers of directions have 32 bits.
+MOST = 255
 CELL, ROWS = 512, 40_000
 
 
-def codebook(width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Unit codewords of each block, the same on every machine, and the blocks' borders."""
+@dataclass(frozen=True)
+class Size:
+    """Codewords of a block, the bound in standard deviations of a random direction, directions at least."""
+
+    words: int
+    bound: float
+    least: int
+
+
+def size_for(vectors: int) -> Size:
+    """As many directions for each vector of a label as there are for PER; a vector's own grow with the
+    power of them that near vectors need to meet as often (0.036 for a cosine of 0.93; 0.05 here)."""
+    words = min(MOST, max(WORDS, int(np.ceil(WORDS * (vectors / PER) ** (1 / BLOCKS)))))
+    more = (words / WORDS) ** (BLOCKS * 0.05)
+    return Size(words, NormalDist().inv_cdf(1 - ABOVE * more / words**BLOCKS), int(np.ceil(LEAST * more)))
+
+
+@cache
+def codebook(width: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """n unit codewords of each block, the same on every machine, and the blocks' borders."""
     rng = np.random.Generator(np.random.PCG64(20240601 + width))
     cuts = np.linspace(0, width, BLOCKS + 1).astype(int)
     books = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        book = rng.standard_normal((WORDS, b - a))
+        book = rng.standard_normal((n, b - a))
         books.append(book / np.maximum(np.linalg.norm(book, axis=1, keepdims=True), 1e-12))
     return books, cuts
 
 
-def decode(x: np.ndarray) -> list[np.ndarray]:
+def decode(x: np.ndarray, size: Size) -> list[np.ndarray]:
     """Sorted directions of each unit vector."""
-    books, cuts = codebook(x.shape[1])
+    books, cuts = codebook(x.shape[1], size.words)
     s = [x[:, a:b] @ book.T for book, a, b in zip(books, cuts[:-1], cuts[1:], strict=True)]
-    bound = THRESHOLD * np.sqrt(BLOCKS / x.shape[1])
+    bound = size.bound * np.sqrt(BLOCKS / x.shape[1])
     left = (s[0][:, :, None] + s[1][:, None, :]).reshape(len(x), -1)
     right = (s[2][:, :, None] + s[3][:, None, :]).reshape(len(x), -1)
-    by_left, by_right = np.argsort(-left, 1, kind="stable"), np.argsort(-right, 1, kind="stable")
+    k = min(size.least, left.shape[1])
+    best = [-np.sort(-np.partition(v, v.shape[1] - k, axis=1)[:, -k:], 1) for v in (left, right)]
     out = []
     for i in range(len(x)):
-        a, b = left[i, by_left[i]], right[i, by_right[i]]
-        limit = min(bound, np.sort((a[:LEAST, None] + b[None, :LEAST]).ravel())[-LEAST])
-        many = np.searchsorted(-b, -(limit - a[: np.searchsorted(-a, -(limit - b[0]), "right")]), "right")
+        limit = min(bound, np.partition((best[0][i][:, None] + best[1][i]).ravel(), -k)[-k])
+        at = [np.flatnonzero(v[i] >= limit - other[i, 0] - 1e-12) for v, other in ((left, best[1]), (right, best[0]))]
+        at = [p[np.argsort(-v[i, p], kind="stable")] for v, p in zip((left, right), at, strict=True)]
+        a, b = left[i, at[0]], right[i, at[1]]
+        many = np.searchsorted(-b, -(limit - a), "right")
         rows = np.repeat(np.arange(len(many)), many)
         cols = np.arange(len(rows)) - np.repeat(many.cumsum() - many, many)
-        out.append(np.sort(by_left[i, rows] * WORDS**2 + by_right[i, cols]).astype(np.int32))
+        out.append(np.sort(at[0][rows] * size.words**2 + at[1][cols]))
     return out
 
 
@@ -132,23 +165,27 @@ def linked(group: np.ndarray, direction: np.ndarray, ids: np.ndarray, copies: np
     return ids[has], links[has], root[has]
 
 
-def near_vectors(vectors: DataFrame, least: float) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label)."""
+def near_vectors(vectors: DataFrame, least: float, size: Size | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label). size: of
+    the codebook; by the rows if it isn't given."""
     rows = vectors.select("vec_id", "embedding", "label")
     fit = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0))
-    width = fit.agg(F.max(F.size("embedding"))).first()[0] or 1
-    classes = stored(fit.groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep")))
+    classes = numbered(fit.groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low")), "rep")
+    width = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
+    size = size or size_for(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
 
     def directions(batches):
+        step = max(1, min(512, (1 << 22) // size.words**2))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 x = matrix(part.column("embedding").to_pylist(), width)
                 x /= np.maximum(np.abs(x).max(1, keepdims=True), 1e-300)
-                found = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*part.schema.names, "directions"])
+                found = decode(x / np.linalg.norm(x, axis=1, keepdims=True), size)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int64()))], names=[*part.schema.names, "directions"])
 
-    decoded = stored(classes.mapInArrow(directions, "label int, embedding array<float>, copies long, rep long, directions array<int>"))
+    decoded = stored(classes.select("label", "embedding", "copies", "rep").mapInArrow(directions, f"label {kinds['label']}, embedding {kinds['embedding']}, copies long, rep long, directions array<long>"))
     each = decoded.select("label", "rep", F.explode("directions").alias("direction"))
     sizes = each.groupBy("label", "direction").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / CELL).cast("int")
@@ -164,7 +201,7 @@ def near_vectors(vectors: DataFrame, least: float) -> DataFrame:
     )
 
     names = ["label", "direction", "i", "j"]
-    total = each.count()
+    total = decoded.agg(F.sum(F.size("directions"))).first()[0] or 0
     parts_n = max(partitions(vectors.sparkSession), -(-total // ROWS))
 
     def compare(batches):
@@ -192,19 +229,24 @@ def near_vectors(vectors: DataFrame, least: float) -> DataFrame:
         column = lambda n: table.column(n).to_numpy()
         group = np.zeros(table.num_rows, np.int64)
         for n in names:
-            group = np.append(0, np.cumsum((np.diff(group) != 0) | (np.diff(column(n)) != 0)))
-        lists = [np.asarray(v, np.int32) for v in table.column("directions").to_pylist()]
+            values = column(n) if n != "label" else table.column(n).combine_chunks().dictionary_encode().indices.to_numpy()
+            group = np.append(0, np.cumsum((np.diff(group) != 0) | (np.diff(values) != 0)))
+        lists = [np.asarray(v, np.int64) for v in table.column("directions").to_pylist()]
         ids, links, root = linked(group, column("direction"), column("rep"), column("copies"), matrix(table.column("embedding").to_pylist(), width), lists, column("side"), least)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], names=["rep", "links", "root"])
 
     dealt = cells.select(*names, "side", "rep", "copies", "embedding", "directions").repartition(parts_n, *names).sortWithinPartitions(*names)
     links = stored(dealt.mapInArrow(compare, "rep long, links long, root long"))
-    found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(known, ["label", "embedding"], "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    known = classes.join(counts, "rep", "left").join(found, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    known = known.join(known.groupBy("root").agg(F.min("low").alias("component_id")), "root")
+    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.join(known, ["label", "embedding"], "left")
+    # a row without an id has the vector of others at most: it isn't one of those that were counted
+    alone = F.col("n_links").isNull() | F.col("vec_id").isNull()
+    out = out.select("vec_id", F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op9_caps(spark, sf_dir: str) -> DataFrame:

@@ -7,9 +7,6 @@ value for the same bytes; a lost task can be run again anywhere.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import again, dropped, numbered, stored
+
+__all__ = ["again", "dropped", "numbered", "stored"]
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -186,43 +186,6 @@ def buckets(spark: SparkSession, rows: int, per_bucket: int = 250_000) -> tuple[
     return max(128, 4 * n), n
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names. Where none is set, a temporary one serves a single machine,
-    as in tests; executors elsewhere could not read it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (named or f"{tempfile.gettempdir()}/larkspur-checkpoints").rstrip("/")
-
-
-def _place(spark: SparkSession, path: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again: later steps don't compute them anew. The
-    table goes when the application ends, if it isn't dropped before."""
-    path = f"{shared_dir(df.sparkSession)}/larkspur-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    system, place = _place(df.sparkSession, path)
-    system.deleteOnExit(place)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._larkspur_path = path
-    return out
-
-
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """The rows with a number of their own, stored, so that the numbers stay: ids may be null or repeated."""
-    return stored(df.withColumn(name, F.monotonically_increasing_id()))
-
-
-def dropped(df: DataFrame) -> None:
-    """Remove a stored table that nothing reads any more."""
-    system, place = _place(df.sparkSession, df._larkspur_path)
-    system.delete(place, True)
-
-
 def hot_keys(docs: DataFrame, keys: Callable[[pa.RecordBatch], list[np.ndarray]], sample: int = 20_000, least: int = 8, most: int = 1 << 18) -> np.ndarray:
     """Keys that many documents hold, sorted: those in `least` or more of about `sample` documents,
     at most `most` of them. They only decide an order of work; results don't depend on them."""
@@ -261,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
     star's many edges meet its minimum in a join that Spark can split. No row: no edges."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    while True:
+    while True:  # a step has as many edges as the one before at most
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if seen[0] == 0 or seen == mark:
             break
@@ -271,7 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        after = stored(small)
+        after = stored(small, seen[0])
         dropped(now)
         now = after
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

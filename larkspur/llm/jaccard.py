@@ -25,8 +25,10 @@ order with their common prefixes (a radix trie); the overlap counted along a sha
 by all sets below it, and a branch is left as soon as what remains can't reach the overlap needed.
 
 Cases: a null text and one without words have an empty set, which links with nothing; a text with
-fewer than n words is one n-gram; equal sets link (repeated rows, too); columns other than doc_id
-and text play no part.
+fewer than n words is one n-gram; equal sets link (repeated rows, too); rows with null or repeated ids
+are judged each for itself, under a number of the row, and a null id is never the smallest of a group
+unless all its ids are null; a very long text is hashed in pieces, but its set is held by one task at a
+time; an empty table gives no rows; columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buckets, components, dropped, flat, gathered, hot_keys, is_in, mix, pieces, routed, shingle_sets, signed, stored
+from .common import U64, buckets, components, dropped, flat, gathered, hot_keys, is_in, mix, numbered, pieces, routed, shingle_sets, signed, stored
 
 #: Candidates of one document that are verified together; rounds of centres; chance of a linked pair
 #: not to meet; the share of frequent n-grams from which they are routed too.
@@ -109,14 +111,16 @@ def sketch_sizes(share: float, t: float) -> tuple[int | None, int]:
 class Join:
     """The stages for one table of documents and one similarity num / den."""
 
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int):
-        self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
-        self.docs = docs.select("doc_id", "text").where("doc_id is not null")
+    def __init__(self, rows: DataFrame, key: str, n: int, num: int, den: int):
+        """rows: the documents with a number of each row as key, here called doc_id; id: their own."""
+        self.spark, self.n, self.num, self.den = rows.sparkSession, n, num, den
+        self.docs = rows.select(F.col(key).alias("doc_id"), F.col("doc_id").alias("id"), "text")
 
     def digests(self) -> DataFrame:
         """For each document the size of its set, a 128-bit key of it, a bitmap, its routed n-grams and
         how many of the set are frequent."""
         n, num, den, t = self.n, self.num, self.den, self.num / self.den
+        kind = self.docs.schema["id"].dataType.simpleString()
         hot = self.spark.sparkContext.broadcast(hot_keys(self.docs, lambda b: shingle_sets(b.column("text"), n), sample=40_000, least=4))
 
         def rows(batches):
@@ -131,15 +135,15 @@ class Join:
                     cold.append(x[~late][:first])
                     warm.append(x[late][: second if den * reach[-1] >= num * len(x) else 0])
                 keys = [np.array([mix(x).sum(), mix(x ^ U64(0x5851F42D4C957F2D)).sum()]) if len(x) else np.zeros(2, np.uint64) for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(signed(np.array([k[i] for k in keys], np.uint64))) for i in (0, 1)), flat([bitmap(x) for x in sets]), flat(cold), flat(warm), pa.array(reach, pa.int64())], names=["doc_id", "n", "k1", "k2", "bits", "cold", "warm", "reach"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(signed(np.array([k[i] for k in keys], np.uint64))) for i in (0, 1)), flat([bitmap(x) for x in sets]), flat(cold), flat(warm), pa.array(reach, pa.int64())], names=["doc_id", "id", "n", "k1", "k2", "bits", "cold", "warm", "reach"])
 
-        return stored(self.docs.mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, bits binary, cold binary, warm binary, reach long"))
+        return stored(self.docs.mapInArrow(rows, f"doc_id long, id {kind}, n long, k1 long, k2 long, bits binary, cold binary, warm binary, reach long"))
 
     def postings(self, own: DataFrame) -> DataFrame:
         """(token, doc_id, n, r) of all routed n-grams that more than one distinct set holds, or
         that are frequent; r: how much of the set can be in an overlap by which this n-gram pairs it
         (for a frequent one, of sets that share no rare one, the frequent part)."""
-        many, parts = buckets(self.spark, 50 * own.count())
+        many, parts = buckets(self.spark, (own.agg(F.sum(F.octet_length("cold"))).first()[0] or 0) // 8)
         fields = "token long, doc_id long, n long, r long"
 
         def emit(batches):
@@ -240,12 +244,15 @@ class Join:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id."""
+        """row, doc_id, n_shingles, component_id, and whether the row is the first of its component."""
         num, den = self.num, self.den
         all_ = self.digests()
-        firsts = all_.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-        classes = stored(all_.select("doc_id", "n", "k1", "k2").join(firsts, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
+        low = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))
+        firsts = all_.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min(low).alias("low"))
+        classes = all_.select("doc_id", "id", "n", "k1", "k2").join(firsts, ["k1", "k2", "n"], "left")
+        classes = stored(classes.select("doc_id", "id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("low", low).alias("low")))
         own = stored(all_.join(classes.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi"))
+        most = own.count()
         live = self.postings(own)
         near = (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (F.lit(num + den) * F.least("ra", "rb") >= F.lit(num) * (F.col("na") + F.col("nb")))
         marked, links, tried = live.withColumn("c", F.col("doc_id")), None, None
@@ -256,7 +263,7 @@ class Join:
             star = star.groupBy("a", "b").count()
             if tried is not None:
                 star = star.join(tried, ["a", "b"], "left_anti")
-            pairs = stored(star.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")))
+            pairs = stored(star.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), most)
             tried = pairs if tried is None else tried.unionAll(pairs)
             new = self.verified(self.pruned(pairs, own))
             links = new if links is None else links.unionAll(new)
@@ -273,8 +280,10 @@ class Join:
         rest = rest.select(F.greatest("da", "db").alias("a"), F.least("da", "db").alias("b"))
         tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         links = links.unionAll(self.verified(self.pruned(rest.join(tried, ["a", "b"], "left_anti"), own)))
-        found = components(links).select(F.col("node").alias("rep"), "component")
-        out = classes.join(found, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        found = components(links).withColumnRenamed("node", "rep")
+        each = classes.where("doc_id = rep").join(found, "rep", "left").select("rep", F.coalesce("component", "rep").alias("root"), "low")
+        lows = each.join(each.groupBy("root").agg(F.min("low").alias("least")), "root").select("rep", "least")
+        out = classes.join(lows, "rep").select(F.col("doc_id").alias("row"), F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("least.row") == F.col("doc_id")).alias("first"))
         out = stored(out)
         for old in (all_, own, live, marked, open_):
             dropped(old)
@@ -283,7 +292,17 @@ class Join:
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of documents whose n-gram sets link at num / den or more."""
-    return Join(docs, n, num, den).run()
+    rows = numbered(docs.select("doc_id", "text"), "row")
+    found = Join(rows, "row", n, num, den).run().select("doc_id", "n_shingles", "component_id")
+    dropped(rows)
+    return found
+
+
+def first_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns, but of each component only the one with the smallest id."""
+    rows = numbered(docs, "__row")
+    first = Join(rows, "__row", n, num, den).run().where("first").select(F.col("row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").drop("__row")
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -196,7 +196,7 @@ def repeats(docs: DataFrame, key: str, window: int = WINDOW, prefix: int = PREFI
     run = "k long, d long, s int, c int, o int, kind int"
     cold = sent.where("bucket is not null").select("bucket", *types).repartition(parts, "bucket").drop("bucket").mapInArrow(group, run)
     warm = sent.where("rows is not null").select(F.explode("rows").alias("r")).select("r.*")
-    spans = stored(warm.groupBy("k", "x").agg(F.sum("w").alias("m"), F.min(F.struct("d", "s", "c", "o")).alias("r")))
+    spans = warm.groupBy("k", "x").agg(F.sum("w").alias("m"), F.min(F.struct("d", "s", "c", "o")).alias("r"))
     whole = warm.join(spans.where("m > 1").select("k", "x"), ["k", "x"], "left_semi").select("k", "d", "s", "c", "o", F.lit(0).alias("kind"))
     found = stored(cold.unionAll(whole).unionAll(spans.select("k", "r.d", "r.s", "r.c", "r.o", F.when(F.col("m") > 1, 2).otherwise(1).alias("kind"))))
 
@@ -213,26 +213,29 @@ def repeats(docs: DataFrame, key: str, window: int = WINDOW, prefix: int = PREFI
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b.column("doc_id").to_numpy()[of]), pa.array(s), pa.array(kind), pa.array(o), flat([h[i : i + n - 1 + window] for i, n in zip(first.tolist(), c.tolist(), strict=True)])], names=["k", "d", "s", "kind", "o", "span"])
 
     own = found.where("kind > 0").groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("k", "s", "c", "o", "kind")).alias("own"))
-    opened = stored(docs.join(own, "doc_id").mapInArrow(take, OPENED))
+    opened = docs.join(own, "doc_id").mapInArrow(take, OPENED)
+    sizes = found.where("kind > 0").groupBy("k").agg(F.sum(F.col("c") - 1 + window).alias("size"))
     ranges = found.where("kind = 0").select(F.col("d").alias("doc_id"), F.col("s").alias("a"), (F.col("s") + F.col("c") - 1 + window).cast("int").alias("b"))
-    for table, whole_windows in fitting(opened, window, prefix, most):
-        ranges = ranges.unionAll(repeated_windows(table, window) if whole_windows else repeated_nodes(table, window, most))
+    for table, total in fitting(opened, sizes, window, prefix, most):
+        ranges = ranges.unionAll(repeated_windows(table, window) if total is None else repeated_nodes(table, total, window, most))
     lists = ranges.select("doc_id", F.array(F.struct("a", "b")).alias("ranges")).unionAll(sent.where("doc_id is not null").select("doc_id", "ranges"))
     return lists.groupBy(F.col("doc_id").alias(key)).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def fitting(opened: DataFrame, window: int, prefix: int, most: int):
-    """Tables of spans whose groups (k) have at most `most` words each, split by longer prefixes where
-    they must be; then, with True, one of single windows, whose groups are nodes."""
+def fitting(opened: DataFrame, sizes: DataFrame, window: int, prefix: int, most: int):
+    """(spans, their words) whose groups (k) have at most `most` words each, split by longer prefixes
+    where they must be; then, with None, single windows, whose groups are nodes. sizes: words of groups."""
     for length in (prefix, 2 * prefix, 3 * prefix):
-        large = stored(opened.groupBy("k").agg(F.sum(F.octet_length("span")).alias("size")).where(F.col("size") > 8 * most).select("k"))
-        if large.isEmpty():
-            yield opened, False
+        total, over = sizes.agg(F.sum("size"), F.count_if(F.col("size") > most)).first()
+        if not over:
+            yield opened, total or 0
             return
-        yield opened.join(large, "k", "left_anti"), False
+        large = stored(sizes.where(F.col("size") > most).select("k"), over)
+        yield opened.join(large, "k", "left_anti"), total
         last = length == 3 * prefix
         opened = stored(opened.join(large, "k", "left_semi").mapInArrow(lambda batches, n=length, last=last: longer(batches, n, window, prefix, last), OPENED))
-    yield opened, True
+        sizes = opened.groupBy("k").agg(F.sum(F.octet_length("span") / 8).cast("long").alias("size"))
+    yield opened, None
 
 
 def longer(batches, length: int, window: int, prefix: int, last: bool):
@@ -269,8 +272,9 @@ def repeated_windows(node: DataFrame, window: int) -> DataFrame:
     return node.where("kind = 1").join(twice, "k", "left_semi").select(F.col("d").alias("doc_id"), F.col("s").alias("a"), (F.col("s") + window).cast("int").alias("b"))
 
 
-def repeated_nodes(opened: DataFrame, window: int, most: int) -> DataFrame:
-    """(doc_id, a, b): the words of windows of kind 1 whose node has two leaves or more, by subtrees."""
+def repeated_nodes(opened: DataFrame, total: int, window: int, most: int) -> DataFrame:
+    """(doc_id, a, b): the words of windows of kind 1 whose node has two leaves or more, by subtrees of
+    `total` words."""
 
     def build(batches):
         held: list[pa.RecordBatch] = []
@@ -303,8 +307,7 @@ def repeated_nodes(opened: DataFrame, window: int, most: int) -> DataFrame:
         ids, a, b = joined_ranges(d[of[keep]], a.astype(np.int64), a.astype(np.int64) + window)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["doc_id", "a", "b"])
 
-    total = opened.agg(F.sum(F.octet_length("span"))).first()[0] or 0
-    n = max(partitions(opened.sparkSession), -(-total // (32 * MOST)))
+    n = max(partitions(opened.sparkSession), -(-total // (4 * MOST)))
     dealt = opened.select("k", "d", "s", "kind", "span").repartition(n, "k").sortWithinPartitions("k")
     return dealt.mapInArrow(build, "doc_id long, a int, b int")
 
