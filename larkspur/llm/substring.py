@@ -125,10 +125,11 @@ OPENED = "k long, d long, s int, kind int, o int, span binary"
 
 def repeats(docs: DataFrame, key: str, window: int = WINDOW, prefix: int = PREFIX, most: int = MOST) -> DataFrame:
     """(key, ranges): for documents with repeats, the words from a up to b of each. key: a column with
-    a number for each row, the same whenever docs is read."""
+    a number for each row, the same whenever docs is read. Texts are brought to their runs with all other
+    columns, so that the shuffle serves a later join of docs with the ranges as well."""
     if window < 4 * prefix - 1:
         raise ValueError("prefixes are too long for the window")
-    docs = docs.select(F.col(key).alias("doc_id"), "text")
+    whole_rows, docs = docs, docs.select(F.col(key).alias("doc_id"), "text")
     spark = docs.sparkSession
 
     def sample(batch):
@@ -205,15 +206,15 @@ def repeats(docs: DataFrame, key: str, window: int = WINDOW, prefix: int = PREFI
         for b in pieces(batches):
             data, offsets = text_arrays(b.column("text"))
             _, _, h, at = words(data, offsets, False)
-            own = b.column("own")
+            own = b.column("__own")
             r = own.flatten()
             of = np.repeat(np.arange(b.num_rows), pc.list_value_length(own).to_numpy())
             k, s, c, o, kind = (r.field(n).to_numpy() for n in ("k", "s", "c", "o", "kind"))
             first = at[of] + s
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b.column("doc_id").to_numpy()[of]), pa.array(s), pa.array(kind), pa.array(o), flat([h[i : i + n - 1 + window] for i, n in zip(first.tolist(), c.tolist(), strict=True)])], names=["k", "d", "s", "kind", "o", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b.column(key).to_numpy()[of]), pa.array(s), pa.array(kind), pa.array(o), flat([h[i : i + n - 1 + window] for i, n in zip(first.tolist(), c.tolist(), strict=True)])], names=["k", "d", "s", "kind", "o", "span"])
 
-    own = found.where("kind > 0").groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("k", "s", "c", "o", "kind")).alias("own"))
-    opened = docs.join(own, "doc_id").mapInArrow(take, OPENED)
+    own = found.where("kind > 0").groupBy(F.col("d").alias(key)).agg(F.collect_list(F.struct("k", "s", "c", "o", "kind")).alias("__own"))
+    opened = whole_rows.join(own, key).mapInArrow(take, OPENED)
     sizes = found.where("kind > 0").groupBy("k").agg(F.sum(F.col("c") - 1 + window).alias("size"))
     ranges = found.where("kind = 0").select(F.col("d").alias("doc_id"), F.col("s").alias("a"), (F.col("s") + F.col("c") - 1 + window).cast("int").alias("b"))
     for table, total in fitting(opened, sizes, window, prefix, most):
@@ -317,7 +318,7 @@ def strip(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, most: int
     by one space. Columns of docs with these names are replaced."""
     docs = docs.drop(*ADDED)
     names, fields = docs.columns, [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    docs = numbered(docs, "__row")
+    docs = numbered(docs, "__row").where("__row is not null")  # which an inner join would add: both joins read one shuffle
     joined = docs.join(repeats(docs, "__row", window, prefix, most).withColumnRenamed("ranges", "__ranges"), "__row", "left").select(*(F.col(f"`{n}`") for n in names), "__ranges")
 
     def rows(batches):
@@ -341,3 +342,14 @@ def strip(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, most: int
 def op5_substring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return strip(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with rows as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select r, w, unnest(range(1, len(w) - 33)) as i from rows where len(w) >= 35),
+repeated as (select r, i from (select r, i, array_to_string(w[i:i + 34], ' ') as x from starts) qualify count(*) over (partition by x) > 1),
+covered as (select distinct r, unnest(range(i, i + 35)) as i from repeated),
+words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from rows),
+kept as (select r, string_agg(word, ' ' order by i) as text, count(*) as n from words anti join covered using (r, i) group by r)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from rows left join kept using (r)
+"""
