@@ -7,7 +7,9 @@ with its predecessor and computes only the rest, so that shared prefixes are enc
 
 Cases: a null text counts as empty (no ids, empty decoded text); special tokens written in a text
 become their ids, as in the tokenizers library; the vocabulary file is a parameter and is read
-from where the library of public tokenizers keeps it, on each executor.
+from where the library of public tokenizers keeps it, on each executor; rows that repeat, and rows
+with null or repeated ids, are encoded each for itself; a very long text is encoded whole by one task,
+its pre-tokens hashed in blocks; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import BYTE, is_in, pieces, range_hash, text_arrays
+from .common import BYTE, is_in, pieces, text_arrays, word_hashes
 
 #: The pre-tokenizer's pattern of byte-level BPE files that use the usual regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,7 +125,7 @@ class Vocabulary:
         if any(s.encode() in raw for s in self.special):
             slow = slow | np.array([any(s.encode() in raw[a:b] for s in self.special) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
         end = np.append(start[1:], len(data))
-        hashes, first, which = np.unique(range_hash(BYTE[data], start, end), return_index=True, return_inverse=True)
+        hashes, first, which = np.unique(word_hashes(data, start, end, BYTE), return_index=True, return_inverse=True)
         at, size = self._places(hashes, lambda k: [raw[i:j] for i, j in zip(start[first[k]].tolist(), end[first[k]].tolist(), strict=True)])
         each = size[which]
         total = np.concatenate([[0], each.cumsum()])

@@ -5,7 +5,9 @@ by a hash of doc_id); its log-probability matrix is broadcast (its size is fixed
 languages and of buckets). Whole texts are scored in numpy, batch by batch, without a shuffle.
 
 Cases: a null text and one without a letter give `und` with score 0; equal likelihoods go to the
-language that is first in order; without any row to learn from, every row is `und`.
+language that is first in order; without any row to learn from, every row is `und`; rows that repeat,
+and rows with null or repeated ids, are predicted each for itself (those without an id teach nothing);
+a very long text is scored whole by one task; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations

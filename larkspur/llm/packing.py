@@ -7,8 +7,10 @@ completion takes the largest piece left, tries the undominated fillings around i
 each made only when the search comes to it, and drops a branch whose wasted room already rules out
 fewer sequences. Sums of the sizes left, as bits, show which wastes can be had.
 
-Cases: a null or empty text is one piece of the end id alone; repeated rows are packed each for
-itself; an empty table gives no rows.
+Cases: a null or empty text is one piece of the end id alone; rows that repeat, and rows with null or
+repeated ids, are packed each for itself; pieces of one length are put in order of their ids and places;
+a very long text is encoded whole by one task and gives as many pieces as it needs; an empty table gives
+no rows; other columns play no part.
 """
 
 from __future__ import annotations

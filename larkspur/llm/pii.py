@@ -10,7 +10,10 @@ of spans, which is then a plain SQL expression. Base spans always stay; a looser
 the classifier gives it 0.5 or more and no base span overlaps it.
 
 Cases: a null text counts as empty and has no spans; equal rows are treated alike; very long runs of
-one character class are read once (patterns are possessive and start at the run's beginning).
+one character class are read once (patterns are possessive and start at the run's beginning); what
+stands around a match is taken from the text between matches, so a long text is not read anew for each
+of them; rows that repeat, and rows with null or repeated ids, stand each for itself; an empty table
+gives no rows; other columns stay, but for pii, which is replaced.
 """
 
 from __future__ import annotations
@@ -85,9 +88,9 @@ def matches(pattern: str, needs: list[str]) -> str:
     return f"if({' or '.join(f"contains(text, '{n}')" for n in needs)}, {found}, array())" if needs else found
 
 
-def spans(kind: str, pattern: str, keep: str, base: bool, hits: str) -> str:
-    """SQL for the array of a pattern's spans in column text: the pieces between the matches and the
-    matches (in column hits) give each match's place."""
+def spans(kind: str, keep: str, base: bool, hits: str, gaps: str) -> str:
+    """SQL for the array of a pattern's spans in column text: the matches (column hits) and the pieces
+    between them (column gaps) give each match's place, what stands before it and the character after."""
     vote = " + ".join(
         f"{1 << k} * cast(({v}) as int)"
         for k, v in enumerate(
@@ -95,17 +98,18 @@ def spans(kind: str, pattern: str, keep: str, base: bool, hits: str) -> str:
                 "true" if base else "false",
                 shape(kind, "z.hit"),
                 f"{digits('z.hit') if kind == 'card' else 'z.hit'} rlike {quoted(GAZETTEER[kind])}",
-                f"lower(substring(text, greatest(1, a.at + length(z.gap) - 30), least(31, a.at + length(z.gap)))) rlike '{CONTEXT[kind]}'",
-                f"not coalesce(substring(text, a.at + length(z.gap) + length(z.hit) + 1, 1), '') rlike '[A-Za-z0-9]' and not right(z.gap, 1) rlike '[A-Za-z0-9]'",
+                f"lower(right(a.tail || z.gap, 31)) rlike '{CONTEXT[kind]}'",
+                "not z.next rlike '[A-Za-z0-9]' and not right(z.gap, 1) rlike '[A-Za-z0-9]'",
             ]
         )
     )
     end = "a.at + length(z.gap) + length(z.hit)"
     span = f"named_struct('kind', '{kind}', 's', a.at + length(z.gap), 'e', {end}, 'base', {str(base).lower()}, 'votes', {vote})"
+    after = f"zip_with(slice({gaps}, 2, size({hits})), slice({hits}, 2, size({hits})), (g, h) -> if(g = '', coalesce(left(h, 1), ''), left(g, 1)))"
     return f"""if(size({hits}) = 0, cast(array() as array<{SPAN}>), aggregate(
-        zip_with(slice(split(text, {quoted(pattern)}, -1), 1, size({hits})), {hits}, (g, h) -> named_struct('gap', g, 'hit', h)),
-        named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
-        (a, z) -> named_struct('at', {end}, 'out', if({keep}, array_append(a.out, {span}), a.out)),
+        zip_with(zip_with(slice({gaps}, 1, size({hits})), {hits}, (g, h) -> named_struct('gap', g, 'hit', h)), {after}, (z, x) -> named_struct('gap', z.gap, 'hit', z.hit, 'next', x)),
+        named_struct('at', 0, 'tail', '', 'out', cast(array() as array<{SPAN}>)),
+        (a, z) -> named_struct('at', {end}, 'tail', right(a.tail || right(z.gap, 31) || z.hit, 31), 'out', if({keep}, array_append(a.out, {span}), a.out)),
         a -> a.out))"""
 
 
@@ -117,7 +121,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     plans += [(k, LOOSE[k], "true", False, NEEDS_LOOSE.get(k, [])) for k in LOOSE]
     columns = {p: f"__hits{i}" for i, p in enumerate(dict.fromkeys(p for _, p, *_ in plans))}
     df = df.withColumns({columns[p]: F.expr(matches(p, needs)) for _, p, _, _, needs in plans})
-    parts = {f"__spans{i}": F.expr(spans(k, p, keep, base, columns[p])) for i, (k, p, keep, base, _) in enumerate(plans)}
+    df = df.withColumns({f"{c}_gaps": F.expr(f"if(size({c}) = 0, cast(array() as array<string>), split(text, {quoted(p)}, -1))") for p, c in columns.items()})
+    parts = {f"__spans{i}": F.expr(spans(k, keep, base, columns[p], f"{columns[p]}_gaps")) for i, (k, p, keep, base, _) in enumerate(plans)}
     df = df.withColumns(parts)
     return df.select(*docs.columns, F.concat(*parts).alias("__spans"))
 

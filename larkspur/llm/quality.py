@@ -6,7 +6,9 @@ at once. Scores are made where the rows lie, without a shuffle.
 
 Cases: a null text counts as empty and is scored like any other; of several labels of one document
 the highest counts; without labels, or with labels of one kind, every row has that share of ones
-as its score (0.5 without labels).
+as its score (0.5 without labels); rows that repeat, and rows with null or repeated ids, are scored each
+for itself; a very long text is scored whole by one task; an empty table gives no rows; other columns
+stay, but for one that is called score, which is replaced.
 """
 
 from __future__ import annotations
