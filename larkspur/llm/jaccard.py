@@ -1,15 +1,13 @@
 """N-gram Jaccard join: a prefix join whose candidate sets are verified in a trie.
 
 A document's set holds the hashes of its distinct word n-grams, in the order of the hashes. N-grams
-that a sample of documents shows to be frequent form a set of their own, so that passages which many
-many documents share don't bring unlike documents together. If the frequent part is not most of a set,
-a link of similarity t needs a similarity of the rare parts that follows from the part's share; the
-first n-grams of the rare part are routed, so many that linked sets fail to meet in them with a
-chance below MISS (the order is one of random hashes; 64-bit hashes are likelier to collide). Sets
-that are mostly frequent n-grams route their whole rare part: two of them share a routed n-gram of
-it, or overlap in frequent ones alone, by which such a pair is bounded before it is made; for it they
-route the first ones of the frequent part. Small sets are routed whole, and always meet. N-grams that
-only one distinct set holds go no further. What is left is joined in rounds:
+that a sample of documents shows to be frequent come after all others in that order, so that passages
+which many documents share don't bring unlike documents together. A set routes its prefix: so many of
+its first n-grams that what is left can't hold all of the overlap that a link needs, so linked sets
+share a routed n-gram (the prefix filter; nothing is left to chance but that 64-bit hashes may be equal).
+Sets that could link by frequent n-grams alone route all their rare ones, and a prefix of the frequent
+ones by which a pair that shares no rare one is bounded before it is made. N-grams that only one
+distinct set holds go no further. What is left is joined in rounds:
 
 1. twice, every set is paired with one other, of those that its n-grams' groups have as their centre
    the one met most often (linear in the group; first the centre with the fewest rare n-grams, then
@@ -40,9 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, buckets, components, dropped, flat, gathered, hot_keys, is_in, mix, numbered, pieces, routed, shingle_sets, signed, stored
 
-#: Candidates of one document that are verified together; rounds of centres; chance of a linked pair
-#: not to meet; the share of frequent n-grams from which they are routed too.
-BLOCK, ROUNDS, MISS, MOSTLY = 64, 2, 1e-14, 0.72
+#: Candidates of one document that are verified together; rounds of centres.
+BLOCK, ROUNDS = 64, 2
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -93,19 +90,17 @@ def trie_links(own: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> l
     return out
 
 
-def sketch_sizes(share: float, t: float) -> tuple[int | None, int]:
-    """How many n-grams of the rare part (None: all) and of the frequent part to route, if `share`
-    of a set is frequent.
+def prefix_sizes(n: int, frequent: int, num: int, den: int) -> tuple[int, int]:
+    """How many of a set's rare n-grams and of its frequent ones to route, of n of which `frequent` are.
 
-    Of the union of a set and one linked to it at most 1 - t is not in both, and at least t - share is
-    both rare and in both: the rare parts have a similarity of (t - share) / (1 - share) at least; n
-    hashes miss a similarity j with a chance of (1 - j) ** n at most, and of two sets the one that
-    routes less has the greater j. From MOSTLY on, the rare part is routed whole, and the frequent
-    part for a similarity of t (if no rare n-gram is in both, t holds for the frequent parts)."""
-    need = lambda j: int(np.ceil(np.log(MISS) / np.log(1 - j))) if j < 1 else 1
-    if share >= min(MOSTLY, 0.96 * t):
-        return None, need(t)
-    return need((t - share) / (1 - share)), 0
+    A link needs an overlap of num / den of n at least. Of the rare ones, as many must be in both as the
+    frequent ones can't make up; sets that share so many share one of the first that leave out all but
+    those. If the frequent ones can make up all, sets that share a rare one share one of all rare ones,
+    and others share one of the first frequent ones, in the same way."""
+    need = -(-num * n // den)
+    if frequent < need:
+        return n - need + 1, 0
+    return n - frequent, frequent - need + 1
 
 
 class Join:
@@ -119,7 +114,7 @@ class Join:
     def digests(self) -> DataFrame:
         """For each document the size of its set, a 128-bit key of it, a bitmap, its routed n-grams and
         how many of the set are frequent."""
-        n, num, den, t = self.n, self.num, self.den, self.num / self.den
+        n, num, den = self.n, self.num, self.den
         kind = self.docs.schema["id"].dataType.simpleString()
         hot = self.spark.sparkContext.broadcast(hot_keys(self.docs, lambda b: shingle_sets(b.column("text"), n), sample=40_000, least=4))
 
@@ -131,9 +126,9 @@ class Join:
                 for x in sets:
                     late = is_in(frequent, x)
                     reach.append(int(late.sum()))
-                    first, second = sketch_sizes(reach[-1] / len(x) if len(x) else 0.0, t)
+                    first, second = prefix_sizes(len(x), reach[-1], num, den) if len(x) else (0, 0)
                     cold.append(x[~late][:first])
-                    warm.append(x[late][: second if den * reach[-1] >= num * len(x) else 0])
+                    warm.append(x[late][:second])
                 keys = [np.array([mix(x).sum(), mix(x ^ U64(0x5851F42D4C957F2D)).sum()]) if len(x) else np.zeros(2, np.uint64) for x in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(signed(np.array([k[i] for k in keys], np.uint64))) for i in (0, 1)), flat([bitmap(x) for x in sets]), flat(cold), flat(warm), pa.array(reach, pa.int64())], names=["doc_id", "id", "n", "k1", "k2", "bits", "cold", "warm", "reach"])
 
@@ -307,3 +302,18 @@ def first_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100)
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All links and all that they reach, for small tables.
+OP1_SQL = r"""
+with recursive rows as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+each as (select r, unnest(range(1, greatest(len(w) - 3, 2))) as i from rows where len(w) > 0),
+sets as (select distinct r, array_to_string(w[i:i + 4], ' ') as s from each join rows using (r)),
+sizes as (select r, count(*) as n from sets group by r),
+shared as (select a.r as a, b.r as b, count(*) as c from sets a join sets b on a.s = b.s and a.r <> b.r group by all),
+links as (select a, b from shared join sizes x on x.r = a join sizes y on y.r = b where 100 * c >= 75 * (x.n + y.n - c)),
+reach as (select r, r as other from rows union select reach.r, links.b from reach join links on links.a = reach.other)
+select rows.doc_id, coalesce(any_value(sizes.n), 0) as n_shingles, min(o.doc_id) as component_id
+from rows left join sizes using (r) join reach using (r) join rows o on o.r = reach.other group by rows.r, rows.doc_id
+"""

@@ -32,11 +32,10 @@ def jaccard_rows(rows):
     """(doc_id, n_shingles, component_id) of each row, as a list; and the kept rows of each group."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) > 0 and 100 * len(x & y) >= 75 * len(x | y)]
     for _ in rows:
-        for i, x in enumerate(sets):
-            for j, y in enumerate(sets):
-                if x and 100 * len(x & y) >= 75 * len(x | y):
-                    root[i] = root[j] = min(root[i], root[j])
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
     low = {}
     for (k, _), r in zip(rows, root, strict=True):
         low[r] = min([x for x in (low.get(r), k) if x is not None], default=None)
@@ -146,3 +145,25 @@ def test_search_stops_early():
     assert got == want and sum(scored) < 0.5 * rows.shape[0] * len(queries)
     far = topk.search(np.arange(4000), rows, np.full(20, -1), queries, 10, np.full(20, math.inf), again := [])
     assert not far and not again
+
+
+def test_linked_sets_share_a_routed_ngram():
+    """Of all pairs of random sets that link, over all shares of frequent n-grams and near the threshold."""
+    rng = np.random.default_rng(9)
+    linked = 0
+    for _ in range(3000):
+        common, extra = rng.integers(1, 40), rng.integers(0, 14, 2)
+        pool = rng.permutation(400)
+        sets = [np.sort(np.append(pool[:common], pool[100 * (i + 1) : 100 * (i + 1) + extra[i]])) for i in (0, 1)]
+        frequent = rng.random(400) < rng.random()
+        if 100 * common < 75 * (common + extra.sum()):
+            continue
+        linked += 1
+        routed = []
+        for x in sets:
+            late = frequent[x]
+            first, second = jaccard.prefix_sizes(len(x), int(late.sum()), 75, 100)
+            routed.append((set(x[~late][:first].tolist()), set(x[late][:second].tolist()), int(late.sum()), len(x)))
+        (a, fa, ra, na), (b, fb, rb, nb) = routed
+        assert a & b or fa & fb and 175 * min(ra, rb) >= 75 * (na + nb)
+    assert linked > 500
