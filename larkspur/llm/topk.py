@@ -2,9 +2,10 @@
 
 Rows are dealt into cells by the nearest of a bounded number of pivots, and large cells into blocks of
 about CANDIDATES rows. A block has, for each dimension, its rows in order of that component. All its
-queries go down these lists together, from both ends; rows met are scored, and a query stops when the
-best score that an unmet row could have is below its k-th. That bound takes the components that unmet
-rows can still have and the largest norm that they have.
+queries go down these lists together, from both ends, each list down to the value that weighs as much as
+those reached in the others; rows met are scored, and a query stops when the best score that an unmet
+row could have is below its k-th. That bound takes the components that unmet rows can still have and the
+largest norm that they have.
 
 Queries are searched in a block of their own cell first. The k-th score found there is carried to all
 others: a query goes only to cells whose own bound, from the ranges of their components and norms,
@@ -72,23 +73,25 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
             found = sorted((-sum(a * b for a, b in zip(own, r, strict=True)), i) for i, r in zip(ids.tolist(), big, strict=True) if i != q)
             out += [(q, i, -s) for s, i in found[:k]]
         return out
-    lists = np.argsort(rows, axis=0, kind="stable")
-    ranked = np.take_along_axis(rows, lists, 0)
-    depth = np.empty_like(lists)
-    np.put_along_axis(depth, lists, np.arange(n)[:, None], 0)
-    met = np.minimum(depth, n - 1 - depth).min(1) if width else np.zeros(n, int)  # the depth at which a row is met
-    by_met = np.argsort(met, kind="stable")
+    # Sorted access: the lists of all dimensions, from both ends, by how much a value weighs for these
+    # queries. A row is met in the list where it stands highest, and every list is read down to one level.
+    weight = np.maximum(np.sqrt((queries**2).mean(0)) if len(queries) else np.ones(width), 1e-9)
+    level = (np.abs(rows) * weight).max(1, initial=0)
+    by_met = np.argsort(-level, kind="stable")
+    level = level[by_met]
+    least, most = rows.min(0, initial=0), rows.max(0, initial=0)
     norms = np.sqrt((rows[by_met] ** 2).sum(1))
     norms = np.maximum.accumulate(norms[::-1])[::-1]  # the largest of the rows not met before
     best = np.full((len(queries), k), -np.inf)  # keys: score * n + (n - 1 - place), so that ties go to smaller ids
     active = np.arange(len(queries))
     at, step = 0, 0
     while len(active) and at < n:
-        bound = highest(queries[active], ranked[min(n - 1, step)], ranked[max(0, n - 1 - step)], norms[at])
+        reach = level[at] / weight  # no row that wasn't met has a component beyond it
+        bound = highest(queries[active], np.maximum(least, -reach), np.minimum(most, reach), norms[at])
         kth = np.maximum(np.floor(best[active].min(1) / n), known[active])
         active = active[~(kth > bound)]
-        step = max(1, 4 * k // max(1, 2 * width)) if not step else 2 * step
-        to = int(np.searchsorted(met[by_met], step, "left"))
+        step = 2 * step if step else 2 * k
+        to = min(n, at + step)
         new = by_met[at:to]
         at = to
         if len(new) and len(active):
