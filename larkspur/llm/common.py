@@ -186,6 +186,21 @@ def buckets(spark: SparkSession, rows: int, per_bucket: int = 250_000) -> tuple[
     return max(128, 4 * n), n
 
 
+#: Bytes of text of a file of numbered rows.
+BYTES = 1 << 24
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def numbered_texts(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """numbered() for documents, in files of about BYTES of text however many partitions docs has, and
+    the bytes of all texts."""
+    size = text_bytes(docs)
+    return numbered(docs.coalesce(max(1, -(-size // BYTES))), name), size
+
+
 def hot_keys(docs: DataFrame, keys: Callable[[pa.RecordBatch], list[np.ndarray]], sample: int = 20_000, least: int = 8, most: int = 1 << 18) -> np.ndarray:
     """Keys that many documents hold, sorted: those in `least` or more of about `sample` documents,
     at most `most` of them. They only decide an order of work; results don't depend on them."""
@@ -219,13 +234,13 @@ def is_in(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of undirected edges (a, b): the smallest node reachable.
+    """(node, component) for every node of undirected edges (a, b), a stored table: the smallest node reachable.
     Alternating large and small stars; a step's minima are aggregated before the shuffle, and a
     star's many edges meet its minimum in a join that Spark can split. No row: no edges."""
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), edges.count())
     mark = None
     while True:  # a step has as many edges as the one before at most
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen[0] == 0 or seen == mark:
             break
         mark = seen

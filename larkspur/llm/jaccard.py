@@ -4,10 +4,16 @@ A document's set holds the hashes of its distinct word n-grams, in the order of
 that a sample of documents shows to be frequent come after all others in that order, so that passages
 which many documents share don't bring unlike documents together. A set routes its prefix: so many of
 its first n-grams that what is left can't hold all of the overlap that a link needs, so linked sets
-share a routed n-gram (the prefix filter; nothing is left to chance but that 64-bit hashes may be equal).
-Sets that could link by frequent n-grams alone route all their rare ones, and a prefix of the frequent
-ones by which a pair that shares no rare one is bounded before it is made. N-grams that only one
-distinct set holds go no further. What is left is joined in rounds:
+share a routed n-gram (the prefix filter). Sets that could link by frequent n-grams alone route all
+their rare ones, and a prefix of the frequent ones by which a pair that shares no rare one is bounded
+before it is made.
+
+As hashes are random, far less than a prefix does for large sets: of a link's rare parts, which have a
+similarity that follows from the frequent share, n first hashes have none in common with a chance that
+falls with the power of n. Where `miss` is given, only as many are routed as bring that chance below it
+(1e-14 by default: 64-bit hashes of n-grams are likelier to collide); with None, whole prefixes are,
+and nothing is left to chance. N-grams that only one distinct set holds go no further. What is left is
+joined in rounds:
 
 1. twice, every set is paired with one other, of those that its n-grams' groups have as their centre
    the one met most often (linear in the group; first the centre with the fewest rare n-grams, then
@@ -36,10 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buckets, components, dropped, flat, gathered, hot_keys, is_in, mix, numbered, pieces, routed, shingle_sets, signed, stored
+from .common import U64, buckets, components, dropped, flat, gathered, hot_keys, is_in, mix, numbered_texts, pieces, routed, shingle_sets, signed, stored
 
-#: Candidates of one document that are verified together; rounds of centres.
-BLOCK, ROUNDS = 64, 2
+#: Candidates of one document that are verified together; rounds of centres; a row with a text or a
+#: set's n-grams counts as so many narrow ones in the size of a file.
+BLOCK, ROUNDS, WIDE = 64, 2, 10
+#: Chance of a linked pair not to meet; the share of frequent n-grams from which they are routed, too.
+MISS, MOSTLY = 1e-14, 0.72
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -103,18 +112,33 @@ def prefix_sizes(n: int, frequent: int, num: int, den: int) -> tuple[int, int]:
     return n - frequent, frequent - need + 1
 
 
+def sketch_sizes(n: int, frequent: int, num: int, den: int, miss: float) -> tuple[int, int]:
+    """The same for a chance of `miss` at most, and never more than prefix_sizes.
+
+    Of the union of a set and one linked to it at most 1 - t is not in both, and at least t - share is
+    both rare and in both: the rare parts have a similarity of (t - share) / (1 - share) at least; n
+    hashes miss a similarity j with a chance of (1 - j) ** n at most, and of two sets the one that
+    routes less has the greater j. From MOSTLY on, the rare part is routed whole, and the frequent
+    part for a similarity of t (if no rare n-gram is in both, t holds for the frequent parts)."""
+    t, share, whole = num / den, frequent / n, prefix_sizes(n, frequent, num, den)
+    need = lambda j: int(np.ceil(np.log(miss) / np.log(1 - j))) if j < 1 else 1
+    if share >= min(MOSTLY, 0.96 * t):
+        return n - frequent, min(need(t), whole[1])
+    return min(need((t - share) / (1 - share)), whole[0]), 0
+
+
 class Join:
     """The stages for one table of documents and one similarity num / den."""
 
-    def __init__(self, rows: DataFrame, key: str, n: int, num: int, den: int):
+    def __init__(self, rows: DataFrame, key: str, n: int, num: int, den: int, miss: float | None):
         """rows: the documents with a number of each row as key, here called doc_id; id: their own."""
-        self.spark, self.n, self.num, self.den = rows.sparkSession, n, num, den
+        self.spark, self.n, self.num, self.den, self.miss = rows.sparkSession, n, num, den, miss
         self.docs = rows.select(F.col(key).alias("doc_id"), F.col("doc_id").alias("id"), "text")
 
     def digests(self) -> DataFrame:
         """For each document the size of its set, a 128-bit key of it, a bitmap, its routed n-grams and
         how many of the set are frequent."""
-        n, num, den = self.n, self.num, self.den
+        n, num, den, miss = self.n, self.num, self.den, self.miss
         kind = self.docs.schema["id"].dataType.simpleString()
         hot = self.spark.sparkContext.broadcast(hot_keys(self.docs, lambda b: shingle_sets(b.column("text"), n), sample=40_000, least=4))
 
@@ -126,7 +150,9 @@ class Join:
                 for x in sets:
                     late = is_in(frequent, x)
                     reach.append(int(late.sum()))
-                    first, second = prefix_sizes(len(x), reach[-1], num, den) if len(x) else (0, 0)
+                    first, second = 0, 0
+                    if len(x):
+                        first, second = sketch_sizes(len(x), reach[-1], num, den, miss) if miss else prefix_sizes(len(x), reach[-1], num, den)
                     cold.append(x[~late][:first])
                     warm.append(x[late][:second])
                 keys = [np.array([mix(x).sum(), mix(x ^ U64(0x5851F42D4C957F2D)).sum()]) if len(x) else np.zeros(2, np.uint64) for x in sets]
@@ -181,8 +207,8 @@ class Join:
 
         return own.where("length(warm) > 0").select("doc_id", "warm").mapInArrow(rows, "doc_id long, sketch array<long>")
 
-    def pruned(self, pairs: DataFrame, own: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) that sizes and bitmaps don't rule out."""
+    def pruned(self, pairs: DataFrame, own: DataFrame, most: int | None = None) -> DataFrame:
+        """Distinct pairs (a, b) that sizes and bitmaps don't rule out; most: of the pairs, if it is known."""
         num, den = self.num, self.den
         side = own.select("doc_id", "n", "bits")
         a = side.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
@@ -194,13 +220,14 @@ class Join:
                 x = x.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], names=["a", "b"])
 
-        return stored(pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(rows, "a long, b long"))
+        return stored(pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(rows, "a long, b long"), most)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link. Candidates a of one b are spread over blocks, each with b's text."""
         n, num, den = self.n, self.num, self.den
         need = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = stored(self.docs.join(need, "doc_id", "left_semi"))
+        need = stored(need, 2 * pairs.count())
+        texts = stored(self.docs.join(need, "doc_id", "left_semi"), WIDE * need.count())
         blocks = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         members = pairs.join(blocks, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
         members = members.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "block", "a", "text", F.lit(1).alias("place"))
@@ -233,6 +260,7 @@ class Join:
 
         found = stored(dealt.mapInArrow(rows, "a long, b long"))
         dropped(texts)
+        dropped(need)
         return found
 
     def wide(self) -> int:
@@ -243,12 +271,17 @@ class Join:
         num, den = self.num, self.den
         all_ = self.digests()
         low = F.struct(F.col("id").isNull().alias("none"), "id", F.col("doc_id").alias("row"))
-        firsts = all_.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min(low).alias("low"))
+        # only sets of several rows, and stored: then Spark can split the rows of one set in the join
+        firsts = all_.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min(low).alias("low"), F.count("*").alias("several"))
+        total = all_.count()
+        firsts = stored(firsts.where("several > 1").drop("several"), total)
         classes = all_.select("doc_id", "id", "n", "k1", "k2").join(firsts, ["k1", "k2", "n"], "left")
-        classes = stored(classes.select("doc_id", "id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("low", low).alias("low")))
-        own = stored(all_.join(classes.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi"))
+        classes = stored(classes.select("doc_id", "id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("low", low).alias("low")), total)
+        own = stored(all_.join(classes.where("doc_id = rep and n > 0").select("doc_id"), "doc_id", "left_semi"), WIDE * total)
+        dropped(all_)
         most = own.count()
         live = self.postings(own)
+        rows = live.count()
         near = (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (F.lit(num + den) * F.least("ra", "rb") >= F.lit(num) * (F.col("na") + F.col("nb")))
         marked, links, tried = live.withColumn("c", F.col("doc_id")), None, None
         for k in range(ROUNDS):
@@ -260,9 +293,12 @@ class Join:
                 star = star.join(tried, ["a", "b"], "left_anti")
             pairs = stored(star.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), most)
             tried = pairs if tried is None else tried.unionAll(pairs)
-            new = self.verified(self.pruned(pairs, own))
+            new = self.verified(self.pruned(pairs, own, most))
             links = new if links is None else links.unionAll(new)
-            marked = stored(live.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "r", F.coalesce("component", "doc_id").alias("c")))
+            before, marked = marked, stored(live.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "r", F.coalesce("component", "doc_id").alias("c")), rows)
+            if k:
+                dropped(before)
+        dropped(live)
         sizes = marked.groupBy("token", "c").count()
         mixed = sizes.groupBy("token").agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count("*").alias("several")).where("several > 1").select("token", "big")
         open_ = marked.join(mixed, "token").join(self.sketches(own), "doc_id", "left")
@@ -280,23 +316,23 @@ class Join:
         lows = each.join(each.groupBy("root").agg(F.min("low").alias("least")), "root").select("rep", "least")
         out = classes.join(lows, "rep").select(F.col("doc_id").alias("row"), F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("least.row") == F.col("doc_id")).alias("first"))
         out = stored(out)
-        for old in (all_, own, live, marked, open_):
+        for old in (own, marked, open_):
             dropped(old)
         return out
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, miss: float | None = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id of documents whose n-gram sets link at num / den or more."""
-    rows = numbered(docs.select("doc_id", "text"), "row")
-    found = Join(rows, "row", n, num, den).run().select("doc_id", "n_shingles", "component_id")
+    rows, _ = numbered_texts(docs.select("doc_id", "text"), "row")
+    found = Join(rows, "row", n, num, den, miss).run().select("doc_id", "n_shingles", "component_id")
     dropped(rows)
     return found
 
 
-def first_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+def first_documents(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100, miss: float | None = MISS) -> DataFrame:
     """The rows of docs, with all their columns, but of each component only the one with the smallest id."""
-    rows = numbered(docs, "__row")
-    first = Join(rows, "__row", n, num, den).run().where("first").select(F.col("row").alias("__row"))
+    rows, _ = numbered_texts(docs, "__row")
+    first = Join(rows, "__row", n, num, den, miss).run().where("first").select(F.col("row").alias("__row"))
     return rows.join(first, "__row", "left_semi").drop("__row")
 
 

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, U64, buckets, flat, gathered, hot_keys, is_in, mix, numbered, partitions, pieces, range_hash, routed, signed, stored, text_arrays, words
+from .common import STEP, U64, buckets, flat, gathered, hot_keys, is_in, mix, numbered_texts, partitions, pieces, range_hash, routed, signed, stored, text_arrays, words
 
 WINDOW, PREFIX = 35, 8
 #: Words of a subtree's spans at most.
@@ -123,9 +123,9 @@ def leaves(spans: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray
 OPENED = "k long, d long, s int, kind int, o int, span binary"
 
 
-def repeats(docs: DataFrame, key: str, window: int = WINDOW, prefix: int = PREFIX, most: int = MOST) -> DataFrame:
+def repeats(docs: DataFrame, key: str, size: int, window: int = WINDOW, prefix: int = PREFIX, most: int = MOST) -> DataFrame:
     """(key, ranges): for documents with repeats, the words from a up to b of each. key: a column with
-    a number for each row, the same whenever docs is read. Texts are brought to their runs with all other
+    a number for each row, the same whenever docs is read; size: bytes of all texts. Texts are brought to their runs with all other
     columns, so that the shuffle serves a later join of docs with the ranges as well."""
     if window < 4 * prefix - 1:
         raise ValueError("prefixes are too long for the window")
@@ -138,7 +138,7 @@ def repeats(docs: DataFrame, key: str, window: int = WINDOW, prefix: int = PREFI
 
     hot = spark.sparkContext.broadcast(hot_keys(docs, sample))
     # a run for each 14 words or so, in texts of 6 bytes a word or more
-    many, parts = buckets(spark, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 80)
+    many, parts = buckets(spark, size // 80)
     types = {"k": np.uint64, "x": np.uint64, "d": np.int64, "s": np.int32, "c": np.uint8, "o": np.uint8, "w": np.uint8}
     binaries = ", ".join(f"{n} binary" for n in types)
     inner = [("k", pa.int64()), ("x", pa.int64()), ("d", pa.int64()), ("s", pa.int32()), ("c", pa.int32()), ("o", pa.int32()), ("w", pa.int32())]
@@ -199,7 +199,7 @@ def repeats(docs: DataFrame, key: str, window: int = WINDOW, prefix: int = PREFI
     warm = sent.where("rows is not null").select(F.explode("rows").alias("r")).select("r.*")
     spans = warm.groupBy("k", "x").agg(F.sum("w").alias("m"), F.min(F.struct("d", "s", "c", "o")).alias("r"))
     whole = warm.join(spans.where("m > 1").select("k", "x"), ["k", "x"], "left_semi").select("k", "d", "s", "c", "o", F.lit(0).alias("kind"))
-    found = stored(cold.unionAll(whole).unionAll(spans.select("k", "r.d", "r.s", "r.c", "r.o", F.when(F.col("m") > 1, 2).otherwise(1).alias("kind"))))
+    found = stored(cold.unionAll(whole).unionAll(spans.select("k", "r.d", "r.s", "r.c", "r.o", F.when(F.col("m") > 1, 2).otherwise(1).alias("kind"))), size // 80)
 
     def take(batches):
         """The spans' words of all runs that must be looked into."""
@@ -318,8 +318,9 @@ def strip(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, most: int
     by one space. Columns of docs with these names are replaced."""
     docs = docs.drop(*ADDED)
     names, fields = docs.columns, [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    docs = numbered(docs, "__row").where("__row is not null")  # which an inner join would add: both joins read one shuffle
-    joined = docs.join(repeats(docs, "__row", window, prefix, most).withColumnRenamed("ranges", "__ranges"), "__row", "left").select(*(F.col(f"`{n}`") for n in names), "__ranges")
+    docs, size = numbered_texts(docs, "__row")
+    docs = docs.where("__row is not null")  # which an inner join would add: both joins read one shuffle
+    joined = docs.join(repeats(docs, "__row", size, window, prefix, most).withColumnRenamed("ranges", "__ranges"), "__row", "left").select(*(F.col(f"`{n}`") for n in names), "__ranges")
 
     def rows(batches):
         for b in pieces(batches):

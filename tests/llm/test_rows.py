@@ -52,6 +52,8 @@ def test_jaccard_rows(spark):
     want, groups, low = jaccard_rows(rows)
     got = [tuple(r) for r in jaccard.jaccard_components(df).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
+    whole = [tuple(r) for r in jaccard.jaccard_components(df, miss=None).collect()]
+    assert sorted(whole, key=key) == sorted(want, key=key)
     kept = jaccard.first_documents(df)
     assert kept.columns == ["doc_id", "text", "rep"]
     ids = [r["doc_id"] for r in kept.collect()]
@@ -167,3 +169,15 @@ def test_linked_sets_share_a_routed_ngram():
         (a, fa, ra, na), (b, fb, rb, nb) = routed
         assert a & b or fa & fb and 175 * min(ra, rb) >= 75 * (na + nb)
     assert linked > 500
+
+
+def test_search_is_exact_beyond_float64():
+    rng = np.random.default_rng(10)
+    rows, queries = np.floor(rng.standard_normal((300, 5)) * 2.0**28), np.floor(rng.standard_normal((7, 5)) * 2.0**28)
+    rows[100:110] = rows[0]
+    got = topk.search(np.arange(300), rows, np.arange(7), queries, 9)
+    want = []
+    for q, own in enumerate(queries):
+        ranked = sorted((-sum(int(a) * int(b) for a, b in zip(own, r, strict=True)), i) for i, r in enumerate(rows) if i != q)
+        want += [(q, i, -s) for s, i in ranked[:9]]
+    assert got == want
