@@ -2,7 +2,8 @@
 
 Counts of all training tokens come first: each task counts its words, the counts meet by hash in
 buckets, and every word counted LEAST times or more becomes part of the model's vocabulary, which
-so grows with the corpus. The probability of a word is that of its class after the class of the
+so grows with the corpus (up to VOCABULARY words, as it is broadcast; beyond, the count asked for rises,
+and the words left out are told apart by their counts, as rarer words are). The probability of a word is that of its class after the class of the
 word before, times the word's part of its class. The SINGLE most frequent words are a class each.
 The others of the vocabulary are grouped by the words beside them, in as many classes as the root of
 their number: sums of random vectors of all their neighbours meet in the word's bucket, and rounds
@@ -16,12 +17,14 @@ when one occurrence is held back (Good and Turing), and words never seen share t
 once. Words of one class of counts split its weight by their own counts. So the probabilities of all
 words, one unknown word and the end sum to one.
 
-Vocabulary, counts and classes are broadcast (20 bytes a word); those of rarer words never: the
+Vocabulary, counts and classes are broadcast (20 bytes a word, 84 MB at most); those of rarer words never: the
 (word, document) pairs of rare words go to the word's bucket, which holds its count, and only sums
 by document come back.
 
 Cases: a null text counts as empty: it has the end token alone. Rows with repeated or null ids are
-scored each for itself. With no training token all words are unknown.
+scored each for itself, equal ones alike. With no training token all words are unknown. A very long text
+is hashed in blocks and scored whole by one task; an empty table gives no rows; other columns play no
+part; words that are counted alike are told apart by their hashes alone.
 """
 
 from __future__ import annotations
@@ -32,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, gathered, pieces, routed, stored, text_arrays, words
+from .common import buckets, gathered, pieces, routed, stored, text_arrays, text_bytes, words
 
 #: Words that are a class each, and how often a word of the vocabulary was counted at least; size of a
 #: vector; noise samples for a pair, least steps, pairs of a step and rate of training; classes of counts.
 SINGLE, LEAST, WIDTH, NOISE, STEPS, PAIRS, RATE, COUNTS = 1022, 20, 24, 16, 300, 2048, 0.05, 16
+#: Words of the vocabulary at most: it is broadcast.
+VOCABULARY = 1 << 22
 #: Numbers that describe a word's neighbours, and rounds of grouping.
 SIDES, ROUNDS = 12, 5
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -59,8 +64,7 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def count_words(docs: DataFrame, learning: Column) -> DataFrame:
     """(bucket, hash, count) of all training tokens as packed rows, a row for each bucket."""
     spark = docs.sparkSession
-    total = docs.select("doc_id").count()
-    many, n = buckets(spark, 400 * total)
+    many, n = buckets(spark, text_bytes(docs) // 6)
 
     def emit(batches):
         seen: list[tuple[np.ndarray, np.ndarray]] = []
@@ -95,14 +99,27 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return found, out
 
 
-def summary(counted: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+def least_count(counted: DataFrame) -> int:
+    """How often a word of the vocabulary was counted at least: LEAST times, or where more than VOCABULARY
+    words are, the smallest power of two that leaves so many."""
+    steps_ = [LEAST, *(1 << j for j in range(LEAST.bit_length(), 62))]
+
+    def rows(batches):
+        c = np.sort(gathered(batches, {"c": np.int64})["c"])
+        yield pa.RecordBatch.from_arrays([pa.array([(len(c) - np.searchsorted(c, steps_)).tolist()], pa.list_(pa.int64()))], names=["n"])
+
+    found = counted.select("c").mapInArrow(rows, "n array<long>").agg(*(F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(len(steps_)))).first()
+    return next(step for step, n in zip(steps_, found, strict=True) if n <= VOCABULARY)
+
+
+def summary(counted: DataFrame, least: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     """All tokens, distinct ones, the vocabulary with its counts (sorted by hash), and for each
     count class the distinct words and tokens that aren't in it."""
 
     def rows(batches):
         got = gathered(batches, {"k": np.uint64, "c": np.int64})
         k, c = got["k"], got["c"]
-        top = c >= LEAST
+        top = c >= least
         kinds = np.bincount(count_class(c), minlength=COUNTS)
         mass = np.bincount(count_class(c), c, minlength=COUNTS).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((int(c.sum()), pa.int64()), (len(c), pa.int64()), (k[top].tobytes(), pa.binary()), (c[top].tobytes(), pa.binary()), (kinds.tolist(), pa.list_(pa.int64())), (mass.tolist(), pa.list_(pa.int64())))], names=["n", "v", "k", "c", "kinds", "mass"])
@@ -343,12 +360,12 @@ def score(docs: DataFrame, learning: Column) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counted = count_words(docs, learning)
-    n, v, known, (kinds, mass), frequent = summary(counted)
+    n, v, known, (kinds, mass), frequent = summary(counted, least_count(counted))
     classes = word_classes(docs, learning, n, known, frequent)
     model = train(pair_counts(docs, learning, known, classes))
     shared = spark.sparkContext.broadcast((known, frequent, classes, model, (kinds, mass)))
     base = float(np.log10(n + v + 1))
-    many, parts = buckets(spark, 150 * docs.select("doc_id").count())
+    many, parts = buckets(spark, text_bytes(docs) // 16)
 
     def emit(batches):
         """A row for each document with the sums over the vocabulary, and its rare words by bucket."""

@@ -247,6 +247,24 @@ def test_lm_scores_rows_with_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"]) for r in rows) == [(0, 3, 3), (0, 4, 1), (1, 3, 3), (1, 4, 4), (2, 6, 6)]
 
 
+def test_lm_vocabulary_is_bounded(spark, monkeypatch):
+    """With fewer places in the vocabulary than frequent words, counts and base scores stay exact."""
+    rng = random.Random(8)
+    data = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(300))) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    keys = ["doc_id", "n_tokens", "n_known", "train_tokens"]
+    free = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") % 5 > 0).collect()}
+    counted = lm.count_words(df, F.col("doc_id") % 5 > 0)
+    assert lm.least_count(counted) == lm.LEAST
+    monkeypatch.setattr(lm, "VOCABULARY", 12)
+    counts = Counter(x for i, t in data if i % 5 for x in [*t.split(), None])
+    least = lm.least_count(counted)
+    assert least > lm.LEAST and sum(c >= least for c in counts.values()) <= 12 < sum(c >= max(lm.LEAST, least // 2) for c in counts.values())
+    for r in lm.score(df, F.col("doc_id") % 5 > 0).collect():
+        own = free[r["doc_id"]]
+        assert [r[k] for k in keys] == [own[k] for k in keys] and r["base_score"] == pytest.approx(own["base_score"]) and r["score"] < 0
+
+
 def test_rare_words_share_by_their_own_counts():
     counts = np.array([1, 1, 2, 3, 4, 5, 7, 8, 12, 9000, 60000, 400000])
     kinds, mass = np.bincount(lm.count_class(counts), minlength=lm.COUNTS), np.bincount(lm.count_class(counts), counts, minlength=lm.COUNTS).astype(int)
