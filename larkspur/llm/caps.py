@@ -251,3 +251,19 @@ def near_vectors(vectors: DataFrame, least: float, size: Size | None = None) ->
 
 def op9_caps(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
+#: All links, found or not: for small tables, where none is missed.
+OP9_SQL = """
+with recursive rows as (
+  select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+fit as (
+  select r, vec_id, label, v, sqrt(list_dot_product(v, v)) as norm from rows
+  where label is not null and vec_id is not null and v is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (select a.r as a, b.r as b from fit a join fit b on a.label = b.label and a.r <> b.r where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+reach as (select r, r as other from rows union select reach.r, links.b from reach join links on links.a = reach.other),
+roots as (select reach.r, min(o.vec_id) as component_id from reach join rows o on o.r = reach.other group by reach.r),
+counts as (select a as r, count(*) as n from links group by a)
+select rows.vec_id, coalesce(counts.n, 0) as n_links, component_id, rows.vec_id = component_id as kept
+from rows join roots using (r) left join counts using (r)
+"""

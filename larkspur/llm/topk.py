@@ -66,13 +66,8 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     n, width = rows.shape
     known = np.full(len(queries), -np.inf) if known is None else known
     exact = np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * max(width, 1) * (n + 1) < 2.0**52
-    if not exact:  # beyond what float64 holds exactly: Python's whole numbers
-        big, small = [[int(x) for x in r] for r in rows], [[int(x) for x in q] for q in queries]
-        out = []
-        for q, own in zip(query_ids.tolist(), small, strict=True):
-            found = sorted((-sum(a * b for a, b in zip(own, r, strict=True)), i) for i, r in zip(ids.tolist(), big, strict=True) if i != q)
-            out += [(q, i, -s) for s, i in found[:k]]
-        return out
+    # beyond what float64 holds exactly, products are made of Python's whole numbers
+    of, by = (rows, queries) if exact else (np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (rows, queries))
     # Sorted access: the lists of all dimensions, from both ends, by how much a value weighs for these
     # queries. A row is met in the list where it stands highest, and every list is read down to one level.
     weight = np.maximum(np.sqrt((queries**2).mean(0)) if len(queries) else np.ones(width), 1e-9)
@@ -82,30 +77,29 @@ def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np
     least, most = rows.min(0, initial=0), rows.max(0, initial=0)
     norms = np.sqrt((rows[by_met] ** 2).sum(1))
     norms = np.maximum.accumulate(norms[::-1])[::-1]  # the largest of the rows not met before
-    best = np.full((len(queries), k), -np.inf)  # keys: score * n + (n - 1 - place), so that ties go to smaller ids
+    best = np.full((len(queries), k), -np.inf, of.dtype)  # keys: score * n + (n - 1 - place), so that ties go to smaller ids
     active = np.arange(len(queries))
     at, step = 0, 0
     while len(active) and at < n:
         reach = level[at] / weight  # no row that wasn't met has a component beyond it
         bound = highest(queries[active], np.maximum(least, -reach), np.minimum(most, reach), norms[at])
-        kth = np.maximum(np.floor(best[active].min(1) / n), known[active])
+        kth = np.maximum(best[active].min(1).astype(float) / n - 1, known[active])  # a key is less than its score and one, n times
         active = active[~(kth > bound)]
         step = 2 * step if step else 2 * k
         to = min(n, at + step)
         new = by_met[at:to]
         at = to
         if len(new) and len(active):
-            keys = (queries[active] @ rows[new].T) * n + (n - 1 - new)
+            keys = (by[active] @ of[new].T) * n + (n - 1 - new)
             keys[query_ids[active][:, None] == ids[new]] = -np.inf
             if scored is not None:
                 scored.append(keys.size)
             keys = np.concatenate([best[active], keys], 1)
-            best[active] = -np.partition(-keys, k - 1, axis=1)[:, :k]
+            best[active] = -(np.partition(-keys, k - 1, axis=1) if exact else np.sort(-keys, axis=1))[:, :k]
     out = []
     for q, keys in zip(query_ids.tolist(), best, strict=True):
-        keys = np.sort(keys[np.isfinite(keys)])[::-1].astype(np.int64)
-        score = keys // n
-        out += [(q, int(ids[p]), int(s)) for p, s in zip((n - 1 - (keys - score * n)).tolist(), score.tolist(), strict=True)]
+        for key in sorted((int(x) for x in keys if x != -np.inf), reverse=True):
+            out.append((q, int(ids[n - 1 - key % n]), key // n))
     return out
 
 
