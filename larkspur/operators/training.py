@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..sources import readers, sinks
-from .audit import audit
+from .audit import audit, imbalance
 from .features import FEATURES, add_features
 from .prepare import prepare_master
 from .validate import require_columns, validate_gold_for_audit, validate_master
@@ -52,11 +52,16 @@ class Built:
         n = self.joined.agg(F.count_if("exact_offer").alias("exact"), F.count_if(~F.col("exact_offer")).alias("text")).first()
         return {"exact_offer": n["exact"], "synthetic_or_text_fallback": n["text"]}
 
+    def _distribution(self, column: str) -> dict[str, int]:
+        """Accepted rows by the values of a column, the most frequent ones."""
+        return imbalance(self.accepted, F.col(column))["distribution"] if column in self.accepted.columns else {}
+
     @cached_property
     def manifest(self) -> dict:
         n, reasons = self.counts, {r["reason"]: r["n"] for r in exclusions(self.rows).orderBy("reason").collect()}
         return self.more | {
             "total_rows": n["n"], "eligible_binary_rows": n["eligible"], "accepted_rows": n["n"] - n["rejected"], "rejected_rows": n["rejected"], "exclusion_reasons": reasons,
+            **{f"{name}_distribution": self._distribution(c) for name, c in (("class", "pair_label"), ("source", "source_dataset"), ("provenance", "label_provenance"))},
             "offer_reconstruction": self.offer_reconstruction_counts, "feature_columns": FEATURES, "feature_schema": {c: k for c, k in self.accepted.dtypes if c in FEATURES},
         }
 
@@ -136,7 +141,7 @@ def build_from_paths(spark: SparkSession, gold_path: str, master_path: str, offe
     hashes = {k: sinks.file_sha256(p) for k, p in paths.items() if os.path.isfile(p)}
     offers = readers.load_offers(spark, offers_path) if offers_path else None
     gold, master = readers.load_gold_for_audit(spark, gold_path), readers.load_master(spark, master_path)
-    built = build(gold, master, offers, own_brand, input_paths=paths, input_hashes=hashes, created_at=datetime.now(UTC).isoformat())
+    built = build(gold, master, offers, own_brand, input_filenames=paths, input_hashes=hashes, timestamp=datetime.now(UTC).isoformat())
     if output_dir:
         sinks.write_training(built, output_dir, encoding, overwrite)
     return built

@@ -30,7 +30,7 @@ def main(args: list[str] | None = None) -> None:
         return
     if given.command == "build-features":
         built = training.build_from_paths(spark, config.gold_pairs_path, config.master_path, config.offers_path, out, config.own_brand.pattern, config.output_encoding, given.overwrite)
-        shown = {k: built.manifest[k] for k in ("total_rows", "eligible_binary_rows", "accepted_rows", "rejected_rows", "exclusion_reasons", "offer_reconstruction")}
+        shown = {k: built.manifest[k] for k in ("total_rows", "eligible_binary_rows", "accepted_rows", "rejected_rows", "exclusion_reasons", "class_distribution", "source_distribution", "offer_reconstruction")}
         print(json.dumps({"paths": built.output_paths} | shown, indent=2))
         return
     accepted = training.build_from_paths(spark, config.gold_pairs_path, config.master_path, config.offers_path, own_brand=config.own_brand.pattern).accepted

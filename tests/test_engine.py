@@ -12,7 +12,8 @@ from larkspur.functions import similarity
 from larkspur.operators import audit, candidates, exports, features, rules, scoring, training, validate
 from larkspur.operators.prepare import OwnBrand, prepare_master, prepare_offers
 from larkspur.plans import binding, catalogue, config, pipeline
-from larkspur.sources import readers, sinks, xlsx
+from larkspur.sources import readers, scratch, sinks, xlsx
+from larkspur.streaming.scoring import match_stream
 
 OWN = OwnBrand(("north star",), r"north[\s\-]?star")
 OFFER = ["offer_ord", "Offer Name", "Product", "Brand Name", "Variant", "Base Packsize", "Country", "Retailer Name", "Offer Price"]
@@ -327,6 +328,7 @@ def test_run_from_files(spark, tmp_path):
     manifest = json.load(open(built.output_paths["manifest"]))
     assert (manifest["accepted_rows"], manifest["rejected_rows"], manifest["offer_reconstruction"]["exact_offer"]) == (2, 1, 2)
     assert manifest["exclusion_reasons"] == {"null_offer_text": 1, "unknown_master_itemcode": 1}
+    assert manifest["class_distribution"] == {"0": 1, "1": 1} and manifest["source_distribution"] == manifest["provenance_distribution"] == {"manual": 2}
     assert set(manifest["input_hashes"]) == {"gold", "master", "offers"} and set(manifest["output_hashes"]) == {"rejected", "audit"}
 
 
@@ -353,3 +355,46 @@ def test_confusions(spark, offer, item, flags):
     row = spark.createDataFrame([(offer[0], "", "", offer[1], item[0], "", "", item[1])], ["Offer Name", "Product", "Variant", "Base Packsize", "Itemname", "Item-Cat-4", "Item Description", "Item-Spec"])
     r = features.add_features(row).first()
     assert {k: r[k] for k in flags} == flags
+
+
+def test_stream_of_offers(spark, tmp_path):
+    """Files of offers that come one after the other: each batch gets its best candidates once."""
+    header, *rows = OFFERS_CSV.strip().splitlines()
+    (tmp_path / "in").mkdir()
+    m = master(spark, ("7", "CHICKEN NUGGETS", "Chicken", "400g"), ("8", "BEEF BURGER", "Meat", "500g"))
+    schema = ", ".join(f"`{c}` string" for c in header.split(","))
+    for i, row in enumerate(rows):
+        (tmp_path / "in" / f"{i}.csv").write_text(f"{header}\n{row}\n")
+        offers_ = spark.readStream.schema(schema).option("header", True).csv(str(tmp_path / "in"))
+        match_stream(offers_, m, str(tmp_path / "out"), str(tmp_path / "checkpoint"), own=OWN).awaitTermination()
+    got = {r["offerid"]: r["itemcode"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 3 and got["1"] == got["2"] == "7" and spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+class Named:
+    """As much of a session as the choice of a folder asks for."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext, self.conf = self, self
+        self.master, self.folder = master, folder
+
+    def get(self, name, default):
+        return self.folder or default
+
+
+def test_shared_folder():
+    assert scratch.shared_dir(Named("spark://h:1", "hdfs://x/y/")) == "hdfs://x/y"
+    assert scratch.shared_dir(Named("local[4]")).endswith("larkspur-checkpoints")
+    for cluster in ("spark://h:1", "yarn", "local-cluster[3,2,1000]", "k8s://h"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_dir(Named(cluster))
+
+
+def test_stored_tables(spark):
+    df = scratch.stored(spark.range(1000).repartition(8), 1000)
+    assert df.count() == 1000 and len(df.inputFiles()) == 1
+    both = df.groupBy("id").count().join(scratch.again(df), "id")
+    assert both.count() == 1000
+    scratch.dropped(df)
+    with pytest.raises(Exception, match="(?i)not.exist|FILE_NOT"):
+        scratch.stored(scratch.again(df))
