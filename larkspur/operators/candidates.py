@@ -2,11 +2,12 @@
 
 Texts of offers meet texts of the catalogue in their category, which is cut into slices by the
 catalogue's texts, as there are few categories. They are scored once for each distinct pair (offers
-repeat a few texts in many pack sizes). Offers then meet catalogue rows by category and text, not by
-category alone; sizes, bonus, rank and margins are native expressions. Rows are ranked apart for packs
-that may fit and packs that don't, so that `row_number() <= k + 1` drops rows before the shuffle
-(WindowGroupLimit), whatever packs an offer turns out to have. The catalogue side is broadcast only
-below Spark's own threshold.
+repeat a few texts in many pack sizes). Of catalogue rows of one category, text and pack sizes only the
+first k + 1 can be among an offer's k + 1 best; of those, each distinct pack size of offers keeps the
+first k + 1 of a text whose packs fit, don't, or may. Offers then meet these by category, text and size,
+so that no offer meets its whole category. Rows are ranked apart for packs that may fit and packs that
+don't, so that `row_number() <= k + 1` drops rows before the shuffle (WindowGroupLimit), whatever packs
+an offer turns out to have.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as m
 from ..functions.similarity import word_similarity
-from ..sources.scratch import slices
+from ..sources.scratch import slices, stored
 from .validate import require_columns
 
 OFFER_COLUMNS = ["match_text", "offer_measures", "offer_measures_detailed", "category"]
@@ -45,13 +46,17 @@ def candidates(offers: DataFrame, master: DataFrame, k: int = 5, bonus: float =
     require_columns(master, MASTER_COLUMNS, "master")
     left = offers.select("offer_ord", "category", F.col("match_text").alias("offer_text"), "offer_measures", "offer_measures_detailed")
     left = left.withColumn("too_short", short(F.col("offer_text")))
+    left = left if hasattr(offers, "_larkspur_path") else stored(left)
     right = master.where("category is not null").select(F.col("category").alias("pool"), "Itemcode", "Itemname", F.col("match_text").alias("master_match_text"), "master_measures", "master_measures_detailed", "master_ord")
+    right = stored(firsts(right, ["pool", "master_match_text", "master_measures"], k + 1))
     pools = right.select("pool").distinct()
     whole = right.join(pools.where("pool = 'Other'").limit(1).select(F.lit(1).alias("__has")), F.lit(True), "left_anti").withColumn("pool", F.lit("Other"))
     right = right.unionAll(whole)
-    scored = text_scores(left.where("not too_short").select("category", "offer_text"), right.select(F.col("pool").alias("category"), "master_match_text"), ["category"])
-    pairs = left.where("not too_short").join(scored, ["category", "offer_text"]).join(right.withColumnRenamed("pool", "category"), ["category", "master_match_text"])
-    pairs = pairs.withColumn("pack_status", m.pack_compatible(F.col("offer_measures"), F.col("master_measures")))
+    asked = left.where("not too_short")
+    scored = text_scores(asked.select("category", "offer_text"), right.select(F.col("pool").alias("category"), "master_match_text"), ["category"])
+    near = asked.join(scored, ["category", "offer_text"])
+    fitted = fits(asked.select("category", "offer_measures"), right.withColumnRenamed("pool", "category"), k + 1)
+    pairs = near.join(fitted, (near["category"] == fitted["__category"]) & (near["master_match_text"] == fitted["__text"]) & near["offer_measures"].eqNullSafe(fitted["__sizes"])).drop("__category", "__text", "__sizes")
     pairs = pairs.withColumns({"adjusted_score": adjusted(F.col("score"), F.col("pack_status"), bonus, unknown), "may_fit": F.coalesce("pack_status", F.lit(True))})
     order = [F.desc("adjusted_score"), "master_ord"]
     pairs = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("offer_ord", "may_fit").orderBy(*order))).where(F.col("__n") <= k + 1).drop("__n")
@@ -73,6 +78,23 @@ def candidates(offers: DataFrame, master: DataFrame, k: int = 5, bonus: float =
     return found.unionAll(none)
 
 
+def firsts(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first n rows of each key in catalogue order."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("master_ord"))).where(F.col("__n") <= n).drop("__n")
+
+
+def fits(sizes: DataFrame, master: DataFrame, n: int) -> DataFrame:
+    """For the distinct pack sizes of offers (category, offer_measures): the first n catalogue rows of each
+    text whose packs fit, and of those that don't or may. Offers of one text and one size rank these
+    alike, so rows are met by sizes and not by each offer. Catalogue rows are dealt into slices."""
+    count = slices(sizes.sparkSession)
+    left = sizes.distinct().select(F.col("category").alias("__category"), F.col("offer_measures").alias("__sizes"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("__slice"))
+    right = master.withColumn("__in", F.pmod(F.xxhash64("master_match_text"), F.lit(count)).cast("int")).withColumnsRenamed({"category": "__of", "master_match_text": "__text"})
+    met = left.join(right, (left["__category"] == right["__of"]) & (left["__slice"] == right["__in"])).drop("__of", "__in", "__slice")
+    met = met.withColumn("pack_status", m.pack_compatible(F.col("__sizes"), F.col("master_measures")))
+    return firsts(met, ["__category", "__sizes", "__text", "pack_status"], n)
+
+
 def text_scores(offers: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct texts of two tables (keys and one text column each) that share the keys, with their
     word similarity as score, computed once for each distinct pair. The right side's texts are dealt
@@ -102,6 +124,7 @@ def _single(offer: DataFrame) -> DataFrame:
 
 
 def unique_keys(offers: DataFrame) -> DataFrame:
-    """One row for each distinct matching key of offers: the first by offer_ord."""
+    """One row for each distinct matching key of offers: the first by offer_ord. Stored, as few keys come
+    from many offers."""
     first = Window.partitionBy("match_text", "offer_measures", "category").orderBy("offer_ord")
-    return offers.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return stored(offers.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ def _place(spark: SparkSession, path: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+#: Lists of the tables that open blocks of temporary() have stored.
+_OPEN: list[list[DataFrame]] = []
 #: Rows of a file of a table whose rows are about known.
 ROWS = 200_000
 
@@ -41,6 +44,8 @@ def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     system.deleteOnExit(place)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
@@ -56,6 +61,29 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+#: Rows of about 100 bytes of a table that may be sent to all executors at once, about 40 MB.
+FEW = 400_000
+
+
+def few(df: DataFrame, rows: int = FEW) -> bool:
+    """Whether the table has so few rows, counted and not estimated, that all executors can hold it. Larger
+    tables are shuffled."""
+    return df.limit(rows + 1).count() <= rows
+
+
+@contextmanager
+def temporary():
+    """Tables that are stored inside the block go when it ends, for steps that come again and again."""
+    mine: list[DataFrame] = []
+    _OPEN.append(mine)
+    try:
+        yield
+    finally:
+        _OPEN.remove(mine)
+        for df in mine:
+            dropped(df)
+
+
 def dropped(df: DataFrame) -> None:
     """Remove a stored table that nothing reads any more."""
     system, place = _place(df.sparkSession, df._larkspur_path)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.prepare import OwnBrand, prepare_offers
 from ..operators.rules import Thresholds
 from ..plans.pipeline import match
+from ..sources.scratch import temporary
 
 
 def match_stream(offers: DataFrame, master: DataFrame, path: str, checkpoint: str, at: Thresholds = Thresholds(), own: OwnBrand = OwnBrand(), **trigger) -> StreamingQuery:
@@ -19,7 +20,8 @@ def match_stream(offers: DataFrame, master: DataFrame, path: str, checkpoint: st
     def batch(df: DataFrame, number: int) -> None:
         prepared = prepare_offers(df, own).withColumn("offer_ord", F.monotonically_increasing_id())
         ids = prepared.persist()
-        match(ids, master, at).join(ids.select("offer_ord", "offerid"), "offer_ord").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with temporary():
+            match(ids, master, at).join(ids.select("offer_ord", "offerid"), "offer_ord").write.mode("overwrite").parquet(f"{path}/batch={number}")
         ids.unpersist()
 
     return offers.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
