@@ -1,6 +1,6 @@
-"""The whole run: offers and catalogue to mapping, competitors and exports. The mapping of all offers is
-written once to the folder that the cluster shares, as all results read it, some of them twice; the
-rest is lazy."""
+"""The whole run: offers and catalogue to mapping, competitors and exports. Keys of offers and their results
+are written to the folder that the cluster shares, and so is the mapping of all offers if many results
+are asked for; the rest is lazy."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import os
 import uuid
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +19,43 @@ from ..operators import competitors, exports, rules, scoring
 from ..operators.features import FEATURES, add_features
 from ..operators.prepare import OwnBrand, prepare_master, prepare_offers
 from ..sources import readers, sinks
-from ..sources.scratch import stored
+from ..sources.scratch import few, stored
 from .config import Config
 
 log = logging.getLogger(__name__)
 MATCHED = ["suggested_itemcode", "suggested_itemname", "match_score", "adjusted_score", "margin", "raw_margin", "pack_status", "pack_structure_status", "confidence_tier", "master_match_text", "ml_probability", "ml_decision", "ml_features", "matched_itemcode", "matched_itemname"]
+#: Keys with their results, about 1 KB each, that may be sent to all executors: offers then stay where they are.
+KEYS_SENT = 40_000
 KEY = ["match_text", "offer_measures", "category"]
 
 
 @dataclass
 class Run:
+    """The mapping of all offers, and the results made from it when they are first asked for."""
+
     mapped: DataFrame
-    competitors: DataFrame
-    mapping: DataFrame
-    long_table: DataFrame
-    offer_export: DataFrame
-    competitor_export: DataFrame
+    master: DataFrame
+    settings: dict
+
+    @cached_property
+    def competitors(self) -> DataFrame:
+        return competitors.find_competitors(self.mapped, **self.settings)
+
+    @cached_property
+    def mapping(self) -> DataFrame:
+        return exports.mapping(competitors.with_summary(self.mapped, self.competitors))
+
+    @cached_property
+    def long_table(self) -> DataFrame:
+        return competitors.long_table(self.competitors)
+
+    @cached_property
+    def offer_export(self) -> DataFrame:
+        return exports.offer_export(self.master, self.mapped)
+
+    @cached_property
+    def competitor_export(self) -> DataFrame:
+        return exports.competitor_export(self.master, self.competitors)
 
 
 def match(offers: DataFrame, master: DataFrame, at: rules.Thresholds = rules.Thresholds(), bonus: float = 4.0, unknown: float = -3.0) -> DataFrame:
@@ -59,6 +81,7 @@ def scored_keys(keys: DataFrame, matched: DataFrame, master: DataFrame, scorer:
 def map_offers(offers: DataFrame, keyed: DataFrame) -> DataFrame:
     """Every offer with its key's result; other brands' offers get marks instead."""
     right = keyed.select(*(F.col(k).alias(f"__{k}") for k in KEY), *MATCHED)
+    right = F.broadcast(right) if few(keyed, KEYS_SENT) else right
     joined = offers.join(right, [offers[k].eqNullSafe(right[f"__{k}"]) for k in KEY] + [offers["is_own"]], "left")
     # What stands in the columns of other brands' offers.
     mark = {
@@ -73,16 +96,17 @@ def run(offers: DataFrame, master: DataFrame, scorer: scoring.Scorer = scoring.r
     """Raw tables (with offer_ord and master_ord) to all results."""
     at, own = (config.thresholds, config.own_brand) if config else (rules.Thresholds(), own)
     offers, master = prepare_offers(offers, own), prepare_master(master)
-    return run_prepared(offers, master, scorer, config, at, own)
+    return run_prepared(offers, master, scorer, config, at, own, keep=config is not None)
 
 
-def run_prepared(offers: DataFrame, master: DataFrame, scorer: scoring.Scorer, config: Config | None = None, at: rules.Thresholds = rules.Thresholds(), own: OwnBrand = OwnBrand()) -> Run:
+def run_prepared(offers: DataFrame, master: DataFrame, scorer: scoring.Scorer, config: Config | None = None, at: rules.Thresholds = rules.Thresholds(), own: OwnBrand = OwnBrand(), keep: bool = False) -> Run:
+    """keep: store the mapping of all offers, for runs that read it for many results; it takes as much
+    disk as the offers. Else it is made anew for each result that reads it."""
     keys = c.unique_keys(offers.where("is_own"))
     matched = match(keys, master, at, *((config.pack_bonus, config.pack_unknown) if config else ()))
-    mapped = stored(map_offers(offers, scored_keys(keys, matched, master, scorer, at, own.pattern)))
-    found = competitors.find_competitors(mapped, config.raw_score_floor, config.adjusted_score_floor, most=config.max_per_target) if config else competitors.find_competitors(mapped)
-    whole = competitors.with_summary(mapped, found)
-    return Run(mapped, found, exports.mapping(whole), competitors.long_table(found), exports.offer_export(master, mapped), exports.competitor_export(master, found))
+    mapped = map_offers(offers, stored(scored_keys(keys, matched, master, scorer, at, own.pattern)))
+    settings = {"raw_floor": config.raw_score_floor, "adjusted_floor": config.adjusted_score_floor, "most": config.max_per_target} if config else {}
+    return Run(stored(mapped) if keep else mapped, master, settings)
 
 
 def review_queue(mapped: DataFrame) -> DataFrame:

@@ -36,3 +36,16 @@ def test_features_of_offers_with_equal_numbers(spark, tables):
     """The SQL joins a key's first number with all offers that bear it."""
     rows = [(r["offer_ord"], r["Itemcode"], r["unit_pack_weight_g"]) for r in catalogue.pair_features(spark, tables).collect()]
     assert sorted(rows) == [(52000001, "1", 7.0)] * 3 + [(61000002, "2", 20.0)]
+
+
+def test_mapping_of_offers_is_neither_stored_nor_shuffled(spark, tables):
+    """Few keys are sent to the offers; a run of one result writes no table of all offers."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mapped = catalogue.engine_run(spark, tables).mapped
+        assert not hasattr(mapped, "_larkspur_path")
+        joined = mapped._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [knownfloatingpointnormalized" in joined or "LeftOuter, BuildRight" in joined
+        assert mapped.count() == 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
