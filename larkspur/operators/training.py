@@ -121,6 +121,17 @@ def reconstructed(gold: DataFrame, offers: DataFrame | None) -> DataFrame:
     return df.withColumns({c: F.col(f"__meta.f{i}") for i, c in enumerate(OFFER_COLUMNS)}).drop("__exact", "__meta", "__text", "__both", "text_key", "retailer_key")
 
 
+def featured_once(joined: DataFrame, own_brand: str | None = None) -> DataFrame:
+    """joined with FEATURES, which are made once for each distinct set of what they depend on: labelled
+    pairs repeat a few texts and catalogue rows."""
+    inputs = [c for c in (*OFFER_COLUMNS, "offer_measures_detailed", "Itemname", "Item-Cat-4", "Item Description", "Item-Spec", "master_measures_detailed") if c in joined.columns]
+    once = add_features(joined.select(*inputs).distinct(), own_brand).withColumnsRenamed({c: f"__{c}" for c in inputs})
+    same = F.lit(True)
+    for c in inputs:
+        same &= joined[c].eqNullSafe(once[f"__{c}"])
+    return joined.join(once, same).drop(*(f"__{c}" for c in inputs))
+
+
 def build(gold: DataFrame, master: DataFrame, offers: DataFrame | None = None, own_brand: str | None = None, **manifest) -> Built:
     gold = validate_gold_for_audit(gold)
     master = prepare_master(validate_master(master))
@@ -129,7 +140,7 @@ def build(gold: DataFrame, master: DataFrame, offers: DataFrame | None = None, o
     good = rows.where(F.size("reasons") == 0).drop("reasons", "known", "flag")
     joined = reconstructed(good, offers).join(master.withColumnRenamed("Itemcode", "code").select("code", "Itemname", "Item-Cat-4", "Item Description", "Item-Spec", "master_measures_detailed"), "code")
     metadata = [c for c in METADATA if c in gold.columns]
-    featured = add_features(joined, own_brand)
+    featured = featured_once(joined, own_brand)
     accepted = featured.withColumns({"master_itemcode": F.col("code"), "pair_label": F.col("label")}).select(*metadata, *FEATURES)
     return Built(accepted, rejected, rows, joined, gold, master, manifest)
 

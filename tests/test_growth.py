@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import candidates
+from larkspur.operators import candidates, features, training
 from larkspur.plans import catalogue
 
 from .test_engine import master, offers
@@ -49,3 +49,14 @@ def test_mapping_of_offers_is_neither_stored_nor_shuffled(spark, tables):
         assert mapped.count() == 6
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_features_are_made_once_for_equal_pairs(spark, monkeypatch):
+    row = ("Chicken Nuggets 400g", "Chicken", None, "", "CHICKEN NUGGETS", "", "", "400g x 20", None)
+    kind = "`Offer Name` string, Product string, Variant string, `Base Packsize` string, Itemname string, `Item-Cat-4` string, `Item Description` string, `Item-Spec` string, master_measures_detailed array<struct<v: double, d: string, c: int>>"
+    joined = spark.createDataFrame([row] * 50 + [("Fish Fillet", *row[1:])], kind).withColumn("record_id", F.monotonically_increasing_id())
+    counted = []
+    monkeypatch.setattr(training, "add_features", lambda df, own=None: counted.append(df.count()) or features.add_features(df, own))
+    got = training.featured_once(joined).select("record_id", *features.FEATURES)
+    assert counted == [2]
+    assert sorted(map(str, got.collect())) == sorted(map(str, features.add_features(joined).select("record_id", *features.FEATURES).collect()))
