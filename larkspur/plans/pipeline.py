@@ -31,19 +31,21 @@ KEY = ["match_text", "offer_measures", "category"]
 
 @dataclass
 class Run:
-    """The mapping of all offers, and the results made from it when they are first asked for."""
+    """The mapping of all offers, and the results made from it when they are first asked for. firsts: the
+    mapping of the first offers alone, where these are at hand; competitors are found among them."""
 
     mapped: DataFrame
     master: DataFrame
     settings: dict
+    firsts: DataFrame | None = None
 
     @cached_property
     def competitors(self) -> DataFrame:
-        return competitors.find_competitors(self.mapped, **self.settings)
+        return competitors.find_competitors(self.mapped if self.firsts is None else self.firsts, **self.settings)
 
     @cached_property
     def mapping(self) -> DataFrame:
-        return exports.mapping(competitors.with_summary(self.mapped, self.competitors))
+        return exports.mapping(competitors.with_summary(self.mapped, self.competitors, self.firsts))
 
     @cached_property
     def long_table(self) -> DataFrame:
@@ -99,14 +101,16 @@ def run(offers: DataFrame, master: DataFrame, scorer: scoring.Scorer = scoring.r
     return run_prepared(offers, master, scorer, config, at, own, keep=config is not None)
 
 
-def run_prepared(offers: DataFrame, master: DataFrame, scorer: scoring.Scorer, config: Config | None = None, at: rules.Thresholds = rules.Thresholds(), own: OwnBrand = OwnBrand(), keep: bool = False) -> Run:
+def run_prepared(offers: DataFrame, master: DataFrame, scorer: scoring.Scorer, config: Config | None = None, at: rules.Thresholds = rules.Thresholds(), own: OwnBrand = OwnBrand(), keep: bool = False, firsts: DataFrame | None = None) -> Run:
     """keep: store the mapping of all offers, for runs that read it for many results; it takes as much
-    disk as the offers. Else it is made anew for each result that reads it."""
-    keys = c.unique_keys(offers.where("is_own"))
+    disk as the offers. Else it is made anew for each result that reads it. firsts: the first offers of
+    each country, brand, clean text and key, stored; keys and competitors then don't read all offers."""
+    keys = c.unique_keys((offers if firsts is None else firsts).where("is_own"))
     matched = match(keys, master, at, *((config.pack_bonus, config.pack_unknown) if config else ()))
-    mapped = map_offers(offers, stored(scored_keys(keys, matched, master, scorer, at, own.pattern)))
+    keyed = stored(scored_keys(keys, matched, master, scorer, at, own.pattern))
+    mapped = map_offers(offers, keyed)
     settings = {"raw_floor": config.raw_score_floor, "adjusted_floor": config.adjusted_score_floor, "most": config.max_per_target} if config else {}
-    return Run(stored(mapped) if keep else mapped, master, settings)
+    return Run(stored(mapped) if keep else mapped, master, settings, None if firsts is None else map_offers(firsts, keyed))
 
 
 def review_queue(mapped: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import candidates, features, training
-from larkspur.plans import catalogue
+from larkspur.operators import candidates, competitors, features, training
+from larkspur.plans import binding, catalogue, pipeline
+from larkspur.sources import scratch
 
 from .test_engine import master, offers
 
@@ -60,3 +61,63 @@ def test_features_are_made_once_for_equal_pairs(spark, monkeypatch):
     got = training.featured_once(joined).select("record_id", *features.FEATURES)
     assert counted == [2]
     assert sorted(map(str, got.collect())) == sorted(map(str, features.add_features(joined).select("record_id", *features.FEATURES).collect()))
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """Line items of parts that repeat three texts of own and other brands, in two countries."""
+    d = str(tmp_path_factory.mktemp("repeated"))
+    put = lambda name, rows, kind: spark.createDataFrame(rows, kind).write.parquet(f"{d}/{name}.parquet")
+    texts = [("red bolt", "Brand#1", "SMALL", 7), ("red bolt", "Brand#5", "SMALL", 7), ("old red bolt", "Brand#6", "SMALL", 7), (None, "Brand#6", "SMALL", 7)]
+    put("part", [(i, *texts[i % 4]) for i in range(40)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    put("lineitem", [(900 - i, i % 7, i * 11 % 40, i % 3, float(i)) for i in range(600)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double")
+    put("supplier", [(i, f"Shop {i}", i % 2) for i in range(3)], "s_suppkey long, s_name string, s_nationkey int")
+    put("nation", [(0, "FR"), (1, "DE")], "n_nationkey int, n_name string")
+    return d
+
+
+def rows_of(df, *without):
+    return sorted(str({k: v for k, v in r.asDict().items() if k not in without}) for r in df.collect())
+
+
+def test_first_offers_are_the_first_of_each_text_and_country(spark, repeated):
+    everything, few = binding.offers(spark, repeated), binding.first_offers(spark, repeated)
+    key = ["Country", "Offer Name", "Product", "Brand Name", "Variant", "Base Packsize"]
+    first = {tuple(r[k] for k in key): r["offer_ord"] for r in everything.groupBy(*(f"`{k}`" for k in key)).agg(F.min("offer_ord").alias("offer_ord")).collect()}
+    assert everything.count() == 600
+    assert {tuple(r[k] for k in key): r["offer_ord"] for r in few.collect()} == first and few.count() == len(first) == 8
+    assert rows_of(few, "offer_ord") == rows_of(everything.select(few.columns).drop("offer_ord").distinct())
+    own = binding.first_offers(spark, repeated, own=True)
+    assert rows_of(own) == rows_of(few.where("is_own")) and own.count() == 2
+
+
+@pytest.mark.parametrize("sent", [(0, 0), (0, 40_000), (2_500_000, 40_000)])
+def test_offers_are_the_same_however_texts_come_to_line_items(spark, repeated, monkeypatch, sent):
+    plain = binding.with_lines(binding.prepare_offers(binding.offer_texts(spark, repeated), binding.OWN).withColumn("category", F.col("Product")), repeated)
+    monkeypatch.setattr(binding, "PARTS_SENT", sent[0])
+    monkeypatch.setattr(binding, "TEXTS_SENT", sent[1])
+    assert rows_of(binding.offers(spark, repeated).select(plain.columns)) == rows_of(plain)
+    assert binding.first_offers(spark, repeated).count() == 8
+
+
+@pytest.mark.parametrize("name", ["competitor_offers"])
+def test_no_table_of_all_offers_is_stored(spark, repeated, monkeypatch, name):
+    rows, store = [], scratch.stored
+
+    def counted(df, *more):
+        out = store(df, *more)
+        rows.append(out.count())
+        return out
+
+    for module in (binding, candidates, competitors, pipeline, scratch):
+        if hasattr(module, "stored"):
+            monkeypatch.setattr(module, "stored", counted)
+    got = catalogue.QUERIES[name](spark, repeated).count()
+    assert got == {"competitor_offers": 4, "competitor_long": 4, "competitor_export": 40, "detailed_mapping": 600, "top_candidates": 3}[name]
+    assert rows and max(rows) <= 64  # 40 parts, 8 first offers, and pairs of these
+
+
+def test_competitors_among_first_offers_are_those_among_all(spark, repeated):
+    assert rows_of(catalogue.engine_run(spark, repeated, firsts=True).competitors) == rows_of(catalogue.engine_run(spark, repeated).competitors)
+    one, other = catalogue.engine_run(spark, repeated, firsts=True), catalogue.engine_run(spark, repeated)
+    assert rows_of(one.mapping) == rows_of(other.mapping)
